@@ -68,8 +68,8 @@ def cast_text(df: DataFrame, names: Sequence[str]) -> DataFrame:
 def clean_name(name: str) -> str:
     """One column name as ASCII snake case."""
     text = name.replace("'", "").replace('"', "").replace("%", "_percent_").replace("#", "_number_")
+    text = re.sub(r"\W+", "_", text)
     text = unicodedata.normalize("NFKD", text).encode("ascii", "ignore").decode()
-    text = re.sub(r"[^0-9A-Za-z]+", "_", text)
     text = re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", text)
     text = re.sub(r"([A-Z]+)([A-Z][a-z])", r"\1_\2", text)
     text = re.sub(r"_+", "_", text).strip("_").lower()
@@ -80,9 +80,11 @@ def clean_name(name: str) -> str:
 
 def clean_names(df: DataFrame) -> DataFrame:
     """Clean every column name; a repeated one gets ``_2``, ``_3`` and so on."""
-    seen: dict[str, int] = {}
-    cleaned = []
+    cleaned: list[str] = []
     for name in map(clean_name, df.columns):
-        seen[name] = seen.get(name, 0) + 1
-        cleaned.append(name if seen[name] == 1 else f"{name}_{seen[name]}")
+        unique, n = name, 1
+        while unique in cleaned:
+            n += 1
+            unique = f"{name}_{n}"
+        cleaned.append(unique)
     return df.toDF(*cleaned)

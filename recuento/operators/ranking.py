@@ -16,25 +16,24 @@ ROWS_PER_TASK = 1_000_000
 
 
 def number_rows(
-    df: DataFrame, order: Sequence[Column], out: str = "position", rows_per_task: int = ROWS_PER_TASK
+    stored: DataFrame, order: Sequence[Column], out: str = "position", rows_per_task: int = ROWS_PER_TASK
 ) -> tuple[DataFrame, int]:
     """The table with the 1-based place of each row, and the number of rows.
 
-    ``order`` must be total. The table is written once, so its input is computed
-    once. A small one is numbered by a plain window. A large one is split into
-    ranges of the order, kept in a second table so that a row never changes its
-    range; each range is numbered by itself and shifted by the sizes of the
-    ranges before it. The ranges follow the whole order, ties included, so equal
-    values do not gather in one task.
+    ``order`` must be total. ``stored`` is read more than once, so it should be
+    a stored table or a small step from one. A small table is numbered by a
+    plain window. A large one is split into ranges of the order, kept in a table
+    so that a row never changes its range; each range is numbered by itself and
+    shifted by the sizes of the ranges before it. The ranges follow the whole
+    order, ties included, so equal values do not gather in one task.
     """
-    table = materialize(df, "ranked")
-    rows = table.count()
+    rows = stored.count()
     if rows <= rows_per_task:
-        return table.withColumn(out, F.row_number().over(Window.orderBy(*order)).cast("long")), rows
+        return stored.withColumn(out, F.row_number().over(Window.orderBy(*order)).cast("long")), rows
 
     slices = -(-rows // rows_per_task) * 2
     sliced = materialize(
-        table.repartitionByRange(slices, *order).withColumn("__slice", F.spark_partition_id()), "slices"
+        stored.repartitionByRange(slices, *order).withColumn("__slice", F.spark_partition_id()), "slices"
     )
     earlier = Window.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -59,19 +58,20 @@ def quantile_class(
     """Equal-count classes 1..n of ``value``; NULL values get no class.
 
     Where the rows do not divide evenly the first classes are one larger.
-    ``ties`` must be unique, so that the order of equal values is definite.
+    ``ties`` must make the order of equal values definite. The table is written
+    once, so that its input is computed once.
     """
-    known = df.where(F.col(value).isNotNull())
+    table = materialize(df, "classed")
     order = [F.asc(value), *[F.asc(name) for name in ties]]
-    numbered, rows = number_rows(known.select(*ties, value), order, "__place", rows_per_task)
+    numbered, rows = number_rows(table.where(F.col(value).isNotNull()), order, "__place", rows_per_task)
     size, larger = divmod(rows, classes)
+    border = larger * (size + 1)
     in_larger = F.ceil(F.col("__place") / F.lit(size + 1))
-    in_rest = F.lit(larger) + F.ceil((F.col("__place") - F.lit(larger * (size + 1))) / F.lit(max(size, 1)))
-    classed = numbered.select(
-        *ties,
-        F.when(F.col("__place") <= larger * (size + 1), in_larger).otherwise(in_rest).cast("int").alias(out),
-    )
-    return lookup_join(df, classed, list(ties))
+    in_rest = F.lit(larger) + F.ceil((F.col("__place") - F.lit(border)) / F.lit(max(size, 1)))
+    cls = F.when(F.col("__place") <= border, in_larger).otherwise(in_rest)
+    known = numbered.withColumn(out, cls.cast("int")).drop("__place")
+    unknown = table.where(F.col(value).isNull()).withColumn(out, F.lit(None).cast("int"))
+    return known.unionByName(unknown)
 
 
 def class_ranges(df: DataFrame, value: str, cls: str, out: str = "range", digits: int = 2) -> DataFrame:
@@ -91,8 +91,10 @@ def order_by_value(
 ) -> DataFrame:
     """Add the 1-based place of each category when ordered by its mean value.
 
-    Equal means are ordered by name.
+    Equal means are ordered by name. The table is written once, so that its
+    input is computed once.
     """
-    means = df.groupBy(category).agg(F.avg(value).alias("__mean"))
+    table = materialize(df, "ordered")
+    means = table.groupBy(category).agg(F.avg(value).alias("__mean"))
     numbered, _ = number_rows(means, [F.asc("__mean"), F.asc(category)], out, rows_per_task)
-    return lookup_join(df, numbered.drop("__mean"), [category])
+    return lookup_join(table, numbered.drop("__mean"), [category])
