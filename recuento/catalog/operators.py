@@ -89,12 +89,12 @@ def mutate_sequential(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select(
         "o_orderkey", F.date_format("o_orderdate", "dd/MM/yyyy").alias("d")
     )
-    steps = [
-        ("d", text.replace_all(F.col("d"), "/", "-")),
-        ("d", dates.parse_dmy(F.col("d"))),
-        ("y", dates.year_of(F.col("d"))),
-    ]
-    return columns.mutate(orders, steps)
+    return columns.mutate(
+        orders,
+        {"d": text.replace_all(F.col("d"), "/", "-")},
+        {"d": dates.parse_dmy(F.col("d"))},
+        {"y": dates.year_of(F.col("d"))},
+    )
 
 
 @registered(

@@ -35,14 +35,15 @@ def rename(df: DataFrame, new_from_old: Mapping[str, str]) -> DataFrame:
     return df.withColumnsRenamed({old: new for new, old in new_from_old.items()})
 
 
-def mutate(df: DataFrame, steps: Sequence[tuple[str, Column]]) -> DataFrame:
-    """Derived columns in order: each step sees the results of those before it.
+def mutate(df: DataFrame, *stages: Mapping[str, Column]) -> DataFrame:
+    """Derived columns, stage by stage: a stage sees the results of those before it.
 
-    One ``withColumns`` call would not do, because a step there still sees the
-    old value of a column that another step overwrites.
+    The columns of one stage are one projection and see the table as it was
+    before the stage, an overwritten column included. So a column that reads
+    another new or changed one belongs in a later stage.
     """
-    for name, expression in steps:
-        df = df.withColumn(name, expression)
+    for stage in stages:
+        df = df.withColumns(dict(stage))
     return df
 
 

@@ -18,14 +18,15 @@ def small_table(spark: SparkSession, rows: Sequence[Sequence], names: Sequence[s
     return spark.createDataFrame(pa.table({n: list(c) for n, c in zip(names, columns)}))
 
 
-def one_row_per_term(vocabulary: DataFrame) -> DataFrame:
-    """``(field, raw, canonical)``, the lowest priority winning where a term repeats."""
-    best = F.min(F.struct("priority", "canonical"))
-    return (
-        vocabulary.groupBy("field", "raw")
-        .agg(best.alias("best"))
-        .select("field", "raw", F.col("best.canonical").alias("canonical"))
-    )
+def one_row_per_term(vocabulary: DataFrame, field: str, raw: str = "raw", canonical: str = "canonical") -> DataFrame:
+    """The terms of one field, the lowest priority winning where a term repeats.
+
+    Grouping by the term alone lets Spark see that it is unique, so a lookup
+    whose result nobody reads is dropped from the plan.
+    """
+    best = F.min(F.struct("priority", "canonical"))["canonical"]
+    terms = vocabulary.where(F.col("field") == field)
+    return terms.groupBy(F.col("raw").alias(raw)).agg(best.alias(canonical))
 
 
 def recode_dictionary(
@@ -40,21 +41,16 @@ def recode_dictionary(
     them NULL, a text replaces them. A NULL value never matches a term.
     """
     wanted = dict(fields) if isinstance(fields, Mapping) else {name: KEEP for name in fields}
-    terms = one_row_per_term(vocabulary)
-    order = df.columns
-    for name, default in wanted.items():
-        spelled = terms.where(F.col("field") == name).select(
-            F.col("raw").alias("__raw"), F.col("canonical").alias("__canonical")
-        )
-        matched = lookup_join(df, spelled, {name: "__raw"}, na_matches="never")
-        if default is KEEP:
-            value = F.coalesce("__canonical", F.col(f"`{name}`"))
-        elif default is None:
-            value = F.col("__canonical")
+    recoded = {}
+    for i, (name, default) in enumerate(wanted.items()):
+        value, raw, canonical = F.col(f"`{name}`"), f"__raw_{i}", f"__canonical_{i}"
+        df = df.join(one_row_per_term(vocabulary, name, raw, canonical), value == F.col(raw), "left")
+        if default is None:
+            recoded[name] = F.col(canonical)
         else:
-            value = F.coalesce("__canonical", F.lit(default))
-        df = matched.withColumn(name, value).drop("__canonical")
-    return df.select(*[F.col(f"`{c}`") for c in order])
+            recoded[name] = F.coalesce(canonical, value if default is KEEP else F.lit(default))
+    helpers = [f"__{kind}_{i}" for i in range(len(wanted)) for kind in ("raw", "canonical")]
+    return df.withColumns(recoded).drop(*helpers)
 
 
 def lookup_code(df: DataFrame, name: str, codes: Mapping[str, str], out: str) -> DataFrame:

@@ -40,13 +40,12 @@ def lookup_join(
         *[F.col(f"`{r}`").alias(f"__key_{i}") for i, r in enumerate(pairs.values())],
         *[F.col(f"`{name}`") for name in added],
     )
-    condition = F.lit(True)
+    condition = None
     for i, name in enumerate(pairs):
-        ours, theirs = left[f"`{name}`"], keyed[f"__key_{i}"]
+        ours, theirs = F.col(f"`{name}`"), F.col(f"__key_{i}")
         same = ours.eqNullSafe(theirs) if na_matches == "na" else ours == theirs
-        condition = same if i == 0 else condition & same
-    joined = left.join(keyed, condition, "left")
-    return joined.select(*[left[f"`{c}`"] for c in left.columns], *[keyed[f"`{c}`"] for c in added])
+        condition = same if condition is None else condition & same
+    return left.join(keyed, condition, "left").drop(*[f"__key_{i}" for i in range(len(pairs))])
 
 
 def natural_left_join(left: DataFrame, right: DataFrame, *, na_matches: str = "na") -> DataFrame:

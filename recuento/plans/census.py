@@ -49,11 +49,9 @@ def census_schooling_share(schooling: DataFrame) -> DataFrame:
     """Share of each level in whole percent, with its display label."""
     return mutate(
         schooling,
-        [
-            ("per", percent(F.col("total"), F.col("pob"))),
-            ("per", round_even(F.col("per"), 0)),
-            ("label", category_label(F.col("NIVACAD"), F.col("per"), F.col("total"))),
-        ],
+        {"per": percent(F.col("total"), F.col("pob"))},
+        {"per": round_even(F.col("per"), 0)},
+        {"label": category_label(F.col("NIVACAD"), F.col("per"), F.col("total"))},
     )
 
 

@@ -46,5 +46,5 @@ def map_table(vertices: DataFrame, population: DataFrame, cases: DataFrame, code
     ranged = class_ranges(classed, "tasa_desp", "__class", "quart_rangos")
     return mutate(
         ranged,
-        [("tasa_quart", F.col("__class").cast("string")), ("MUN", repair_mojibake(F.col("MUN")))],
+        {"tasa_quart": F.col("__class").cast("string"), "MUN": repair_mojibake(F.col("MUN"))},
     ).drop("__class")

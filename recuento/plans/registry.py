@@ -48,27 +48,22 @@ def prepare_catalog(catalog: DataFrame) -> DataFrame:
     """Geo catalog with lower-case names and today's name of the state."""
     lowered = mutate(
         catalog,
-        [
-            ("name_mun", F.lower("name_mun")),
-            ("name_ent", F.lower("name_ent")),
-            ("name_ent", replace_values(F.col("name_ent"), S.CATALOG_STATE_NAMES)),
-        ],
+        {"name_mun": F.lower("name_mun"), "name_ent": F.lower("name_ent")},
+        {"name_ent": replace_values(F.col("name_ent"), S.CATALOG_STATE_NAMES)},
     )
     return drop_strict(lowered, ["name_ent_short"])
 
 
 def _parse_dates(df: DataFrame) -> DataFrame:
-    steps = []
-    for name, year in (
-        ("fecha_de_inicio_de_reporte_en_la_cbpcdmx", None),
-        ("fecha_de_desaparicion", "year_desaparicion"),
-        ("fecha_de_localizacion", "year_localizacion"),
-    ):
-        steps.append((name, replace_all(F.col(name), "/", "-")))
-        steps.append((name, parse_dmy(F.col(name))))
-        if year:
-            steps.append((year, year_of(F.col(name))))
-    return mutate(df, steps)
+    dates = ("fecha_de_inicio_de_reporte_en_la_cbpcdmx", "fecha_de_desaparicion", "fecha_de_localizacion")
+    return mutate(
+        df,
+        {name: parse_dmy(replace_all(F.col(name), "/", "-")) for name in dates},
+        {
+            "year_desaparicion": year_of(F.col("fecha_de_desaparicion")),
+            "year_localizacion": year_of(F.col("fecha_de_localizacion")),
+        },
+    )
 
 
 def clean_december(raw: DataFrame, vocabulary: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -79,18 +74,17 @@ def clean_december(raw: DataFrame, vocabulary: DataFrame, catalog: DataFrame) ->
     """
     df = lower_text_columns(clean_names(raw))
     df = _parse_dates(cast_text(df, ["id"]))
-    df = df.withColumn("condicion_localizacion", fill_missing(F.col("condicion_localizacion"), S.MISSING))
-    df = recode_dictionary(df, vocabulary, DECEMBER_VOCABULARY_FIELDS)
     df = mutate(
         df,
-        [
-            (
-                "municipio_alcadia_de_la_desaparicion",
-                replace_values(F.col("municipio_alcadia_de_la_desaparicion"), S.DECEMBER_MUNICIPALITIES),
+        {
+            "condicion_localizacion": fill_missing(F.col("condicion_localizacion"), S.MISSING),
+            "municipio_alcadia_de_la_desaparicion": replace_values(
+                F.col("municipio_alcadia_de_la_desaparicion"), S.DECEMBER_MUNICIPALITIES
             ),
-            ("entidad_de_desaparicion", replace_values(F.col("entidad_de_desaparicion"), S.DECEMBER_STATES)),
-        ],
+            "entidad_de_desaparicion": replace_values(F.col("entidad_de_desaparicion"), S.DECEMBER_STATES),
+        },
     )
+    df = recode_dictionary(df, vocabulary, DECEMBER_VOCABULARY_FIELDS)
     df = lookup_join(
         df,
         prepare_catalog(catalog).select("name_ent", "name_mun", "id_ent", "id_mun"),
@@ -111,13 +105,13 @@ def clean_july(raw: DataFrame, vocabulary: DataFrame) -> DataFrame:
     df = rename(df, {"clave_municipio_desp": "clave_municipio", "clave_colonia_desp": "clave_colonia"})
     df = mutate(
         df,
-        [
-            ("año_desaparicion", year_of(F.col("fecha_de_desaparicion"))),
-            ("año_localizacion", year_of(F.col("fecha_de_localizacion"))),
-            ("clave_municipio_desp", pad_left(F.col("clave_municipio_desp"), 3)),
-            ("condicion_localizacion", fill_missing(F.col("condicion_localizacion"), S.MISSING)),
-            *[(name, replace_values(F.col(name), pairs)) for name, pairs in S.JULY_REPLACEMENTS.items()],
-        ],
+        {
+            "año_desaparicion": year_of(F.col("fecha_de_desaparicion")),
+            "año_localizacion": year_of(F.col("fecha_de_localizacion")),
+            "clave_municipio_desp": pad_left(F.col("clave_municipio_desp"), 3),
+            "condicion_localizacion": fill_missing(F.col("condicion_localizacion"), S.MISSING),
+            **{name: replace_values(F.col(name), pairs) for name, pairs in S.JULY_REPLACEMENTS.items()},
+        },
     )
     df = recode_dictionary(df, vocabulary, JULY_VOCABULARY_FIELDS)
     return select_strict(df, S.JULY_COLUMNS)
