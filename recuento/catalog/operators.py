@@ -526,7 +526,7 @@ def rate_per_100k(spark, sf_dir):
 
 def _named_orders(spark, sf_dir):
     """Orders with a state and municipality name, sometimes NULL or unlisted."""
-    by_header = {clean: e for _, clean, e in standins.DECEMBER_RAW}
+    by_header = {clean: e for _, clean, e in standins.december_columns(standins.SPARK)}
     return table(spark, sf_dir, "orders").selectExpr(
         "o_orderkey",
         f"CASE lower({by_header['entidad_de_desaparicion']}) WHEN 'ciudad de mexico' THEN 'ciudad de méxico' "
@@ -536,7 +536,7 @@ def _named_orders(spark, sf_dir):
 
 
 def _named_orders_sql() -> str:
-    by_header = {clean: e for _, clean, e in standins.DECEMBER_RAW}
+    by_header = {clean: e for _, clean, e in standins.december_columns(standins.DUCKDB)}
     return (
         f"(SELECT o_orderkey, CASE lower({by_header['entidad_de_desaparicion']}) WHEN 'ciudad de mexico' "
         f"THEN 'ciudad de méxico' ELSE lower({by_header['entidad_de_desaparicion']}) END AS name_ent, "

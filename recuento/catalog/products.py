@@ -7,6 +7,8 @@ from recuento.catalog.base import Query, band_sql, case_sql, literal, nearest_sq
 from recuento.operators import profiling
 from recuento.plans import census, descriptives, narrative, rates, regions, registry
 from recuento.plans import settings as S
+from recuento.session import fresh_path
+from recuento.sources import files
 
 QUERIES: list[Query] = []
 
@@ -50,7 +52,7 @@ _DEC_COLUMNS, _DEC_JOINS = _recoded(
         _KEPT,
     ),
 )
-_DEC_TEXT = [name for _, name, _ in standins.DECEMBER_RAW if name not in ("id", "edad")]
+_DEC_TEXT = [name for name in standins.DECEMBER_NAMES if name not in ("id", "edad")]
 
 
 def _date_sql(x: str) -> str:
@@ -189,7 +191,15 @@ def july_registry(spark, sf_dir):
 
 @registered(DECEMBER + f"SELECT {_columns(S.DECEMBER_COLUMNS)} FROM registry")
 def registry_clean_december(spark, sf_dir):
-    return december_registry(spark, sf_dir)
+    """The delivery is landed as a table first, as it would be on a data lake."""
+    raw = standins.december_raw(spark, sf_dir)
+    path = fresh_path(spark, "delivery")
+    files.write_snapshot(raw, path)
+    return registry.clean_december(
+        files.read_delivery(spark, path, raw.schema),
+        standins.vocabulary(spark, standins.DECEMBER_VOCABULARY),
+        standins.geo_catalog(spark, sf_dir),
+    )
 
 
 @registered(JULY + f"SELECT {_columns(S.JULY_COLUMNS)} FROM registry")
@@ -440,7 +450,7 @@ def municipal_map(spark, sf_dir):
 
 def _profile_sql() -> str:
     parts = []
-    for i, (_, name, _) in enumerate(standins.DECEMBER_RAW, 1):
+    for i, name in enumerate(standins.DECEMBER_NAMES, 1):
         kind = {"id": "bigint", "edad": "int"}.get(name, "string")
         parts.append(
             f"SELECT {i} AS position, '{name}' AS \"column\", '{kind}' AS type, count(*) AS rows, "
@@ -453,7 +463,7 @@ def _profile_sql() -> str:
 @registered(_profile_sql())
 def raw_registry_profile(spark, sf_dir):
     """Profile of the delivery, under its clean column names."""
-    raw = standins.december_raw(spark, sf_dir).toDF(*[name for _, name, _ in standins.DECEMBER_RAW])
+    raw = standins.december_raw(spark, sf_dir).toDF(*standins.DECEMBER_NAMES)
     return profiling.profile_columns(raw)
 
 

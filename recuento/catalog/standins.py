@@ -9,9 +9,11 @@ category terms are invented.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 
-from recuento.catalog.base import table, values_sql
+from recuento.catalog.base import literal, table, values_sql
 from recuento.operators.dictionary import small_table
 
 _DAY = "(CAST(o_orderdate AS DATE) + CASE WHEN o_orderkey % 10 = 0 THEN 0 ELSE 7200 END)"
@@ -19,131 +21,145 @@ _FOUND = f"({_DAY} + CAST(o_orderkey % 60 AS INT))"
 _PLACE = "(o_custkey % 27)"
 
 
-def _dmy(day: str, sep: str, pad: bool = True, year_digits: int = 4) -> str:
-    parts = [f"CAST(day({day}) AS STRING)", f"CAST(month({day}) AS STRING)"]
-    if pad:
-        parts = [f"lpad({p}, 2, '0')" for p in parts]
-    year = f"CAST(year({day}) AS STRING)"
-    if year_digits == 2:
-        year = f"substr({year}, 3, 2)"
-    return f" || '{sep}' || ".join([*parts, year])
+@dataclass(frozen=True)
+class Dialect:
+    """How one engine formats a date and takes the n-th of a few texts."""
 
+    dates: dict[str, str]
+    format_date: str
+    pick_one: str
 
-def _pick(x: str, *values: str | None) -> str:
-    arms = " ".join(
-        f"WHEN {i} THEN {'NULL' if v is None else chr(39) + v + chr(39)}" for i, v in enumerate(values)
-    )
-    return f"CASE ({x}) % {len(values)} {arms} END"
+    def dmy(self, day: str, shape: str) -> str:
+        return self.format_date.format(day=day, shape=self.dates[shape])
 
+    def pick(self, x: str, *values: str | None) -> str:
+        listed = ", ".join(literal(v) for v in values)
+        return self.pick_one.format(values=listed, place=f"CAST(({x}) % {len(values)} AS INT) + 1")
 
-# (header as delivered, clean name, expression)
-DECEMBER_RAW = (
-    ("ID", "id", "o_orderkey"),
-    (
-        "Fecha de inicio de reporte en la CBPCDMX",
-        "fecha_de_inicio_de_reporte_en_la_cbpcdmx",
-        _dmy(f"({_DAY} + 2)", "/", pad=False),
-    ),
-    ("Fuente de Reporte", "fuente_de_reporte", _pick("o_orderkey", "Noticia", "Reporte", "REPORTE", None)),
-    (
-        "Origen de la Noticia",
-        "origen_de_la_noticia",
-        _pick(
-            "o_orderkey",
-            "Portal Web",
-            "oficina central",
-            "Oficina Distrital",
-            "colectivo norte",
-            "Asociación Vecinal",
-            "PENDIENTE",
-            "radio local",
-            None,
-            "portal web",
+
+SPARK = Dialect(
+    {"d/m/y": "d/M/yyyy", "dd/mm/yyyy": "dd/MM/yyyy", "dd-mm-yy": "dd-MM-yy"},
+    "date_format({day}, '{shape}')",
+    "element_at(array({values}), {place})",
+)
+DUCKDB = Dialect(
+    {"d/m/y": "%-d/%-m/%Y", "dd/mm/yyyy": "%d/%m/%Y", "dd-mm-yy": "%d-%m-%y"},
+    "strftime({day}, '{shape}')",
+    "[{values}][{place}]",
+)
+
+
+def december_columns(sql: Dialect) -> tuple:
+    """(header as delivered, clean name, expression)"""
+    return (
+        ("ID", "id", "o_orderkey"),
+        (
+            "Fecha de inicio de reporte en la CBPCDMX",
+            "fecha_de_inicio_de_reporte_en_la_cbpcdmx",
+            sql.dmy(f"({_DAY} + 2)", "d/m/y"),
         ),
-    ),
-    ("Sexo", "sexo", "CASE WHEN o_custkey % 13 = 0 THEN NULL WHEN o_custkey % 2 = 0 THEN 'Hombre' ELSE 'MUJER' END"),
-    ("Edad", "edad", "CASE WHEN o_orderkey % 19 = 0 THEN NULL ELSE CAST(o_orderkey * 7 % 95 AS INT) END"),
-    ("Lugar de Nacimiento", "lugar_de_nacimiento", _pick("o_custkey", "Puebla", "Ciudad de Mexico", None)),
-    ("Nacionalidad", "nacionalidad", "'Mexicana'"),
-    (
-        "Escolaridad",
-        "escolaridad",
-        _pick(
-            "o_custkey",
-            "Primaria",
-            "SECUNDARIA",
-            "bachiller",
-            "Prepa",
-            "Licenciatura",
-            "Maestro",
-            "taller",
-            "s/d",
-            None,
-            "Ninguna",
+        ("Fuente de Reporte", "fuente_de_reporte", sql.pick("o_orderkey", "Noticia", "Reporte", "REPORTE", None)),
+        (
+            "Origen de la Noticia",
+            "origen_de_la_noticia",
+            sql.pick(
+                "o_orderkey",
+                "Portal Web",
+                "oficina central",
+                "Oficina Distrital",
+                "colectivo norte",
+                "Asociación Vecinal",
+                "PENDIENTE",
+                "radio local",
+                None,
+                "portal web",
+            ),
         ),
-    ),
-    ("Estado Civil", "estado_civil", _pick("o_orderkey", "Casada", "soltera", "Reservado", "viuda", None, "unido")),
-    (
-        "Parentesco (reportante)",
-        "parentesco_reportante",
-        _pick("o_custkey", "Mamá", "TIO", "esposo", "colega", "s/d", "sin relación", None),
-    ),
-    (
-        "Fecha de desaparición",
-        "fecha_de_desaparicion",
-        f"CASE WHEN o_orderkey % 97 = 0 THEN 'n/a' WHEN o_orderkey % 97 = 1 THEN '31/02/2019' "
-        f"WHEN o_orderkey % 7 = 0 THEN {_dmy(_DAY, '-', year_digits=2)} ELSE {_dmy(_DAY, '/')} END",
-    ),
-    (
-        "Entidad de desaparición",
-        "entidad_de_desaparicion",
-        f"CASE WHEN {_PLACE} = 26 THEN NULL ELSE "
-        + _pick(_PLACE, "Africa", "America", "Ciudad de Mexico", "Mexico", "Middle East")
-        + " END",
-    ),
-    (
-        "Municipio/alcadía de la desaparición",
-        "municipio_alcadia_de_la_desaparicion",
-        f"CASE {_PLACE} WHEN 26 THEN NULL WHEN 2 THEN 'Alvaro Obregon' WHEN 7 THEN 'COYOACAN' "
-        f"ELSE 'Nation_' || CAST({_PLACE} AS STRING) END",
-    ),
-    ("Colonia de la desaparición", "colonia_de_la_desaparicion", "'Colonia ' || CAST(o_custkey % 50 AS STRING)"),
-    ("Circunstancias de la desaparición", "circunstancias_de_la_desaparicion", "o_orderpriority"),
-    ("Estatus de localización", "estatus_de_localizacion", "o_orderstatus"),
-    (
-        "Condición localización",
-        "condicion_localizacion",
-        "CASE WHEN o_orderstatus = 'P' THEN NULL WHEN o_orderkey % 3 = 0 THEN 'Sin Vida' ELSE 'Con vida' END",
-    ),
-    (
-        "Fecha de localización",
-        "fecha_de_localizacion",
-        f"CASE WHEN o_orderstatus = 'P' THEN NULL ELSE {_dmy(_FOUND, '/')} END",
-    ),
-    ("Estado de salud", "estado_de_salud", _pick("o_orderkey", "Bueno", "enferma", "con lesiones", None)),
-    ("Constancia de localización", "constancia_de_localizacion", _pick("o_custkey", "Sí", "No")),
-    (
-        "Municipio/alcaldía de la localización",
-        "municipio_alcaldia_de_la_localizacion",
-        _pick("o_custkey", "Norte", "Sur", None),
-    ),
-    (
-        "Tipo de lugar de la localización",
-        "tipo_de_lugar_de_la_localizacion",
-        _pick(
-            "o_custkey",
-            "Su Casa",
-            "casa de amiga",
-            "Clinica",
-            "servicio forense",
-            "vía pública",
-            None,
-            "camión",
-            "mp",
+        ("Sexo", "sexo", "CASE WHEN o_custkey % 13 = 0 THEN NULL WHEN o_custkey % 2 = 0 THEN 'Hombre' ELSE 'MUJER' END"),
+        ("Edad", "edad", "CASE WHEN o_orderkey % 19 = 0 THEN NULL ELSE CAST(o_orderkey * 7 % 95 AS INT) END"),
+        ("Lugar de Nacimiento", "lugar_de_nacimiento", sql.pick("o_custkey", "Puebla", "Ciudad de Mexico", None)),
+        ("Nacionalidad", "nacionalidad", "'Mexicana'"),
+        (
+            "Escolaridad",
+            "escolaridad",
+            sql.pick(
+                "o_custkey",
+                "Primaria",
+                "SECUNDARIA",
+                "bachiller",
+                "Prepa",
+                "Licenciatura",
+                "Maestro",
+                "taller",
+                "s/d",
+                None,
+                "Ninguna",
+            ),
         ),
-    ),
-    ("Motivo referido de desaparición", "motivo_referido_de_desaparicion", _pick("o_orderkey", "Ausencia", "Otro")),
-)
+        ("Estado Civil", "estado_civil", sql.pick("o_orderkey", "Casada", "soltera", "Reservado", "viuda", None, "unido")),
+        (
+            "Parentesco (reportante)",
+            "parentesco_reportante",
+            sql.pick("o_custkey", "Mamá", "TIO", "esposo", "colega", "s/d", "sin relación", None),
+        ),
+        (
+            "Fecha de desaparición",
+            "fecha_de_desaparicion",
+            f"CASE WHEN o_orderkey % 97 = 0 THEN 'n/a' WHEN o_orderkey % 97 = 1 THEN '31/02/2019' "
+            f"WHEN o_orderkey % 7 = 0 THEN {sql.dmy(_DAY, 'dd-mm-yy')} ELSE {sql.dmy(_DAY, 'dd/mm/yyyy')} END",
+        ),
+        (
+            "Entidad de desaparición",
+            "entidad_de_desaparicion",
+            f"CASE WHEN {_PLACE} = 26 THEN NULL ELSE "
+            + sql.pick(_PLACE, "Africa", "America", "Ciudad de Mexico", "Mexico", "Middle East")
+            + " END",
+        ),
+        (
+            "Municipio/alcadía de la desaparición",
+            "municipio_alcadia_de_la_desaparicion",
+            f"CASE {_PLACE} WHEN 26 THEN NULL WHEN 2 THEN 'Alvaro Obregon' WHEN 7 THEN 'COYOACAN' "
+            f"ELSE 'Nation_' || CAST({_PLACE} AS STRING) END",
+        ),
+        ("Colonia de la desaparición", "colonia_de_la_desaparicion", "'Colonia ' || CAST(o_custkey % 50 AS STRING)"),
+        ("Circunstancias de la desaparición", "circunstancias_de_la_desaparicion", "o_orderpriority"),
+        ("Estatus de localización", "estatus_de_localizacion", "o_orderstatus"),
+        (
+            "Condición localización",
+            "condicion_localizacion",
+            "CASE WHEN o_orderstatus = 'P' THEN NULL WHEN o_orderkey % 3 = 0 THEN 'Sin Vida' ELSE 'Con vida' END",
+        ),
+        (
+            "Fecha de localización",
+            "fecha_de_localizacion",
+            f"CASE WHEN o_orderstatus = 'P' THEN NULL ELSE {sql.dmy(_FOUND, 'dd/mm/yyyy')} END",
+        ),
+        ("Estado de salud", "estado_de_salud", sql.pick("o_orderkey", "Bueno", "enferma", "con lesiones", None)),
+        ("Constancia de localización", "constancia_de_localizacion", sql.pick("o_custkey", "Sí", "No")),
+        (
+            "Municipio/alcaldía de la localización",
+            "municipio_alcaldia_de_la_localizacion",
+            sql.pick("o_custkey", "Norte", "Sur", None),
+        ),
+        (
+            "Tipo de lugar de la localización",
+            "tipo_de_lugar_de_la_localizacion",
+            sql.pick(
+                "o_custkey",
+                "Su Casa",
+                "casa de amiga",
+                "Clinica",
+                "servicio forense",
+                "vía pública",
+                None,
+                "camión",
+                "mp",
+            ),
+        ),
+        ("Motivo referido de desaparición", "motivo_referido_de_desaparicion", sql.pick("o_orderkey", "Ausencia", "Otro")),
+    )
+
+DECEMBER_NAMES = tuple(name for _, name, _ in december_columns(SPARK))
 
 DECEMBER_VOCABULARY = (
     ("origen_de_la_noticia", "oficina central", "autoridades en general", 1),
@@ -178,15 +194,15 @@ DECEMBER_VOCABULARY = (
     ("tipo_de_lugar_de_la_localizacion", "clinica", "en centro de salud u hospital", 6),
 )
 
-JULY_RAW = tuple(
-    (clean, expr)
-    for clean, expr in (
+def july_columns(sql: Dialect) -> tuple:
+    """(name, expression)"""
+    return (
         ("id", "CAST(o_orderkey % 14000 AS STRING)"),
         ("fecha_de_inicio_de_reporte_en_la_cbpcdmx", "o_orderdate + INTERVAL 20 YEAR"),
-        ("fuente_de_reporte", _pick("o_orderkey", "noticia", "reporte", "reporte", None)),
+        ("fuente_de_reporte", sql.pick("o_orderkey", "noticia", "reporte", "reporte", None)),
         (
             "origen_de_la_noticia",
-            _pick(
+            sql.pick(
                 "o_orderkey",
                 "portal web",
                 "oficina central",
@@ -199,23 +215,23 @@ JULY_RAW = tuple(
         ),
         ("sexo", "CASE WHEN o_custkey % 13 = 0 THEN NULL WHEN o_custkey % 2 = 0 THEN 'hombre' ELSE 'mujer' END"),
         ("edad", "CASE WHEN o_orderkey % 19 = 0 THEN NULL ELSE CAST(o_orderkey * 7 % 95 AS INT) END"),
-        ("lugar_de_nacimiento", _pick("o_custkey", "Puebla", "ciudad de mexico", "tampico", None, "oaxaca")),
+        ("lugar_de_nacimiento", sql.pick("o_custkey", "Puebla", "ciudad de mexico", "tampico", None, "oaxaca")),
         ("nacionalidad", "'mexicana'"),
         (
             "escolaridad",
-            _pick("o_custkey", "primaria", "secundaria", "bachiller", "prepa", "licenciatura", "maestro", None),
+            sql.pick("o_custkey", "primaria", "secundaria", "bachiller", "prepa", "licenciatura", "maestro", None),
         ),
-        ("estado_civil", _pick("o_orderkey", "divorciado", "soltero(a)", None)),
-        ("parentesco_reportante", _pick("o_custkey", "mamá", "tio", "esposo", "colega", "sin relación", None)),
+        ("estado_civil", sql.pick("o_orderkey", "divorciado", "soltero(a)", None)),
+        ("parentesco_reportante", sql.pick("o_custkey", "mamá", "tio", "esposo", "colega", "sin relación", None)),
         (
             "fecha_de_desaparicion",
             "CASE WHEN o_orderkey % 31 = 0 THEN NULL ELSE o_orderdate + INTERVAL 20 YEAR END",
         ),
         (
             "entidad_de_desaparicion",
-            _pick("o_custkey", "ciudad de mexico", "estado de mexico", "veracruz de ignacio de la llave", None),
+            sql.pick("o_custkey", "ciudad de mexico", "estado de mexico", "veracruz de ignacio de la llave", None),
         ),
-        ("municipio_alcadia_de_la_desaparicion", _pick("o_custkey", "alvaro obregon", "tlalpan", "azcapotzalco")),
+        ("municipio_alcadia_de_la_desaparicion", sql.pick("o_custkey", "alvaro obregon", "tlalpan", "azcapotzalco")),
         ("colonia_de_la_desaparicion", "'colonia ' || CAST(o_custkey % 50 AS STRING)"),
         ("circunstancias_de_la_desaparicion", "o_orderpriority"),
         ("estatus_de_localizacion", "o_orderstatus"),
@@ -227,23 +243,22 @@ JULY_RAW = tuple(
             "fecha_de_localizacion",
             "CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderdate + INTERVAL 21 YEAR END",
         ),
-        ("estado_de_salud", _pick("o_orderkey", "buen estado general", "con lesiones", None)),
-        ("constancia_de_localizacion", _pick("o_custkey", "sí", "no")),
-        ("municipio_alcaldia_de_la_localizacion", _pick("o_custkey", "ecatepec", "tlalnepantla", "norte", None)),
+        ("estado_de_salud", sql.pick("o_orderkey", "buen estado general", "con lesiones", None)),
+        ("constancia_de_localizacion", sql.pick("o_custkey", "sí", "no")),
+        ("municipio_alcaldia_de_la_localizacion", sql.pick("o_custkey", "ecatepec", "tlalnepantla", "norte", None)),
         (
             "tipo_de_lugar_de_la_localizacion",
-            _pick("o_custkey", "su casa", "casa de amiga", "vía pública", None, "camión"),
+            sql.pick("o_custkey", "su casa", "casa de amiga", "vía pública", None, "camión"),
         ),
-        ("motivo_referido_de_desaparicion", _pick("o_orderkey", "ausencia", "otro")),
+        ("motivo_referido_de_desaparicion", sql.pick("o_orderkey", "ausencia", "otro")),
         (
             "clave_municipio",
             f"CASE WHEN {_PLACE} = 26 THEN NULL WHEN {_PLACE} = 25 THEN '12345' "
             f"ELSE CAST({_PLACE} + 1 AS STRING) END",
         ),
         ("clave_colonia", "CAST(o_custkey % 50 AS STRING)"),
-        ("delito_del_que_fue_victima", _pick("o_orderkey", "NINGUNO", "robo simple", "hurto", None, "otro delito")),
+        ("delito_del_que_fue_victima", sql.pick("o_orderkey", "NINGUNO", "robo simple", "hurto", None, "otro delito")),
     )
-)
 
 JULY_VOCABULARY = (
     ("origen_de_la_noticia", "oficina central", "autoridades en general", 1),
@@ -297,38 +312,39 @@ CENSUS_PERSONS = (
     ),
 )
 
-POPULATION_PROJECTION = (
-    ("NOM_ENT", "CASE WHEN c_nationkey % 3 = 0 THEN 'Otro Estado' ELSE 'Ciudad de MÈxico' END"),
-    ("A—O", "CAST(2019 + (c_custkey % 7) % 4 AS INT)"),
-    ("CLAVE_ENT", "9"),
-    (
-        "MUN",
-        _pick(
-            "c_custkey",
-            "¡lvaro ObregÛn",
-            "Azcapotzalco",
-            "Benito Ju·rez",
-            "Coyoac·n",
-            "Cuajimalpa de Morelos",
-            "CuauhtÈmoc",
-            "Gustavo A. Madero",
-            "Iztacalco",
-            "Iztapalapa",
-            "La Magdalena Contreras",
-            "Miguel Hidalgo",
-            "Milpa Alta",
-            "Tlalpan",
-            "Tl·huac",
-            "Venustiano Carranza",
-            "Xochimilco",
-            "Otro Municipio",
+def projection_columns(sql: Dialect) -> tuple:
+    return (
+        ("NOM_ENT", "CASE WHEN c_nationkey % 3 = 0 THEN 'Otro Estado' ELSE 'Ciudad de MÈxico' END"),
+        ("A—O", "CAST(2019 + (c_custkey % 7) % 4 AS INT)"),
+        ("CLAVE_ENT", "9"),
+        (
+            "MUN",
+            sql.pick(
+                "c_custkey",
+                "¡lvaro ObregÛn",
+                "Azcapotzalco",
+                "Benito Ju·rez",
+                "Coyoac·n",
+                "Cuajimalpa de Morelos",
+                "CuauhtÈmoc",
+                "Gustavo A. Madero",
+                "Iztacalco",
+                "Iztapalapa",
+                "La Magdalena Contreras",
+                "Miguel Hidalgo",
+                "Milpa Alta",
+                "Tlalpan",
+                "Tl·huac",
+                "Venustiano Carranza",
+                "Xochimilco",
+                "Otro Municipio",
+            ),
         ),
-    ),
-    (
-        "POB",
-        "CASE WHEN c_custkey % 17 = 5 AND c_custkey % 5 = 0 THEN NULL ELSE CAST(c_custkey % 1000 + 5000 AS INT) END",
-    ),
-)
+        (
+            "POB",
+            "CASE WHEN c_custkey % 17 = 5 AND c_custkey % 5 = 0 THEN NULL ELSE CAST(c_custkey % 1000 + 5000 AS INT) END",
+        ),
+    )
 
 NATIONAL_COUNTS = (
     (
@@ -346,11 +362,11 @@ VERTICES_PER_VECTOR = 32
 
 
 def december_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").selectExpr(*[f"{e} AS `{header}`" for header, _, e in DECEMBER_RAW])
+    return table(spark, sf_dir, "orders").selectExpr(*[f"{e} AS `{header}`" for header, _, e in december_columns(SPARK)])
 
 
 def july_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").selectExpr(*[f"{e} AS `{name}`" for name, e in JULY_RAW])
+    return table(spark, sf_dir, "orders").selectExpr(*[f"{e} AS `{name}`" for name, e in july_columns(SPARK)])
 
 
 def vocabulary(spark: SparkSession, rows: tuple) -> DataFrame:
@@ -368,7 +384,7 @@ def census_persons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def population_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").selectExpr(*[f"{e} AS `{name}`" for name, e in POPULATION_PROJECTION])
+    return table(spark, sf_dir, "customer").selectExpr(*[f"{e} AS `{name}`" for name, e in projection_columns(SPARK)])
 
 
 def national_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -399,11 +415,11 @@ def vocabulary_sql(rows: tuple) -> str:
     )
 
 
-DECEMBER_RAW_SQL = _select([(name, e) for _, name, e in DECEMBER_RAW], "orders")
-JULY_RAW_SQL = _select(JULY_RAW, "orders")
+DECEMBER_RAW_SQL = _select([(name, e) for _, name, e in december_columns(DUCKDB)], "orders")
+JULY_RAW_SQL = _select(july_columns(DUCKDB), "orders")
 GEO_CATALOG_SQL = _select(GEO_CATALOG, "nation JOIN region ON n_regionkey = r_regionkey")
 CENSUS_SQL = _select(CENSUS_PERSONS, "customer")
-PROJECTION_SQL = _select(POPULATION_PROJECTION, "customer")
+PROJECTION_SQL = _select(projection_columns(DUCKDB), "customer")
 NATIONAL_SQL = _select(NATIONAL_COUNTS, "lineitem")
 VERTICES_SQL = (
     f"SELECT '09' || {_REGION} AS CVEGEO, {_REGION} AS CVE_MUN, i AS pos, "

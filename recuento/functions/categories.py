@@ -70,7 +70,8 @@ def replace_values(col: Column, pairs: Sequence[tuple[object, object]]) -> Colum
     """One-value replacements applied in order; NULL stays NULL.
 
     A later pair sees the result of an earlier one, so each starting value is
-    followed through the list here and the expression tests every value once.
+    followed through the list here and one constant map holds the results. The
+    map keeps the generated code short, whatever the number of pairs.
     """
     final: dict[object, object] = {}
     for start, _ in pairs:
@@ -79,7 +80,8 @@ def replace_values(col: Column, pairs: Sequence[tuple[object, object]]) -> Colum
             if value == old:
                 value = new
         final.setdefault(start, value)
-    return first_match([(col == F.lit(old), new) for old, new in final.items()], col)
+    table = F.create_map(*[F.lit(item) for pair in final.items() for item in pair])
+    return F.coalesce(F.try_element_at(table, col), col)
 
 
 def band(col: Column, bands: Sequence[Band]) -> Column:

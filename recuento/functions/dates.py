@@ -5,30 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-DAY_MONTH_YEAR = r"^\d{1,2}-\d{1,2}-(\d{4}|\d{2})$|^\d{6}(\d{2})?$"
+from recuento.functions.categories import first_match
 
-
-def _two_digit_year(text: Column, pattern: str) -> Column:
-    """Spark puts ``yy`` in 2000-2099; 69 to 99 belong to the 1900s."""
-    parsed = F.try_to_date(text, pattern)
-    return F.when(F.year(parsed) >= 2069, F.add_months(parsed, -1200)).otherwise(parsed)
+_PART = r"(\d{2}|\d(?=[-/. ]))"
+_DATE = rf"^\s*{_PART}[-/. ]*{_PART}[-/. ]*(\d{{4}}|\d{{2}})\s*$"
+_FULL_YEAR = r"(\D|^\s*\d{4})\d{4}\s*$"
+_YEAR_OF_1900S = r"(69|[7-9]\d)\s*$"
 
 
 def parse_dmy(col: Column) -> Column:
     """Day-month-year text to a date; anything else, 31 February too, is NULL.
 
     Parts are separated by ``-``, ``/``, ``.`` or blanks, or not at all when day
-    and month have two digits. The shape is tested first, so that plain words
-    never reach the date parsers.
+    and month have two digits. Two-digit years from 69 on lie in the 1900s,
+    smaller ones in the 2000s. The text is turned into ``year-month-day`` and
+    cast once: the format parsers raise an error inside for each text that does
+    not fit, which is slow when many do not.
     """
-    text = F.regexp_replace(F.trim(col), r"[-/. ]+", "-")
-    parsed = F.coalesce(
-        F.try_to_date(text, "d-M-yyyy"),
-        _two_digit_year(text, "d-M-yy"),
-        F.try_to_date(text, "ddMMyyyy"),
-        _two_digit_year(text, "ddMMyy"),
-    )
-    return F.when(text.rlike(DAY_MONTH_YEAR), parsed)
+    century = first_match([(col.rlike(_FULL_YEAR), ""), (col.rlike(_YEAR_OF_1900S), "19")], "20")
+    iso = F.concat(century, F.regexp_replace(col, _DATE, "$3-$2-$1"))
+    return F.when(col.rlike(_DATE), iso).try_cast("date")
 
 
 def year_of(col: Column) -> Column:

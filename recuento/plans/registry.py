@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from recuento.functions.categories import KEEP, fill_missing, replace_values
 from recuento.functions.dates import parse_dmy, year_of
-from recuento.functions.text import pad_left, paste, replace_all
+from recuento.functions.text import pad_left, paste
 from recuento.operators.columns import (
     cast_text,
     clean_names,
@@ -55,10 +55,11 @@ def prepare_catalog(catalog: DataFrame) -> DataFrame:
 
 
 def _parse_dates(df: DataFrame) -> DataFrame:
+    """Dates and years. The parser takes slashes as well as dashes."""
     dates = ("fecha_de_inicio_de_reporte_en_la_cbpcdmx", "fecha_de_desaparicion", "fecha_de_localizacion")
     return mutate(
         df,
-        {name: parse_dmy(replace_all(F.col(name), "/", "-")) for name in dates},
+        {name: parse_dmy(F.col(name)) for name in dates},
         {
             "year_desaparicion": year_of(F.col("fecha_de_desaparicion")),
             "year_localizacion": year_of(F.col("fecha_de_localizacion")),
@@ -72,8 +73,7 @@ def clean_december(raw: DataFrame, vocabulary: DataFrame, catalog: DataFrame) ->
     ``catalog`` is the geo catalog as delivered; it should hold one row per
     state and municipality (``assert_unique``).
     """
-    df = lower_text_columns(clean_names(raw))
-    df = _parse_dates(cast_text(df, ["id"]))
+    df = lower_text_columns(_parse_dates(cast_text(clean_names(raw), ["id"])))
     df = mutate(
         df,
         {
