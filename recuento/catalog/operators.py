@@ -346,14 +346,6 @@ def year_bucket_count(spark, sf_dir):
     return reshape.drop_null_rows(counting.group_count(bucketed, ["bucket"]))
 
 
-def _dated_lines(spark, sf_dir):
-    """Lines next to their order. The order key is unique on the order side."""
-    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
-    joined = lines.join(orders, lines.l_orderkey == orders.o_orderkey)
-    days = dates.days_between(F.col("o_orderdate"), F.col("l_shipdate")).alias("days")
-    return joined.select("l_orderkey", "l_linenumber", "l_returnflag", "o_orderstatus", days)
-
-
 DATED = (
     "(SELECT l_orderkey, l_linenumber, l_returnflag, o_orderstatus, "
     "date_diff('day', CAST(l_shipdate AS DATE), CAST(o_orderdate AS DATE)) AS days "
@@ -363,7 +355,11 @@ DATED = (
 
 @registered(f"SELECT l_orderkey, l_linenumber, days FROM {DATED}")
 def days_between(spark, sf_dir):
-    return _dated_lines(spark, sf_dir).select("l_orderkey", "l_linenumber", "days")
+    """Every line next to its order, whose key is unique on the order side."""
+    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    joined = lines.join(orders, lines.l_orderkey == orders.o_orderkey)
+    days = dates.days_between(F.col("o_orderdate"), F.col("l_shipdate")).alias("days")
+    return joined.select("l_orderkey", "l_linenumber", days)
 
 
 @registered(
@@ -371,8 +367,15 @@ def days_between(spark, sf_dir):
     "WHERE o_orderstatus <> 'P' GROUP BY o_orderstatus, l_returnflag"
 )
 def mean_days(spark, sf_dir):
-    closed = _dated_lines(spark, sf_dir).where(predicates.differs(F.col("o_orderstatus"), "P"))
-    return closed.groupBy("o_orderstatus", "l_returnflag").agg(counting.mean_known(F.col("days")).alias("mean"))
+    """Lines are counted per order and date first, so that an order with very
+    many lines joins as a few rows; the mean weighs the days by these counts."""
+    lines = table(spark, sf_dir, "lineitem").withColumn("shipped", F.col("l_shipdate").cast("date"))
+    counts = counting.group_count(lines, ["l_orderkey", "l_returnflag", "shipped"], "n")
+    orders = table(spark, sf_dir, "orders").where(predicates.differs(F.col("o_orderstatus"), "P"))
+    joined = counts.join(orders, counts.l_orderkey == orders.o_orderkey)
+    days = dates.days_between(F.col("o_orderdate"), F.col("shipped"))
+    mean = F.try_divide(F.sum(days * F.col("n")).cast("double"), F.sum("n").cast("double"))
+    return joined.groupBy("o_orderstatus", "l_returnflag").agg(mean.alias("mean"))
 
 
 # --- counts, sums, shares ---------------------------------------------------

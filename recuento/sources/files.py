@@ -12,17 +12,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from recuento.sources.schemas import REGION_VERTICES, VOCABULARY
+
 MISSING_TEXT = "NA"
 
 
-def _csv_options(encoding: str, name_pattern: str | None) -> dict[str, str]:
+def _csv_options(encoding: str, name_pattern: str | None, trim: bool = True) -> dict[str, str]:
     options = {
         "header": "true",
         "encoding": encoding,
         "nullValue": MISSING_TEXT,
         "emptyValue": "",
-        "ignoreLeadingWhiteSpace": "true",
-        "ignoreTrailingWhiteSpace": "true",
+        "ignoreLeadingWhiteSpace": str(trim).lower(),
+        "ignoreTrailingWhiteSpace": str(trim).lower(),
         "enforceSchema": "false",
     }
     if name_pattern:
@@ -49,14 +51,16 @@ def read_csv(
     *,
     encoding: str = "UTF-8",
     name_pattern: str | None = None,
+    trim: bool = True,
 ) -> DataFrame:
     """Header CSV with a full schema; blank cells and ``NA`` are NULL.
 
     The header of every file is compared with the schema. ``name_pattern``
-    keeps only the files whose name fits, such as ``*Personas*``.
+    keeps only the files whose name fits, such as ``*Personas*``. Blanks around
+    a cell are dropped unless ``trim`` is off.
     """
     paths = [path] if isinstance(path, str) else list(path)
-    df = spark.read.schema(schema).options(**_csv_options(encoding, name_pattern)).csv(paths)
+    df = spark.read.schema(schema).options(**_csv_options(encoding, name_pattern, trim)).csv(paths)
     return _empty_text_is_missing(df)
 
 
@@ -125,8 +129,16 @@ def write_published_csv(df: DataFrame, path: str, *, encoding: str = "UTF-8") ->
     )
 
 
+def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
+    """Recode terms from CSV: ``field, raw, canonical, priority``.
+
+    ``field`` is a clean column name, ``raw`` the spelling as it is after lower-
+    casing, and the lowest ``priority`` wins where a term is listed twice. Cells
+    are kept as written, blanks included.
+    """
+    return read_csv(spark, path, VOCABULARY, trim=False)
+
+
 def read_vertices(spark: SparkSession, path: str, *, fmt: str = "parquet") -> DataFrame:
     """Polygon layer as a vertex table (see ``schemas.REGION_VERTICES``)."""
-    from recuento.sources.schemas import REGION_VERTICES
-
     return read_delivery(spark, path, REGION_VERTICES, fmt=fmt)
