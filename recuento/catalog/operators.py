@@ -81,7 +81,7 @@ def clean_names(spark, sf_dir):
 
 
 @registered(
-    "SELECT o_orderkey, d, year(d) AS y FROM (SELECT o_orderkey, "
+    "SELECT o_orderkey, d, CAST(year(d) AS INTEGER) AS y FROM (SELECT o_orderkey, "
     "CAST(try_strptime(replace(t, '/', '-'), '%d-%m-%Y') AS DATE) AS d FROM ("
     "SELECT o_orderkey, strftime(o_orderdate, '%d/%m/%Y') AS t FROM orders))"
 )
@@ -348,7 +348,7 @@ def year_bucket_count(spark, sf_dir):
 
 DATED = (
     "(SELECT l_orderkey, l_linenumber, l_returnflag, o_orderstatus, "
-    "date_diff('day', CAST(l_shipdate AS DATE), CAST(o_orderdate AS DATE)) AS days "
+    "CAST(date_diff('day', CAST(l_shipdate AS DATE), CAST(o_orderdate AS DATE)) AS INTEGER) AS days "
     "FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
 )
 

@@ -78,7 +78,8 @@ recoded AS (SELECT lowered.* REPLACE ({_DEC_COLUMNS},
   FROM lowered {_DEC_JOINS}),
 registry AS (SELECT recoded.*, id_ent AS cve_ent_desp, id_mun AS cv_mun_desp,
   coalesce(id_ent, 'NA') || coalesce(id_mun, 'NA') AS inegi,
-  year(fecha_de_desaparicion) AS year_desaparicion, year(fecha_de_localizacion) AS year_localizacion
+  CAST(year(fecha_de_desaparicion) AS INTEGER) AS year_desaparicion,
+  CAST(year(fecha_de_localizacion) AS INTEGER) AS year_localizacion
   FROM recoded LEFT JOIN catalog ON name_ent IS NOT DISTINCT FROM entidad_de_desaparicion
   AND name_mun IS NOT DISTINCT FROM municipio_alcadia_de_la_desaparicion)
 """
@@ -113,7 +114,8 @@ recoded AS (SELECT raw.* REPLACE ({_JULY_COLUMNS},
 registry AS (SELECT recoded.* EXCLUDE (clave_municipio, clave_colonia),
   CASE WHEN length(clave_municipio) < 3 THEN lpad(clave_municipio, 3, '0') ELSE clave_municipio END
     AS clave_municipio_desp, clave_colonia AS clave_colonia_desp,
-  year(fecha_de_desaparicion) AS "año_desaparicion", year(fecha_de_localizacion) AS "año_localizacion" FROM recoded)
+  CAST(year(fecha_de_desaparicion) AS INTEGER) AS "año_desaparicion",
+  CAST(year(fecha_de_localizacion) AS INTEGER) AS "año_localizacion" FROM recoded)
 """
 
 
