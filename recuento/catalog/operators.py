@@ -410,11 +410,11 @@ def sum_strict(spark, sf_dir):
 
 
 @registered(
-    "SELECT count(*) AS n FROM (SELECT DISTINCT CASE WHEN l_partkey % 10 = 0 THEN NULL ELSE l_partkey END AS k "
+    "SELECT count(*) AS n FROM (SELECT DISTINCT CASE WHEN l_returnflag = 'N' THEN NULL ELSE l_partkey END AS k "
     "FROM lineitem)"
 )
 def distinct_count(spark, sf_dir):
-    key = F.expr("CASE WHEN l_partkey % 10 = 0 THEN NULL ELSE l_partkey END").alias("k")
+    key = F.expr("CASE WHEN l_returnflag = 'N' THEN NULL ELSE l_partkey END").alias("k")
     return counting.distinct_count(table(spark, sf_dir, "lineitem").select(key), "k")
 
 
@@ -570,29 +570,21 @@ def natural_left_join(spark, sf_dir):
 
 
 def _regions(spark, sf_dir):
-    """Population and expensive orders of one year per nation, some without any.
+    """Documents as regions, their length as population, their labels as cases.
 
-    Orders are counted per customer first, so a customer with very many orders
-    is one row when the customers join.
+    Only some documents have labels; the others stay, without a count.
     """
-    people, nation = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
-    population = people.groupBy("c_nationkey").agg(F.sum(F.expr(PERSON_WEIGHT)).alias("pob"))
-    chosen = table(spark, sf_dir, "orders").where(
-        (F.col("o_totalprice") > 400_000) & (F.year("o_orderdate") == 1998) & (F.col("o_custkey") % 50 >= 30)
-    )
-    per_customer = counting.group_count(chosen, ["o_custkey"], "n")
-    placed = per_customer.join(people, per_customer.o_custkey == people.c_custkey)
-    cases = placed.where("c_nationkey % 5 <> 4").groupBy("c_nationkey").agg(F.sum("n").alias("n"))
-    regions = joins.lookup_join(nation.select("n_nationkey", "n_name"), population, {"n_nationkey": "c_nationkey"})
-    return joins.lookup_join(regions, cases, {"n_nationkey": "c_nationkey"})
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    population = counting.weighted_sum(documents, ["doc_id"], "n_chars", "pob")
+    cases = counting.group_count(labels, ["doc_id"], "n")
+    regions = joins.lookup_join(documents.select("doc_id", "lang"), population, ["doc_id"])
+    return joins.lookup_join(regions, cases.withColumnRenamed("doc_id", "labelled"), {"doc_id": "labelled"})
 
 
 REGIONS = (
-    "(SELECT n_nationkey, n_name, pob, n FROM nation LEFT JOIN (SELECT c_nationkey AS a, "
-    f"CAST(sum({PERSON_WEIGHT}) AS BIGINT) AS pob FROM customer GROUP BY a) ON a = n_nationkey "
-    "LEFT JOIN (SELECT c_nationkey AS b, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey "
-    "WHERE o_totalprice > 400000 AND year(o_orderdate) = 1998 AND o_custkey % 50 >= 30 AND c_nationkey % 5 <> 4 "
-    "GROUP BY b) ON b = n_nationkey)"
+    "(SELECT d.doc_id, d.lang, pob, n FROM documents d LEFT JOIN (SELECT doc_id AS a, "
+    "CAST(sum(n_chars) AS BIGINT) AS pob FROM documents GROUP BY a) ON a = d.doc_id "
+    "LEFT JOIN (SELECT doc_id AS b, count(*) AS n FROM labels GROUP BY b) ON b = d.doc_id)"
 )
 
 
@@ -602,19 +594,19 @@ def region_measures(spark, sf_dir):
 
 
 CLASSED = (
-    "(SELECT *, CASE WHEN rate IS NOT NULL THEN ntile(4) OVER (PARTITION BY rate IS NULL ORDER BY rate, n_nationkey) "
+    "(SELECT *, CASE WHEN rate IS NOT NULL THEN ntile(4) OVER (PARTITION BY rate IS NULL ORDER BY rate, doc_id) "
     f"END AS q FROM (SELECT *, CAST(n AS DOUBLE) * (100000 / CAST(pob AS DOUBLE)) AS rate FROM {REGIONS}))"
 )
 
 
 @registered(
-    f"SELECT n_nationkey, n, pob, rate, CAST(q AS VARCHAR) AS quartile, CASE WHEN q IS NOT NULL THEN printf('%.2f-%.2f', "
+    f"SELECT doc_id, n, pob, rate, CAST(q AS VARCHAR) AS quartile, CASE WHEN q IS NOT NULL THEN printf('%.2f-%.2f', "
     f"{nearest_sql('low', 2)}, {nearest_sql('high', 2)}) END AS range FROM (SELECT *, "
     f"min(rate) OVER (PARTITION BY q) AS low, max(rate) OVER (PARTITION BY q) AS high FROM {CLASSED})"
 )
 def quartile_class(spark, sf_dir):
     rates = _regions(spark, sf_dir).withColumn("rate", numbers.scaled_rate(F.col("n"), F.col("pob")))
-    classed = ranking.quantile_class(rates.drop("n_name"), "rate", ["n_nationkey"], 4, "quartile")
+    classed = ranking.quantile_class(rates.drop("lang"), "rate", ["doc_id"], 4, "quartile")
     ranged = ranking.class_ranges(classed, "rate", "quartile")
     return ranged.withColumn("quartile", F.col("quartile").cast("string"))
 

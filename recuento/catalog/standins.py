@@ -197,7 +197,7 @@ DECEMBER_VOCABULARY = (
 def july_columns(sql: Dialect) -> tuple:
     """(name, expression)"""
     return (
-        ("id", "CAST(o_orderkey % 14000 AS STRING)"),
+        ("id", "CAST(CASE WHEN o_orderstatus = 'P' THEN o_custkey ELSE o_orderkey END AS STRING)"),
         ("fecha_de_inicio_de_reporte_en_la_cbpcdmx", "o_orderdate + INTERVAL 20 YEAR"),
         ("fuente_de_reporte", sql.pick("o_orderkey", "noticia", "reporte", "reporte", None)),
         (
@@ -358,7 +358,6 @@ NATIONAL_COUNTS = (
 )
 
 _REGION = "CASE WHEN vec_id < 999 THEN lpad(CAST(vec_id + 1 AS STRING), 3, '0') ELSE CAST(vec_id + 1 AS STRING) END"
-VERTICES_PER_VECTOR = 32
 
 
 def december_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
