@@ -486,9 +486,9 @@ YOUNG = AGE_LEVELS[1:4]
 )
 def share_band_sum(spark, sf_dir):
     """Sum of shares that were rounded first."""
-    young = share_pct(spark, sf_dir).where(F.col("age_band").isin(list(YOUNG)))
-    per = F.sum(F.col("per").cast("decimal(18,2)")).cast("double")
-    return young.groupBy("l_linestatus", "l_returnflag").agg(per.alias("per_sum"))
+    return shares.sum_of_shares(
+        share_pct(spark, sf_dir), "age_band", YOUNG, ["l_linestatus", "l_returnflag"]
+    )
 
 
 @registered("SELECT count(*) AS total FROM orders WHERE o_orderstatus <> 'P'")

@@ -5,39 +5,64 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def profile_columns(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+_NESTED = (T.ArrayType, T.MapType, T.StructType)
+
+
+def _text(value: Column, field: T.StructField) -> Column:
+    """Smallest and largest as text; nested values have none."""
+    return F.lit(None).cast("string") if isinstance(field.dataType, _NESTED) else value.cast("string")
+
+
+def profile_columns(df: DataFrame, columns: Sequence[str] | None = None, *, distinct: str = "exact") -> DataFrame:
     """One row per column: type, rows, nulls, distinct values, smallest and largest.
 
-    Each column is counted by value first, so a frequent value shrinks to one
-    partial count per task before the shuffle, and every statistic, the exact
-    distinct count too, comes from these counts. A columnar source is read
-    once in total, because each branch reads its own column only.
+    ``"exact"``: each column is counted by value first, so a frequent value
+    shrinks to one partial count per task before the shuffle, and every
+    statistic comes from these counts. A columnar source is read once in total,
+    because each branch reads its own column only. ``"approximate"``: one pass
+    over all columns without a shuffle of values, for tables whose columns are
+    mostly unique; distinct counts are then estimates.
     """
-    wanted = [f for f in df.schema.fields if columns is None or f.name in columns]
-    order = {f.name: i for i, f in enumerate(df.schema.fields)}
-    parts = []
-    for field in wanted:
+    if distinct not in ("exact", "approximate"):
+        raise ValueError("distinct is 'exact' or 'approximate'")
+    wanted = [(i, f) for i, f in enumerate(df.schema.fields, 1) if columns is None or f.name in columns]
+    if distinct == "approximate":
+        return _one_pass(df, wanted)
+    return reduce(DataFrame.unionByName, [_by_value(df, i, field) for i, field in wanted])
+
+
+def _by_value(df: DataFrame, position: int, field: T.StructField) -> DataFrame:
+    counts = df.groupBy(F.col(f"`{field.name}`").alias("value")).agg(F.count("*").alias("n"))
+    missing = F.when(F.col("value").isNull(), F.col("n"))
+    return counts.agg(
+        F.lit(position).alias("position"),
+        F.lit(field.name).alias("column"),
+        F.lit(field.dataType.simpleString()).alias("type"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
+        F.coalesce(F.sum(missing), F.lit(0)).alias("nulls"),
+        F.count("value").alias("distinct"),
+        _text(F.min("value"), field).alias("min"),
+        _text(F.max("value"), field).alias("max"),
+    )
+
+
+def _one_pass(df: DataFrame, wanted: Sequence[tuple[int, T.StructField]]) -> DataFrame:
+    def summary(position: int, field: T.StructField) -> Column:
         value = F.col(f"`{field.name}`")
-        counts = df.groupBy(value.alias("value")).agg(F.count("*").alias("n"))
-        known = F.col("value").isNotNull()
-        low, high = F.min("value"), F.max("value")
-        if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
-            low = high = F.lit(None)
-        parts.append(
-            counts.agg(
-                F.lit(order[field.name] + 1).alias("position"),
-                F.lit(field.name).alias("column"),
-                F.lit(field.dataType.simpleString()).alias("type"),
-                F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
-                F.coalesce(F.sum(F.when(~known, F.col("n"))), F.lit(0)).alias("nulls"),
-                F.count("value").alias("distinct"),
-                low.cast("string").alias("min"),
-                high.cast("string").alias("max"),
-            )
+        return F.struct(
+            F.lit(position).alias("position"),
+            F.lit(field.name).alias("column"),
+            F.lit(field.dataType.simpleString()).alias("type"),
+            F.count("*").alias("rows"),
+            (F.count("*") - F.count(value)).alias("nulls"),
+            F.approx_count_distinct(value).alias("distinct"),
+            _text(F.min(value), field).alias("min"),
+            _text(F.max(value), field).alias("max"),
         )
-    return reduce(DataFrame.unionByName, parts)
+
+    return df.agg(F.array(*[summary(i, f) for i, f in wanted]).alias("all")).select(F.inline("all"))

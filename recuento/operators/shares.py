@@ -73,6 +73,19 @@ def share_table(
     return add_share(group_count(df, keys), scope, nulls=nulls, digits=digits)
 
 
+def sum_of_shares(
+    shares: DataFrame, category: str, wanted: Sequence[str], by: Sequence[str] = (), out: str = "per_sum"
+) -> DataFrame:
+    """Sum of the rounded shares of some categories, per group of ``by``.
+
+    The categories are picked inside the sum. A filter on them would be pushed
+    below the counts of one branch of the share, and the cases scanned twice.
+    """
+    picked = F.when(F.col(category).isin(list(wanted)), F.col("per").cast("decimal(18,2)"))
+    sums = shares.groupBy(*by).agg(F.sum(picked).cast("double").alias(out))
+    return sums.where(F.col(out).isNotNull())
+
+
 def top_with_ties(df: DataFrame, value: str, k: int) -> DataFrame:
     """Rows whose value is among the ``k`` largest, ties included.
 

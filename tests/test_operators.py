@@ -127,6 +127,14 @@ def test_share_before_and_after(spark, rows):
     assert rows(kept, "sex", "band", "per") == [(None, "b", 29.0), ("h", None, 14.0), ("h", "a", 43.0), ("m", "a", 14.0)]
 
 
+def test_sum_of_rounded_shares(spark, rows):
+    df = spark.createDataFrame([("x", k) for k in "aaabbbcccd"] + [("y", "d")], "s string, k string")
+    table = shares.share_table(df, ["s", "k"], nulls="before", digits=0)
+    assert rows(shares.sum_of_shares(table, "k", ["a", "d"], ["s"])) == [("x", 40.0), ("y", 100.0)]
+    assert rows(shares.sum_of_shares(table, "k", ["a"], ["s"])) == [("x", 30.0)]
+    assert rows(shares.sum_of_shares(table, "k", ["a", "b"])) == [(60.0,)]
+
+
 def test_share_tie_is_rounded_to_even(spark):
     df = spark.createDataFrame([("a",)] + [("b",)] * 15, "k string")
     per = {r.k: r.per for r in shares.share_table(df, ["k"], nulls="before", digits=1).collect()}
@@ -247,12 +255,19 @@ def test_vertices_from_arrays(spark, rows):
     assert spatial.polygon_centroid(vertices, ["id"]).first().X == pytest.approx(1 / 3)
 
 
-def test_profile(spark):
+@pytest.mark.parametrize("distinct", ["exact", "approximate"])
+def test_profile(spark, distinct):
     df = spark.createDataFrame([(1, "a", None), (2, None, None), (2, "a", None)], "n int, t string, e double")
-    found = {r["column"]: tuple(r)[2:] for r in profiling.profile_columns(df).collect()}
+    found = {r["column"]: tuple(r)[2:] for r in profiling.profile_columns(df, distinct=distinct).collect()}
     assert found == {
         "n": ("int", 3, 0, 2, "1", "2"),
         "t": ("string", 3, 1, 1, "a", "a"),
         "e": ("double", 3, 3, 0, None, None),
     }
-    assert profiling.profile_columns(df, ["t"]).count() == 1
+    assert profiling.profile_columns(df, ["t"], distinct=distinct).count() == 1
+
+
+def test_profile_of_nested_columns(spark):
+    df = spark.createDataFrame([([1, 2],), ([1, 2],), (None,)], "a array<int>")
+    (row,) = profiling.profile_columns(df).collect()
+    assert tuple(row) == (1, "a", "array<int>", 3, 1, 1, None, None)

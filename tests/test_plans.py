@@ -34,6 +34,21 @@ def test_shares_scan_the_cases_once(spark):
     assert "Window" not in text
 
 
+@pytest.mark.parametrize(
+    "name, source",
+    [
+        ("share_band_sum", "lineitem"),
+        ("profile_sex_status_age", "orders"),
+        ("city_rates_by_status", "orders"),
+        ("national_rates_by_status", "lineitem"),
+        ("census_ages_national", "customer"),
+    ],
+)
+def test_products_scan_their_source_once(spark, name, source):
+    text = plan(all_queries()[name].run(spark, SF), run=True)
+    assert text.count(f"/{source}.parquet") == 1 and "ReusedExchange" in text
+
+
 def test_only_counts_are_shuffled(spark):
     lines = spark.read.parquet(f"{SF}/lineitem.parquet")
     text = plan(counting.group_count(lines, ["l_returnflag"]))
