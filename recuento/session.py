@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,23 +39,16 @@ def build_session(
     return builder.getOrCreate()
 
 
-_local_folders: dict[str, str] = {}
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as named in ``spark.checkpoint.dir``.
+    """The folder every executor can reach: ``spark.checkpoint.dir``.
 
-    Only a local session without the setting gets a folder of its own.
+    Where that is unset, a folder in the warehouse (``spark.sql.warehouse.dir``),
+    which a cluster shares as well. A machine's temporary folder is never used.
     """
     configured = spark.conf.get(CHECKPOINT_KEY, None)
     if configured:
         return configured.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
-        raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all executors can reach")
-    if context.applicationId not in _local_folders:
-        _local_folders[context.applicationId] = tempfile.mkdtemp(prefix="run-")
-    return _local_folders[context.applicationId]
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stored"
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
