@@ -1,103 +1,114 @@
 """Byte-pair encoding and decoding through a table of distinct words.
 
-Each distinct word is encoded once. So that the join back by position does not
-move a row for every word of the corpus, documents are dealt into blocks of
-bounded size, a block receives the identifiers of its own distinct words, and
-the words of a text take theirs in order. Decoding works the same way: a block
-receives the pieces of its own identifiers from the table of pieces.
+Tasks split their texts into words and keep a table of the distinct ones: each
+is encoded once, and the words of a text take their identifiers back by
+position. Decoding joins identifiers with the table of pieces. The table is kept
+per task and bounded: one table for the whole corpus means moving every word of
+every block of documents there and back, over four times the input.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recuento.llm.byte_level import ByteLevel, chunker, load
-from recuento.llm.common import CHUNKS, quoted, text_of, total_bytes
+from recuento.llm.byte_level import ByteLevel, chunker, is_space, load
+from recuento.llm.common import text_of
 
-BLOCK_BYTES = 2_000_000
-"""Text of one block on average; a block's words and texts are in memory together."""
+TABLE_WORDS = 1_000_000
+"""A task's table holds about so many words; a full one is started anew. Results don't depend on it."""
 
+SLICE_TEXTS = 500
+"""So many texts are split before their new words are encoded together."""
 
-def word_array(text: Column, added: tuple[str, ...]) -> Column:
-    """The chunks of a text in order, the added strings as chunks of their own."""
+LONG_WORD = 200
+"""Longer words are encoded where they occur and not kept."""
 
-    def chunks(part: Column) -> Column:
-        return F.regexp_extract_all(part, F.lit(CHUNKS), F.lit(0))
 
-    if not added:
-        return chunks(text)
-    name = "|".join(map(quoted, sorted(added, key=len, reverse=True)))
-    parts = F.split(text, f"(?={name})|(?<={name})", -1)
-    cut = F.flatten(F.transform(parts, lambda p: F.when(p.isin(*added), F.array(p)).otherwise(chunks(p))))
-    return F.when(text.rlike(name), cut).otherwise(chunks(text))
+JOINED_WORDS = 2000
+"""So many new words are encoded in one call, a line each."""
 
 
-def word_table(words: DataFrame, file: ByteLevel) -> DataFrame:
-    """``word, ids``: the identifiers of each distinct word."""
-    source = words.sparkSession.sparkContext.broadcast(file.source)
+class WordTable:
+    """Distinct words and their identifiers, as little-endian 32-bit numbers.
 
-    def encoded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from tokenizers import Tokenizer
+    New words are encoded as the lines of one text, which costs far less than a
+    call for each: a line break is always a token of its own between two words,
+    and no word holds one. White space is encoded run by run.
+    """
 
-        tokenizer = Tokenizer.from_str(source.value)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
-        for frame in frames:
-            found = tokenizer.encode_batch(frame["word"].tolist(), add_special_tokens=False)
-            yield frame.assign(ids=[e.ids for e in found])
+    def __init__(self, file: ByteLevel) -> None:
+        from tokenizers import Tokenizer
 
-    return words.select("word").distinct().mapInPandas(encoded, "word string, ids array<int>")
+        self.tokenizer = Tokenizer.from_str(file.source)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.split = chunker(file.added)
+        self.added = {word: self._alone(word) for word in file.added}
+        self.line_break = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
+        self.ids: dict[str, bytes] = dict(self.added)
+
+    def _alone(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, new: set[str]) -> None:
+        words = [word for word in new if not is_space(word)]
+        self.ids.update((word, self._alone(word)) for word in new if is_space(word))
+        groups = [words[at : at + JOINED_WORDS] for at in range(0, len(words), JOINED_WORDS)]
+        found = self.tokenizer.encode_batch_fast(["\n".join(group) for group in groups], add_special_tokens=False)
+        for group, encoding in zip(groups, found):
+            ids = np.array(encoding.ids, "<u4")
+            ends = [*(np.flatnonzero(ids == self.line_break) * 4).tolist(), len(ids) * 4]
+            coded = ids.tobytes()
+            starts = [0, *[end + 4 for end in ends[:-1]]]
+            self.ids.update(zip(group, [coded[i:j] for i, j in zip(starts, ends)], strict=True))
+
+    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The identifiers of each text in turn."""
+        for start in range(0, len(texts), SLICE_TEXTS):
+            if len(self.ids) >= TABLE_WORDS:
+                self.ids = dict(self.added)
+            words = [self.split(text) for text in texts[start : start + SLICE_TEXTS]]
+            new = set().union(*words).difference(self.ids)
+            self._learn(new)
+            for places in words:
+                yield np.frombuffer(b"".join(map(self.ids.__getitem__, places)), "<u4")
+            for word in new:
+                if len(word) > LONG_WORD:
+                    del self.ids[word]
+
+
+def joined_pieces(ids: np.ndarray, pieces: list[bytes]) -> str:
+    """The text of a list of identifiers; bytes that are not UTF-8 become replacement characters."""
+    return b"".join(map(pieces.__getitem__, ids.tolist())).decode("utf-8", "replace")
+
+
+def piece_list(file: ByteLevel) -> list[bytes]:
+    return [file.pieces.get(i, b"") for i in range(max(file.pieces) + 1)]
+
+
+def _coded(
+    docs: DataFrame, path: str, doc_id: str, text: str, columns: Callable[[Iterable[tuple[np.ndarray, str]]], dict], out: str
+) -> DataFrame:
+    kind = docs.schema[doc_id].dataType.simpleString()
+    spec = docs.sparkSession.sparkContext.broadcast(load(path))
 
+    def coded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table, pieces = WordTable(spec.value), piece_list(spec.value)
+        for frame in frames:
+            encoded = table.encode(frame.pop("__text").tolist())
+            yield frame.assign(**columns((ids, joined_pieces(ids, pieces)) for ids in encoded))
 
-def piece_table(words: DataFrame, file: ByteLevel) -> DataFrame:
-    """``id, piece``: the bytes of every identifier; as many rows as the vocabulary has."""
-    rows = [(i, bytearray(piece)) for i, piece in sorted(file.pieces.items())]
-    return words.sparkSession.createDataFrame(rows, "id int, piece binary")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("__text"))
+    return rows.mapInPandas(coded, f"doc_id {kind}, {out}")
 
 
-def _with_dictionary(
-    docs: DataFrame, file: ByteLevel, finish: Callable[[np.ndarray, str], tuple], out: str, block_bytes: int
-) -> DataFrame:
-    """Encode and decode every text (``__id, __text``); ``finish`` makes the output of ids and decoded text."""
-    blocks = max(1, -(-total_bytes(docs, "__text") // block_bytes))
-    dealt = docs.withColumn("__block", F.pmod(F.xxhash64("__id", "__text"), F.lit(blocks)))
-    words = dealt.select(
-        "__block", F.explode(F.array_distinct(word_array(F.col("__text"), file.added))).alias("word")
-    ).distinct()
-    book = words.join(word_table(words, file), "word").select("__block", "word", "ids")
-    used = book.select("__block", F.explode("ids").alias("id")).distinct()
-    pieces = used.join(piece_table(words, file), "id").select("__block", "id", "piece")
-    entries = book.select(F.col("__block").alias("__part"), "word", "ids", F.lit(None).cast("int").alias("id"), F.lit(None).cast("binary").alias("piece"))
-    entries = entries.unionByName(
-        pieces.select(F.col("__block").alias("__part"), F.lit(None).cast("string").alias("word"), F.lit(None).cast("array<int>").alias("ids"), "id", "piece")
-    )
-    added = file.added
-
-    def joined(texts: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
-        is_word = entries["word"].notna()
-        ids_of = {w: ids.astype("<u4").tobytes() for w, ids in zip(entries["word"][is_word], entries["ids"][is_word])}
-        piece_of = dict(zip(entries["id"][~is_word].astype("int64"), entries["piece"][~is_word]))
-        split, rows = chunker(added), []
-        for doc, text in zip(texts["__id"], texts["__text"]):
-            ids = np.frombuffer(b"".join([ids_of[w] for w in split(text)]), "<u4")
-            decoded = b"".join([piece_of[i] for i in ids.tolist()]).decode("utf-8", "replace")
-            rows.append((doc, *finish(ids, decoded)))
-        return pd.DataFrame(rows, columns=names)
-
-    kind = docs.schema["__id"].dataType.simpleString()
-    names = ["doc_id", *[part.split()[0] for part in out.split(", ")]]
-    return dealt.groupBy("__block").cogroup(entries.groupBy("__part")).applyInPandas(joined, f"doc_id {kind}, {out}")
-
-
-def encode_decode(
-    docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES
-) -> DataFrame:
+def encode_decode(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, ids, decoded``: the identifiers of each whole text and the text they decode to.
 
     The identifiers are the library's for the file at ``tokenizer_path``
@@ -106,23 +117,32 @@ def encode_decode(
     list and an empty text. One row out for each row in, also for NULL and
     repeated ``doc_id``. Other columns are not carried, whatever their names.
     """
-    rows = docs.select(F.col(doc_id).alias("__id"), text_of(text).alias("__text"))
-    return _with_dictionary(
-        rows, load(tokenizer_path), lambda ids, decoded: (ids.astype("int32"), decoded), "ids array<int>, decoded string", block_bytes
-    )
 
+    def whole(results: Iterable[tuple[np.ndarray, str]]) -> dict:
+        pairs = [(ids.astype("int32"), decoded) for ids, decoded in results]
+        return {"ids": [p[0] for p in pairs], "decoded": [p[1] for p in pairs]}
 
-def encode_decode_digests(
-    docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES
-) -> DataFrame:
+    return _coded(docs, tokenizer_path, doc_id, text, whole, "ids array<int>, decoded string")
+
+
+def encode_decode_digests(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """As ``encode_decode``, with ``n_tokens, ids_sha256, decoded_sha256`` in place of the sequences."""
 
-    def digests(ids: np.ndarray, decoded: str) -> tuple:
-        return len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+    def digests(results: Iterable[tuple[np.ndarray, str]]) -> dict:
+        rows = [
+            (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
+            for ids, decoded in results
+        ]
+        names = ("n_tokens", "ids_sha256", "decoded_sha256")
+        return {name: [row[i] for row in rows] for i, name in enumerate(names)}
 
-    rows = docs.select(F.col(doc_id).alias("__id"), text_of(text).alias("__text"))
-    out = "n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return _with_dictionary(rows, load(tokenizer_path), digests, out, block_bytes)
+    return _coded(docs, tokenizer_path, doc_id, text, digests, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def piece_table(df: DataFrame, file: ByteLevel) -> DataFrame:
+    """``id, piece``: the bytes of every identifier; as many rows as the vocabulary has."""
+    rows = [(i, bytearray(piece)) for i, piece in sorted(file.pieces.items())]
+    return df.sparkSession.createDataFrame(rows, "id int, piece binary")
 
 
 def decode(encoded: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", ids: str = "ids") -> DataFrame:

@@ -6,7 +6,7 @@ import json
 import re
 from dataclasses import dataclass
 
-from recuento.llm.common import CHUNKS, quoted
+from recuento.llm.common import CHUNKS, SPACES, quoted
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -55,6 +55,14 @@ def load(path: str) -> ByteLevel:
     return ByteLevel(source, pieces, ranks, tuple(t["content"] for t in spec["added_tokens"]))
 
 
+_SPACE_CHARACTERS = frozenset(filter(re.compile(f"[{SPACES}]").match, map(chr, range(0x3001))))
+
+
+def is_space(chunk: str) -> bool:
+    """Whether a chunk is a run of white space; other chunks end with another character."""
+    return chunk[-1] in _SPACE_CHARACTERS
+
+
 def chunker(added: tuple[str, ...]):
     """A function from a text to its chunks, whose tokens never depend on each other.
 
