@@ -606,9 +606,8 @@ CLASSED = (
 )
 def quartile_class(spark, sf_dir):
     rates = _regions(spark, sf_dir).withColumn("rate", numbers.scaled_rate(F.col("n"), F.col("pob")))
-    classed = ranking.quantile_class(rates.drop("lang"), "rate", ["doc_id"], 4, "quartile")
-    ranged = ranking.class_ranges(classed, "rate", "quartile")
-    return ranged.withColumn("quartile", F.col("quartile").cast("string"))
+    classed = ranking.quantile_class(rates.drop("lang"), "rate", ["doc_id"], 4, "quartile", "range")
+    return classed.withColumn("quartile", F.col("quartile").cast("string"))
 
 
 @registered(

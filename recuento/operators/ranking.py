@@ -11,40 +11,30 @@ from recuento.functions.numbers import round_even
 from recuento.operators.joins import lookup_join
 from recuento.session import materialize
 
-ROWS_PER_TASK = 1_000_000
-"""Tables up to this many rows are numbered in one task, larger ones in slices."""
+#: A generated number is the task's number times this plus the row's place in the task.
+_TASK = 1 << 33
 
 
-def number_rows(
-    stored: DataFrame, order: Sequence[Column], out: str = "position", rows_per_task: int = ROWS_PER_TASK
-) -> tuple[DataFrame, int]:
+def number_rows(df: DataFrame, order: Sequence[Column], out: str = "position") -> tuple[DataFrame, int]:
     """The table with the 1-based place of each row, and the number of rows.
 
-    ``order`` must be total. ``stored`` is read more than once, so it should be
-    a stored table or a small step from one. A small table is numbered by a
-    plain window. A large one is split into ranges of the order, kept in a table
-    so that a row never changes its range; each range is numbered by itself and
-    shifted by the sizes of the ranges before it. The ranges follow the whole
-    order, ties included, so equal values do not gather in one task.
+    ``order`` must be total. The table is cut into ranges of the whole order,
+    ties included, so equal values do not gather in one task; each range is
+    sorted and numbered where it lies and stored, so that a row never changes
+    its range, and is then shifted by the sizes of the ranges before it. ``df``
+    is computed twice, once to find the borders of the ranges.
     """
-    rows = stored.count()
-    if rows <= rows_per_task:
-        return stored.withColumn(out, F.row_number().over(Window.orderBy(*order)).cast("long")), rows
-
-    slices = -(-rows // rows_per_task) * 2
-    sliced = materialize(
-        stored.repartitionByRange(slices, *order).withColumn("__slice", F.spark_partition_id()), "slices"
-    )
+    slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sliced = df.repartitionByRange(slices, *order).sortWithinPartitions(*order)
+    stored = materialize(sliced.withColumn("__mark", F.monotonically_increasing_id()), "ranges")
+    cut = F.floor(F.col("__mark") / _TASK)
+    sizes = stored.groupBy(cut.alias("__slice")).agg(F.count("*").alias("__rows"))
     earlier = Window.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        sliced.groupBy("__slice")
-        .agg(F.count("*").alias("__rows"))
-        .select("__slice", F.coalesce(F.sum("__rows").over(earlier), F.lit(0)).alias("__offset"))
-    )
-    within = F.row_number().over(Window.partitionBy("__slice").orderBy(*order))
-    placed = lookup_join(sliced.withColumn("__within", within), offsets, ["__slice"])
-    numbered = placed.withColumn(out, F.col("__offset") + F.col("__within"))
-    return numbered.drop("__slice", "__within", "__offset"), rows
+    offsets = sizes.select("__slice", "__rows", F.coalesce(F.sum("__rows").over(earlier), F.lit(0)).alias("__offset"))
+    rows = sizes.agg(F.sum("__rows").alias("n")).first()["n"] or 0
+    placed = lookup_join(stored.withColumn("__slice", cut), offsets.drop("__rows"), ["__slice"])
+    numbered = placed.withColumn(out, F.col("__offset") + F.col("__mark") % _TASK + 1)
+    return numbered.drop("__slice", "__mark", "__offset"), rows
 
 
 def quantile_class(
@@ -53,48 +43,45 @@ def quantile_class(
     ties: Sequence[str],
     classes: int = 4,
     out: str = "class",
-    rows_per_task: int = ROWS_PER_TASK,
+    range_out: str | None = None,
+    digits: int = 2,
 ) -> DataFrame:
     """Equal-count classes 1..n of ``value``; NULL values get no class.
 
     Where the rows do not divide evenly the first classes are one larger.
-    ``ties`` must make the order of equal values definite. The table is written
-    once, so that its input is computed once.
+    ``ties`` must make the order of equal values definite. ``range_out`` adds
+    the text ``low-high`` of the row's class. Only ``value`` and ``ties`` are
+    sorted; the first and last key of each class, two rows per class, reach the
+    driver, and each row finds its class by comparing its key with them.
     """
-    table = materialize(df, "classed")
-    order = [F.asc(value), *[F.asc(name) for name in ties]]
-    numbered, rows = number_rows(table.where(F.col(value).isNotNull()), order, "__place", rows_per_task)
+    key = [value, *ties]
+    keys = df.where(F.col(value).isNotNull()).select(*key)
+    numbered, rows = number_rows(keys, [F.asc(name) for name in key], "__place")
     size, larger = divmod(rows, classes)
-    border = larger * (size + 1)
-    in_larger = F.ceil(F.col("__place") / F.lit(size + 1))
-    in_rest = F.lit(larger) + F.ceil((F.col("__place") - F.lit(border)) / F.lit(max(size, 1)))
-    cls = F.when(F.col("__place") <= border, in_larger).otherwise(in_rest)
-    known = numbered.withColumn(out, cls.cast("int")).drop("__place")
-    unknown = table.where(F.col(value).isNull()).withColumn(out, F.lit(None).cast("int"))
-    return known.unionByName(unknown)
-
-
-def class_ranges(df: DataFrame, value: str, cls: str, out: str = "range", digits: int = 2) -> DataFrame:
-    """Add the text ``low-high`` of the class of each row, from the data."""
-    ends = [round_even(end(value), digits) for end in (F.min, F.max)]
-    labels = (
-        df.where(F.col(cls).isNotNull())
-        .groupBy(cls)
-        .agg(ends[0].alias("__low"), ends[1].alias("__high"))
-        .select(cls, F.format_string(f"%.{digits}f-%.{digits}f", "__low", "__high").alias(out))
-    )
-    return lookup_join(df, labels, [cls], na_matches="never")
-
-
-def order_by_value(
-    df: DataFrame, category: str, value: str, out: str = "cat_order", rows_per_task: int = ROWS_PER_TASK
-) -> DataFrame:
+    filled = [size + (c < larger) for c in range(classes) if size + (c < larger)]
+    ends = [sum(filled[: c + 1]) for c in range(len(filled))]
+    starts = [end - n + 1 for end, n in zip(ends, filled)]
+    borders = {r["__place"]: r for r in numbered.where(F.col("__place").isin(starts + ends)).collect()} if rows else {}
+
+    place = F.struct(*[F.col(name) for name in key])
+    types = {field.name: field.dataType for field in keys.schema}
+    cls, label = F.lit(None).cast("int"), F.lit(None).cast("string")
+    for c, (start, end) in enumerate(zip(starts, ends), 1):
+        first = F.struct(*[F.lit(borders[start][name]).cast(types[name]).alias(name) for name in key])
+        low, high = (round_even(F.lit(borders[at][value]), digits) for at in (start, end))
+        reached = F.lit(True) if c == 1 else place >= first
+        cls = F.when(reached, F.lit(c)).otherwise(cls)
+        label = F.when(reached, F.format_string(f"%.{digits}f-%.{digits}f", low, high)).otherwise(label)
+    known = F.col(value).isNotNull()
+    added = {out: F.when(known, cls)} | ({range_out: F.when(known, label)} if range_out else {})
+    return df.withColumns(added)
+
+
+def order_by_value(df: DataFrame, category: str, value: str, out: str = "cat_order") -> DataFrame:
     """Add the 1-based place of each category when ordered by its mean value.
 
-    Equal means are ordered by name. The table is written once, so that its
-    input is computed once.
+    Equal means are ordered by name.
     """
-    table = materialize(df, "ordered")
-    means = table.groupBy(category).agg(F.avg(value).alias("__mean"))
-    numbered, _ = number_rows(means, [F.asc("__mean"), F.asc(category)], out, rows_per_task)
-    return lookup_join(table, numbered.drop("__mean"), [category])
+    means = df.groupBy(category).agg(F.avg(value).alias("__mean"))
+    numbered, _ = number_rows(means, [F.asc("__mean"), F.asc(category)], out)
+    return lookup_join(df, numbered.drop("__mean"), [category])

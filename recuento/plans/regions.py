@@ -11,7 +11,7 @@ from recuento.functions.text import repair_mojibake
 from recuento.operators.columns import mutate
 from recuento.operators.counting import group_count
 from recuento.operators.joins import lookup_join
-from recuento.operators.ranking import class_ranges, quantile_class
+from recuento.operators.ranking import quantile_class
 from recuento.operators.spatial import polygon_centroid
 
 
@@ -42,9 +42,8 @@ def label_points(vertices: DataFrame) -> DataFrame:
 def map_table(vertices: DataFrame, population: DataFrame, cases: DataFrame, code: str = "cv_mun_desp") -> DataFrame:
     """Region, population, cases, rate, quartile with its range, and label point."""
     rates = region_rates(label_points(vertices), population, cases, code)
-    classed = quantile_class(rates, "tasa_desp", ["CVEGEO"], 4, "__class")
-    ranged = class_ranges(classed, "tasa_desp", "__class", "quart_rangos")
+    classed = quantile_class(rates, "tasa_desp", ["CVEGEO"], 4, "tasa_quart", "quart_rangos")
     return mutate(
-        ranged,
-        {"tasa_quart": F.col("__class").cast("string"), "MUN": repair_mojibake(F.col("MUN"))},
-    ).drop("__class")
+        classed,
+        {"tasa_quart": F.col("tasa_quart").cast("string"), "MUN": repair_mojibake(F.col("MUN"))},
+    )

@@ -189,20 +189,19 @@ def plain_classes(values, classes):
     return {k: result.get(k) for k, _ in values}
 
 
-@pytest.mark.parametrize("rows_per_task", [ranking.ROWS_PER_TASK, 40])
 @pytest.mark.parametrize("count", [0, 1, 3, 10, 401])
-def test_quantile_class_in_one_task_and_in_slices(spark, rows_per_task, count):
+def test_quantile_class(spark, count):
     """A third of the rows share one value; some have none."""
     values = [(i, None if i % 11 == 0 else 5.0 if i % 3 == 0 else float(i * 7919 % 101)) for i in range(count)]
     df = spark.createDataFrame(values, "k int, v double")
-    classed = ranking.quantile_class(df, "v", ["k"], 4, "c", rows_per_task)
+    classed = ranking.quantile_class(df, "v", ["k"], 4, "c")
     assert {r.k: r.c for r in classed.collect()} == plain_classes(values, 4)
 
 
 def test_numbering_in_slices_is_the_plain_order(spark):
     values = [(i, i * 31 % 17) for i in range(300)]
     df = spark.createDataFrame(values, "k int, v int").repartition(7)
-    numbered, rows = ranking.number_rows(df, [F.desc("v"), F.asc("k")], "place", rows_per_task=25)
+    numbered, rows = ranking.number_rows(df, [F.desc("v"), F.asc("k")], "place")
     expected = sorted(values, key=lambda r: (-r[1], r[0]))
     assert rows == 300
     assert [(r.k, r.v) for r in numbered.orderBy("place").collect()] == expected
@@ -210,15 +209,15 @@ def test_numbering_in_slices_is_the_plain_order(spark):
 
 
 def test_class_ranges(spark):
-    df = spark.createDataFrame([(1, 7.879), (1, 15.968), (2, 17.0), (None, None)], "c int, rate double")
-    found = {r.rate: r.range for r in ranking.class_ranges(df, "rate", "c").collect()}
+    df = spark.createDataFrame([(1, 7.879), (2, 15.968), (3, 17.0), (4, None)], "k int, rate double")
+    classed = ranking.quantile_class(df, "rate", ["k"], 2, "c", "range")
+    found = {r.rate: r.range for r in classed.collect()}
     assert found == {7.879: "7.88-15.97", 15.968: "7.88-15.97", 17.0: "17.00-17.00", None: None}
 
 
-@pytest.mark.parametrize("rows_per_task", [ranking.ROWS_PER_TASK, 2])
-def test_order_by_value(spark, rows_per_task):
+def test_order_by_value(spark):
     df = spark.createDataFrame([("b", 5.0), ("a", 5.0), ("c", 1.0), ("d", 9.0), ("d", 3.0)], "k string, v double")
-    found = {(r.k, r.v): r.cat_order for r in ranking.order_by_value(df, "k", "v", "cat_order", rows_per_task).collect()}
+    found = {(r.k, r.v): r.cat_order for r in ranking.order_by_value(df, "k", "v", "cat_order").collect()}
     assert found == {("c", 1.0): 1, ("a", 5.0): 2, ("b", 5.0): 3, ("d", 9.0): 4, ("d", 3.0): 4}
 
 
