@@ -37,6 +37,12 @@ components: more than four standard deviations of the estimate below the thresho
 
 BATCH_WORDS = 400_000
 
+
+def _name() -> Column:
+    """What names a component: the least of these."""
+    return F.struct(F.isnull("id").alias("unnamed"), "id", "mark")
+
+
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MULTIPLY = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -248,43 +254,59 @@ def _tested(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, doc_id: str, te
 def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY
 ) -> DataFrame:
-    """``doc_id, n_shingles, n_copies, component_id, kept``, one row for each row in.
+    """``doc_id, mark, n_shingles, n_copies, component_id, kept``, one row for each row in.
 
     Documents whose multisets of ``words``-word shingles have a weighted Jaccard
     similarity of at least ``similarity`` are linked; ``component_id`` is the
     least ``doc_id`` reachable by links and ``kept`` marks it. Equal multisets
     (``n_copies`` documents) are one node. A text of fewer words is one shingle;
-    NULL and blank texts have none and link with nothing. Rows that share a
-    ``doc_id`` share the decision only if their texts do; a NULL ``doc_id`` is in
-    its component, but names it only if no other is there, and is kept then.
+    NULL and blank texts have none, link with nothing and are kept. ``mark`` is a
+    hash of the text, which orders rows of one ``doc_id``; rows equal in both
+    have equal results. A NULL ``doc_id`` names a component only if no other is there.
     """
     stored = materialize(signature_table(docs, doc_id, text, words), "signatures")
     full = stored.where("n > 0")
-    first = full.groupBy("bag").agg(F.min(F.struct("id", "mark")).alias("one"), F.min("id").alias("least"), F.count("*").alias("copies"))
-    first = first.select("bag", "one.id", "one.mark", "least", "copies")
+    first = full.groupBy("bag").agg(F.min(_name()).alias("one"), F.count("*").alias("copies"))
+    first = first.select("bag", "one.id", "one.mark", "one", "copies")
     marked = full.select("bag", "id", "mark", "n", "bands", "signature").withColumnRenamed("bag", "__bag")
     nodes = first.join(marked, (F.col("bag") == F.col("__bag")) & first["id"].eqNullSafe(marked["id"]) & (first["mark"] == marked["mark"]))
-    nodes = nodes.select("bag", first["id"], first["mark"], "least", "copies", "n", "bands", "signature").dropDuplicates(["bag"])
+    nodes = nodes.select("bag", first["id"], first["mark"], "one", "copies", "n", "bands", "signature").dropDuplicates(["bag"])
     nodes = materialize(nodes, "nodes")
     banded = nodes.select("bag", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
     buckets = banded.join(shared.select("band"), "band").select(F.col("band").alias("bucket"), F.col("bag").alias("node"), F.lit(True).alias("anchor"))
     buckets = materialize(buckets, "buckets")
     linked = components_within(buckets, lambda pairs: _tested(pairs, nodes, docs, doc_id, text, words, similarity))
-    known = nodes.select("bag", "least", "copies")
+    known = nodes.select("bag", "one", "copies")
     if linked is None:
         known = known.withColumn("component", F.col("bag"))
     else:
         known = known.join(linked.withColumnRenamed("id", "bag"), "bag", "left")
         known = known.withColumn("component", F.coalesce("component", "bag"))
-    names = known.groupBy(F.col("component").alias("__component")).agg(F.min("least").alias("component_id"))
-    known = materialize(known.join(names, F.col("component") == F.col("__component")).select(F.col("bag").alias("__bag"), "copies", "component_id"), "classes")
-    out = stored.select("id", "bag", "n").join(known, (F.col("bag") == F.col("__bag")) & (F.col("n") > 0), "left")
-    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
+    names = known.groupBy(F.col("component").alias("__component")).agg(F.min("one").alias("name"))
+    known = materialize(known.join(names, F.col("component") == F.col("__component")).select(F.col("bag").alias("__bag"), "copies", "name"), "classes")
+    out = stored.select("id", "mark", "bag", "n").join(known, (F.col("bag") == F.col("__bag")) & (F.col("n") > 0), "left")
+    named = F.col("name").eqNullSafe(_name())
     return out.select(
         F.col("id").alias("doc_id"),
+        "mark",
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("copies")).otherwise(F.lit(1)).cast("long").alias("n_copies"),
-        component.alias("component_id"),
-        component.eqNullSafe(F.col("id")).alias("kept"),
+        F.when(F.col("n") > 0, F.col("name.id")).otherwise(F.col("id")).alias("component_id"),
+        F.when(F.col("n") > 0, named).otherwise(True).alias("kept"),
+    )
+
+
+def without_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows and columns of ``docs``, one row of each component; see ``near_duplicates``.
+
+    Rows without shingles stay. Of rows equal in ``doc_id`` and text one stays.
+    """
+    decided = near_duplicates(docs, doc_id, text, **options)
+    decided = decided.groupBy(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).agg(
+        F.min("kept").alias("__kept"), F.sum(F.lit(1)).alias("__rows"), F.max("n_shingles").alias("__n")
     )
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(doc_id).alias("id"), F.xxhash64(text_of(text)).alias("mark"))
+    rows = rows.join(decided, F.col("id").eqNullSafe(F.col("__id")) & (F.col("mark") == F.col("__mark"))).where("__kept")
+    once = (F.col("__rows") == 1) | (F.col("__n") == 0)
+    return rows.where(once).select("row.*").unionByName(rows.where(~once).dropDuplicates(["id", "mark"]).select("row.*"))

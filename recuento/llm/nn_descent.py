@@ -40,10 +40,16 @@ BLOCK = 512
 _EDGES = "a long, b long, sim double"
 
 
-def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """Unit vectors in double precision, one row each; all of one length."""
-    values = column.values.to_numpy(zero_copy_only=False)[column.offsets[0].as_py() : column.offsets[-1].as_py()]
-    rows = values.reshape(len(column), -1).astype(np.float64)
+def _lengths(column: pa.ListArray) -> np.ndarray:
+    return np.diff(column.offsets.to_numpy())
+
+
+def _matrix(column: pa.ListArray) -> np.ndarray:
+    """Unit vectors in double precision, one row each; shorter ones are filled up with zeros."""
+    offsets, lengths = column.offsets.to_numpy(), _lengths(column)
+    values = column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
+    rows = np.zeros((len(column), int(lengths.max())))
+    rows[np.arange(rows.shape[1]) < lengths[:, None]] = values
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
@@ -86,12 +92,11 @@ def _leaves(vectors: DataFrame, trees: range, nodes: int, size: int, k: int) ->
                 continue
             unit = _matrix(batch.column("vector"))
             for tree in trees:
-                planes = np.random.default_rng([tree, unit.shape[1]]).standard_normal((unit.shape[1], max(bits, 1)))
+                planes = np.random.default_rng(tree).standard_normal((unit.shape[1], max(bits, 1)))
                 signs = (unit @ planes > 0)[:, :bits]
                 code = (signs @ (1 << np.arange(bits))).astype(np.int64) if bits else np.zeros(len(unit), np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("node"), pa.array(code * 64 + tree)], names=["node", "leaf"]
-                )
+                leaf = (code * 64 + tree) * 65536 + _lengths(batch.column("vector"))
+                yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(leaf)], names=["node", "leaf"])
 
     codes = materialize(vectors.select("node", "vector").mapInArrow(coded, "node long, leaf long"), "leaves")
     sizes = codes.groupBy(F.col("leaf").alias("l")).agg(F.count("*").alias("members"))
@@ -177,11 +182,11 @@ def _audit(vectors: DataFrame, threshold: float, most: int) -> DataFrame:
         for batch in batches:
             for start in range(0, batch.num_rows, 2000):
                 part = batch.slice(start, 2000)
-                unit, own = _matrix(part.column("vector")), part.column("node").to_numpy()
-                if unit.shape[1] in shared.value:
-                    other, rows = shared.value[unit.shape[1]]
-                    i, j = np.nonzero(unit @ rows.T >= threshold)
-                    yield pa.RecordBatch.from_arrays([pa.array(other[j]), pa.array(own[i])], names=["a", "b"])
+                unit, own, lengths = _matrix(part.column("vector")), part.column("node").to_numpy(), _lengths(part.column("vector"))
+                for size, (other, rows) in shared.value.items():
+                    same = lengths == size
+                    i, j = np.nonzero(unit[same][:, :size] @ rows.T >= threshold)
+                    yield pa.RecordBatch.from_arrays([pa.array(other[j]), pa.array(own[same][i])], names=["a", "b"])
 
     return vectors.select("node", "vector").mapInArrow(linked, "a long, b long").where("a <> b")
 
@@ -232,7 +237,7 @@ def near_duplicate_vectors(
     vectors = rows.where("node is not null").groupBy("node").agg(
         F.count("*").alias("copies"), F.min("id").alias("least"), F.first("vector").alias("vector")
     )
-    vectors = materialize(vectors.repartition(F.size("vector"), F.pmod("node", F.lit(64))).sortWithinPartitions(F.size("vector")), "nodes")
+    vectors = materialize(vectors, "nodes")
     nodes = vectors.count()
     empty = vectors.sparkSession.createDataFrame([], _EDGES)
     audited = materialize(_audit(vectors, threshold, AUDIT), "audit") if nodes else empty.select("a", "b")

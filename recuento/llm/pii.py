@@ -91,26 +91,33 @@ def _found(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     none = F.array().cast(_SPAN)
     rows = rows.withColumns({kind: F.when(marked, spans[kind]).otherwise(none) for kind in KINDS})
     least, most = TOKEN_CHARS
-    rows = rows.withColumn("token", F.when(marked, matches("text", TOKEN, f"char_length(m.value) between {least} and {2 * most}")).otherwise(none))
-    listed = F.concat(
-        *[F.transform(kind, lambda s, k=kind: F.struct(F.lit(k).alias("kind"), s["start"].alias("start"), s["end"].alias("end"))) for kind in KINDS]
-    )
-    rows = rows.select("id", "mark", listed.alias("base"), "token")
+    rows = rows.withColumn("token", F.when(marked, matches("text", TOKEN, f"char_length(m.value) <= {2 * most}")).otherwise(none))
+
+    def of_kind(kind: str) -> Column:
+        return F.transform(
+            kind,
+            lambda s: F.struct(
+                F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.xxhash64(F.lower(s["value"])).alias("value")
+            ),
+        )
+
+    rows = rows.select("id", "mark", F.concat(*map(of_kind, KINDS)).alias("seeds"), "token")
 
     def token(t: Column) -> Column:
         before = F.char_length(F.regexp_extract(t["value"], f"^{_OPENING}*+", 0))
         after = F.char_length(F.regexp_extract(t["value"], f"(?<!{_CLOSING}){_CLOSING}++$", 0))
         start, end = t["start"] + before, t["end"] - after
         value = F.lower(F.substring(t["value"], before + 1, F.greatest(end - start, F.lit(0))))
-        over = F.filter("base", lambda b: (b["start"] < end) & (b["end"] > start))
-        seed = F.when((F.size(over) > 0) & (F.get(over, F.lit(0))["start"] == start), F.get(over, F.lit(0))["kind"])
+        over = F.filter("seeds", lambda b: (b["start"] < end) & (b["end"] > start))
+        seed = F.get(F.filter(over, lambda b: b["start"] == start), F.lit(0))
         return F.struct(
-            start.alias("start"), end.alias("end"), F.xxhash64(value).alias("value"), _context(t["gap"]).alias("pattern"),
-            seed.alias("kind"), ((F.size(over) == 0) & (end - start).between(least, most)).alias("free"),
+            start.alias("start"), end.alias("end"), F.coalesce(seed["value"], F.xxhash64(value)).alias("value"), _context(t["gap"]).alias("pattern"),
+            seed["kind"].alias("kind"), ((F.size(over) == 0) & (end - start).between(least, most)).alias("free"),
         )
 
     tokens = F.filter(F.transform("token", token), lambda t: t["pattern"].isNotNull() & (t["free"] | t["kind"].isNotNull()))
-    return rows.select("id", "mark", "base", tokens.alias("tokens"))
+    base = F.transform("seeds", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    return rows.select("id", "mark", base.alias("base"), tokens.alias("tokens"))
 
 
 def _reliable(uses: DataFrame, docs: DataFrame, text: str) -> DataFrame | None:
@@ -125,7 +132,7 @@ def _reliable(uses: DataFrame, docs: DataFrame, text: str) -> DataFrame | None:
     words = F.regexp_extract_all(F.lower(text_of(text)), F.lit(r"[^\x20\x09-\x0D]++"), F.lit(0))
     pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b)))
     member = maybe_in(wide, "pattern")
-    met = docs.select(F.explode(F.filter(pairs, lambda p: p.isNotNull() & member(p))).alias("pattern"))
+    met = docs.select(F.explode(pairs).alias("pattern")).where(member(F.col("pattern")))
     totals = materialize(met.groupBy("pattern").agg(F.count("*").alias("total")).join(wide, "pattern"), "totals")
 
     known, reliable = seeds, None
@@ -171,6 +178,10 @@ def find_personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     return joined.select(F.col("id").alias("doc_id"), "base", named.alias("spans"))
 
 
+def count_of(kind: str, spans: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
 def listed(spans: str) -> Column:
     """The spans as text: ``kind:start:end`` joined by commas."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")

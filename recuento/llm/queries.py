@@ -39,7 +39,7 @@ def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("mark")
 
 
 def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +62,7 @@ def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_personal_data(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
+    counts = [pii.count_of(kind, "base").alias(f"n_{kind}") for kind in pii.KINDS]
     return found.select("doc_id", *counts, F.sha2(pii.listed("base"), 256).alias("base_sha256"), pii.listed("spans").alias("spans"))
 
 

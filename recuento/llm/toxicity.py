@@ -13,12 +13,12 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recuento.llm.common import text_of
@@ -301,6 +301,28 @@ def learn(
     return fit_field([r["__text"] for r in found], [r["__toxic"] for r in found], share or 0.0)
 
 
+SCORED = "struct<score:double,predicted:int,spans:array<struct<start:int,end:int,probability:double>>>"
+
+
+def scorer(spark: SparkSession, field: Field) -> Callable[[Column], Column]:
+    """A function of a text column that gives ``score, predicted, spans``."""
+    shared = spark.sparkContext.broadcast(field)
+
+    @F.pandas_udf(SCORED)
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        model = shared.value
+        words = WordScores(model.weights)
+        for batch in batches:
+            texts = batch.tolist()
+            scores, spans = [], []
+            for text, odds in zip(texts, tag(texts, model, words)):
+                scores.append(document_score(model, odds))
+                spans.append(_spans(text, odds))
+            yield pd.DataFrame({"score": scores, "predicted": [int(s >= 0.5) for s in scores], "spans": spans})
+
+    return scored
+
+
 def score(docs: DataFrame, field: Field, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, score, predicted, spans`` for each whole text, one row for each row in.
 
@@ -309,23 +331,13 @@ def score(docs: DataFrame, field: Field, doc_id: str = "doc_id", text: str = "te
     tokens more likely toxic than not. NULL and empty texts have no token and
     get the score of a document without evidence. Nothing but the text is used.
     """
-    kind = docs.schema[doc_id].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(field)
+    scored = scorer(docs.sparkSession, field)(text_of(text)).alias("s")
+    return docs.select(F.col(doc_id).alias("doc_id"), scored).select("doc_id", "s.*")
 
-    def scored(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = shared.value
-        words = WordScores(model.weights)
-        for frame in frames:
-            texts = frame.pop("__text").tolist()
-            scores, spans = [], []
-            for text, odds in zip(texts, tag(texts, model, words)):
-                scores.append(document_score(model, odds))
-                spans.append(_spans(text, odds))
-            yield frame.assign(score=scores, predicted=[int(s >= 0.5) for s in scores], spans=spans)
 
-    rows = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("__text"))
-    out = f"doc_id {kind}, score double, predicted int, spans array<struct<start:int,end:int,probability:double>>"
-    return rows.mapInPandas(scored, out)
+def without_toxic(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
+    """The rows and columns of ``docs`` whose text is not predicted toxic; see ``score``."""
+    return docs.where(scorer(docs.sparkSession, field)(text_of(text))["predicted"] == 0)
 
 
 def _spans(text: str, odds: np.ndarray) -> list[dict]:

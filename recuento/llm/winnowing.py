@@ -16,8 +16,8 @@ from recuento.llm.common import text_of
 from recuento.operators.ranking import number_rows
 from recuento.session import materialize
 
-GRAM = 4
-WINDOW = 8
+GRAM = 3
+WINDOW = 4
 
 #: Runs other than white space, long ones in pieces, so that texts without spaces have tokens too.
 TOKEN = r"[^\x20\x09-\x0D]{1,8}+"
@@ -45,10 +45,14 @@ def with_fingerprint(rows: DataFrame, text: str, out: str) -> DataFrame:
         lambda i: packed(F.xxhash64(*[F.coalesce(F.get(h, i + k), F.lit(0)) for k in range(GRAM)]), i),
     )
     rows = rows.withColumn(grams, F.when(F.size(h) > 0, run).otherwise(F.array().cast("array<bigint>")))
+
+    def doubled(name: str, reach: int) -> Column:
+        return F.transform(name, lambda x, i: F.least(x, F.get(name, i + reach)))
+
     reach, name = 1, grams
     while reach < WINDOW:
         wider = f"{least}{reach}"
-        rows = rows.withColumn(wider, F.transform(name, lambda x, i, n=name, r=reach: F.least(x, F.get(n, i + r))))
+        rows = rows.withColumn(wider, doubled(name, reach))
         reach, name = reach * 2, wider
     windows = F.greatest(F.lit(1), F.size(grams) - WINDOW + 1)
     chosen = F.array_distinct(F.slice(name, F.lit(1), windows))
