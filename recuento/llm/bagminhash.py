@@ -126,7 +126,7 @@ def shingles(words: np.ndarray, lengths: np.ndarray, k: int = WORDS) -> tuple[np
     runs = np.zeros(len(words), np.uint64)
     for i in range(k):
         ahead = np.zeros(len(words), np.uint64)
-        ahead[: len(words) - i] = words[i:]
+        ahead[: max(len(words) - i, 0)] = words[i:]
         within = left > i
         runs = np.where(within, _mixed(runs ^ ahead), runs)
     first = left == np.repeat(lengths, lengths)

@@ -43,25 +43,32 @@ def components_within(buckets: DataFrame, test: Callable[[DataFrame], DataFrame]
 
     Members of a bucket are first compared with one anchor, round after round
     with another, which costs as much as the buckets are large; pairs that are
-    in one component by then need no test. When rounds bring nothing, or little
-    is left, the rest between components is compared pair by pair. So no link
-    between components is lost, and a bucket of copies never makes all its pairs.
+    in one component by then need no test. When a round leaves over half of the
+    pairs, or little is left, the rest between components is compared pair by
+    pair. So no link between components is lost, and a bucket of copies never
+    makes all its pairs.
     """
-    tested, found, merged, turn = None, None, True, 0
+    tested, found, before, turn = None, None, float("inf"), 0
     while True:
         if found is None:
             members = buckets.withColumn("component", F.col("node"))
         else:
             members = buckets.join(found.withColumnRenamed("id", "node"), "node", "left")
             members = members.withColumn("component", F.coalesce("component", "node"))
-        sides = members.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max("anchor").alias("z"))
-        members = materialize(members.join(sides.where("x <> y and z").select("bucket"), "bucket"), "open")
-        sizes = members.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy("bucket")
-        sizes = sizes.agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs"), F.sum("n").alias("n"))
+        sizes = members.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.max("anchor").alias("anchor"))
+        sizes = sizes.groupBy(F.col("bucket").alias("open")).agg(
+            ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs"),
+            F.sum("n").alias("n"),
+            F.count("*").alias("parts"),
+            F.max("anchor").alias("anchor"),
+        )
+        sizes = materialize(sizes.where("parts > 1 and anchor"), "open")
         left = sizes.agg(F.sum("pairs").alias("pairs"), F.sum("n").alias("n")).first()
         if not left["n"]:
             return found
-        last = not merged or left["pairs"] <= 4 * left["n"]
+        members = members.join(sizes.select("open"), F.col("bucket") == F.col("open")).drop("open")
+        last = left["pairs"] <= 4 * left["n"] or left["pairs"] > before / 2
+        before = left["pairs"]
         if last:
             other = members.select(*[F.col(c).alias(f"{c}2") for c in ("bucket", "node", "anchor", "component")])
             apart = (F.col("bucket") == F.col("bucket2")) & (F.col("node") < F.col("node2")) & (F.col("component") != F.col("component2"))
@@ -76,8 +83,8 @@ def components_within(buckets: DataFrame, test: Callable[[DataFrame], DataFrame]
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         new = materialize(test(pairs), "tested")
         tested = new if tested is None else tested.unionByName(new)
-        merged, turn = new.where("linked").limit(1).count() > 0, turn + 1
-        if merged:
+        turn += 1
+        if new.where("linked").limit(1).count():
             found = components(tested.where("linked"))
         if last:
             return found
