@@ -7,8 +7,6 @@ from recuento.catalog.base import Query, band_sql, case_sql, literal, nearest_sq
 from recuento.operators import profiling
 from recuento.plans import census, descriptives, narrative, rates, regions, registry
 from recuento.plans import settings as S
-from recuento.session import fresh_path
-from recuento.sources import files
 
 QUERIES: list[Query] = []
 
@@ -71,10 +69,8 @@ recoded AS (SELECT lowered.* REPLACE ({_DEC_COLUMNS},
   {_date_sql("fecha_de_desaparicion")} AS fecha_de_desaparicion,
   {_date_sql("fecha_de_localizacion")} AS fecha_de_localizacion,
   coalesce(condicion_localizacion, 'sigue desaparecida') AS condicion_localizacion,
-  CASE entidad_de_desaparicion WHEN 'ciudad de mexico' THEN 'ciudad de méxico' WHEN 'mexico' THEN 'méxico'
-    ELSE entidad_de_desaparicion END AS entidad_de_desaparicion,
-  CASE municipio_alcadia_de_la_desaparicion WHEN 'alvaro obregon' THEN 'álvaro obregón' WHEN 'coyoacan' THEN 'coyoacán'
-    ELSE municipio_alcadia_de_la_desaparicion END AS municipio_alcadia_de_la_desaparicion)
+  {case_sql("entidad_de_desaparicion", S.DECEMBER_STATES)} AS entidad_de_desaparicion,
+  {case_sql("municipio_alcadia_de_la_desaparicion", S.DECEMBER_MUNICIPALITIES)} AS municipio_alcadia_de_la_desaparicion)
   FROM lowered {_DEC_JOINS}),
 registry AS (SELECT recoded.*, id_ent AS cve_ent_desp, id_mun AS cv_mun_desp,
   coalesce(id_ent, 'NA') || coalesce(id_mun, 'NA') AS inegi,
@@ -100,17 +96,7 @@ WITH raw AS ({standins.JULY_RAW_SQL}),
 vocabulary AS ({standins.vocabulary_sql(standins.JULY_VOCABULARY)}),
 recoded AS (SELECT raw.* REPLACE ({_JULY_COLUMNS},
   coalesce(condicion_localizacion, 'sigue desaparecida') AS condicion_localizacion,
-  CASE lugar_de_nacimiento WHEN 'ciudad de mexico' THEN ' ciudad de méxico' WHEN 'Puebla' THEN 'puebla'
-    WHEN 'tampico' THEN 'tamaulipas' ELSE lugar_de_nacimiento END AS lugar_de_nacimiento,
-  CASE estado_civil WHEN 'divorciado' THEN 'divorciado(a)' ELSE estado_civil END AS estado_civil,
-  CASE entidad_de_desaparicion WHEN 'ciudad de mexico' THEN 'ciudad de méxico' WHEN 'estado de mexico' THEN 'méxico'
-    WHEN 'veracruz de ignacio de la llave' THEN 'veracruz' ELSE entidad_de_desaparicion END AS entidad_de_desaparicion,
-  CASE municipio_alcadia_de_la_desaparicion WHEN 'alvaro obregon' THEN 'alvaro obregón'
-    ELSE municipio_alcadia_de_la_desaparicion END AS municipio_alcadia_de_la_desaparicion,
-  CASE estado_de_salud WHEN 'buen estado general' THEN 'buen estado' ELSE estado_de_salud END AS estado_de_salud,
-  CASE municipio_alcaldia_de_la_localizacion WHEN 'ecatepec' THEN 'ecatepec de morelos'
-    WHEN 'tlalnepantla' THEN 'tlalnepantla de baz' ELSE municipio_alcaldia_de_la_localizacion END
-    AS municipio_alcaldia_de_la_localizacion) FROM raw {_JULY_JOINS}),
+  {", ".join(f"{case_sql(name, pairs)} AS {name}" for name, pairs in S.JULY_REPLACEMENTS.items())}) FROM raw {_JULY_JOINS}),
 registry AS (SELECT recoded.* EXCLUDE (clave_municipio, clave_colonia),
   CASE WHEN length(clave_municipio) < 3 THEN lpad(clave_municipio, 3, '0') ELSE clave_municipio END
     AS clave_municipio_desp, clave_colonia AS clave_colonia_desp,
@@ -193,15 +179,7 @@ def july_registry(spark, sf_dir):
 
 @registered(DECEMBER + f"SELECT {_columns(S.DECEMBER_COLUMNS)} FROM registry")
 def registry_clean_december(spark, sf_dir):
-    """The delivery is landed as a table first, as it would be on a data lake."""
-    raw = standins.december_raw(spark, sf_dir)
-    path = fresh_path(spark, "delivery")
-    files.write_snapshot(raw, path)
-    return registry.clean_december(
-        files.read_delivery(spark, path, raw.schema),
-        standins.vocabulary(spark, standins.DECEMBER_VOCABULARY),
-        standins.geo_catalog(spark, sf_dir),
-    )
+    return december_registry(spark, sf_dir)
 
 
 @registered(JULY + f"SELECT {_columns(S.JULY_COLUMNS)} FROM registry")

@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recuento.catalog import standins
 from recuento.catalog.base import Query, table
 from recuento.session import fresh_path
 from recuento.sources import files
-
-_ACCENTS = ("AEIOU", "ÁÉÍÓÚ")
-
+from recuento.sources.schemas import REGION_VERTICES
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders with a zero-padded text code and a column with NULLs."""
@@ -32,16 +31,50 @@ def scan_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scan_latin1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Latin-1 CSV of persons, three of its columns read back."""
-    accented = F.translate(F.col("c_mktsegment"), *_ACCENTS)
-    persons = table(spark, sf_dir, "customer").withColumn("c_mktsegment", accented)
+    """Latin-1 CSV of whole accented texts, three of its columns read back."""
+    documents = table(spark, sf_dir, "documents")
     path = fresh_path(spark, "latin1")
-    files.write_published_csv(persons, path, encoding="ISO-8859-1")
-    types = persons.schema
-    wanted = {name: types[name].dataType for name in ("c_mktsegment", "c_custkey", "c_nationkey")}
+    files.write_published_csv(documents, path, encoding="ISO-8859-1")
+    wanted = {name: documents.schema[name].dataType for name in ("text", "doc_id", "n_chars")}
     return files.read_csv_columns(spark, path, wanted, encoding="ISO-8859-1")
 
 
+_HARD = "' 1, \"' || text || '\"' || chr(13) || chr(10) || lang || ' '"
+
+
+def scan_csv_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts with line breaks, commas, quotes and outer blanks, published and read back."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", F.expr(_HARD).alias("hard"), "source")
+    path = fresh_path(spark, "texts")
+    files.write_published_csv(documents, path)
+    return files.read_csv(spark, path, documents.schema, trim=False)
+
+
+_TERM = (
+    "CASE p_partkey % 4 WHEN 0 THEN p_name || chr(13) || chr(10) WHEN 1 THEN p_name || ', \"or\" ' || p_brand "
+    "WHEN 2 THEN '  ' || p_name || ' ' ELSE p_name END"
+)
+
+
+def read_vocabulary_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vocabulary whose terms end in line breaks, hold quotes or keep outer blanks."""
+    terms = table(spark, sf_dir, "part").select(
+        F.col("p_brand").alias("field"), F.expr(_TERM).alias("raw"), F.col("p_type").alias("canonical"), F.col("p_size").alias("priority")
+    )
+    path = fresh_path(spark, "vocabulary")
+    files.write_published_csv(terms, path)
+    return files.read_vocabulary(spark, path)
+
+
+def scan_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The polygon layer, stored and read back as a vertex table."""
+    types = {f.name: f.dataType for f in REGION_VERTICES.fields}
+    vertices = standins.region_vertices(spark, sf_dir).select(*[F.col(name).cast(kind) for name, kind in types.items()])
+    path = fresh_path(spark, "vertices")
+    files.write_snapshot(vertices, path)
+    return files.read_vertices(spark, path)
+
+
 def scan_glob(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two kinds of files in one folder; the name pattern picks the persons."""
     persons = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
@@ -73,7 +106,19 @@ QUERIES = [
     Query(
         "scan_latin1",
         scan_latin1,
-        "SELECT translate(c_mktsegment, 'AEIOU', 'ÁÉÍÓÚ') AS c_mktsegment, c_custkey, c_nationkey FROM customer",
+        "SELECT nullif(text, '') AS text, doc_id, n_chars FROM documents",
+    ),
+    Query("scan_csv_text", scan_csv_text, f"SELECT doc_id, {_HARD} AS hard, source FROM documents"),
+    Query(
+        "read_vocabulary_csv",
+        read_vocabulary_csv,
+        f"SELECT p_brand AS field, {_TERM} AS raw, p_type AS canonical, p_size AS priority FROM part",
+    ),
+    Query(
+        "scan_vertices",
+        scan_vertices,
+        "SELECT CVEGEO, CVE_MUN, 0 AS ring_id, CAST(pos AS INTEGER) AS pos, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y "
+        f"FROM ({standins.VERTICES_SQL})",
     ),
     Query("scan_glob", scan_glob, "SELECT c_custkey, c_name FROM customer"),
     Query("snapshot_roundtrip", snapshot_roundtrip, _ORDERS_SQL),

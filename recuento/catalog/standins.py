@@ -15,11 +15,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 from recuento.catalog.base import literal, table, values_sql
 from recuento.operators.dictionary import small_table
+from recuento.plans import settings as S
 
 _DAY = "(CAST(o_orderdate AS DATE) + CASE WHEN o_orderkey % 10 = 0 THEN 0 ELSE 7200 END)"
 _FOUND = f"({_DAY} + CAST(o_orderkey % 60 AS INT))"
 _PLACE = "(o_custkey % 27)"
 
+# Every spelling that is replaced occurs; two of them are in the catalog, see GEO_CATALOG.
+_OTHER_MUNICIPALITIES = "".join(
+    f"WHEN {place} THEN {literal(raw)} "
+    for place, raw in enumerate(
+        [raw for raw, _ in S.DECEMBER_MUNICIPALITIES if raw not in ("alvaro obregon", "coyoacan")], 12
+    )
+)
+
+
+def _replaced(column: str) -> list[str]:
+    return [raw for raw, _ in S.JULY_REPLACEMENTS[column]]
+
 
 @dataclass(frozen=True)
 class Dialect:
@@ -111,14 +124,14 @@ def december_columns(sql: Dialect) -> tuple:
         (
             "Entidad de desaparición",
             "entidad_de_desaparicion",
-            f"CASE WHEN {_PLACE} = 26 THEN NULL ELSE "
+            f"CASE {_PLACE} WHEN 26 THEN NULL WHEN 25 THEN 'Veracruz' ELSE "
             + sql.pick(_PLACE, "Africa", "America", "Ciudad de Mexico", "Mexico", "Middle East")
             + " END",
         ),
         (
             "Municipio/alcadía de la desaparición",
             "municipio_alcadia_de_la_desaparicion",
-            f"CASE {_PLACE} WHEN 26 THEN NULL WHEN 2 THEN 'Alvaro Obregon' WHEN 7 THEN 'COYOACAN' "
+            f"CASE {_PLACE} WHEN 26 THEN NULL WHEN 2 THEN 'Alvaro Obregon' WHEN 7 THEN 'COYOACAN' {_OTHER_MUNICIPALITIES}"
             f"ELSE 'Nation_' || CAST({_PLACE} AS STRING) END",
         ),
         ("Colonia de la desaparición", "colonia_de_la_desaparicion", "'Colonia ' || CAST(o_custkey % 50 AS STRING)"),
@@ -215,7 +228,7 @@ def july_columns(sql: Dialect) -> tuple:
         ),
         ("sexo", "CASE WHEN o_custkey % 13 = 0 THEN NULL WHEN o_custkey % 2 = 0 THEN 'hombre' ELSE 'mujer' END"),
         ("edad", "CASE WHEN o_orderkey % 19 = 0 THEN NULL ELSE CAST(o_orderkey * 7 % 95 AS INT) END"),
-        ("lugar_de_nacimiento", sql.pick("o_custkey", "Puebla", "ciudad de mexico", "tampico", None, "oaxaca")),
+        ("lugar_de_nacimiento", sql.pick("o_custkey", *_replaced("lugar_de_nacimiento"), None, "oaxaca")),
         ("nacionalidad", "'mexicana'"),
         (
             "escolaridad",
@@ -391,11 +404,11 @@ def national_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def region_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each vector of 64 numbers is a ring of 32 points with whole coordinates."""
+    """Each vector is a ring with whole coordinates, a point for each two numbers."""
     rings = table(spark, sf_dir, "embeddings").selectExpr(
         f"'09' || {_REGION} AS CVEGEO",
         f"{_REGION} AS CVE_MUN",
-        "posexplode(transform(sequence(0, 31), i -> struct("
+        "posexplode(transform(if(size(embedding) > 1, sequence(0, size(embedding) div 2 - 1), array()), i -> struct("
         "cast(floor(cast(embedding[2 * i] as double) * 1000) as bigint) AS x, "
         "cast(floor(cast(embedding[2 * i + 1] as double) * 1000) as bigint) AS y))) AS (pos, p)",
     )
@@ -424,5 +437,5 @@ VERTICES_SQL = (
     f"SELECT '09' || {_REGION} AS CVEGEO, {_REGION} AS CVE_MUN, i AS pos, "
     "CAST(floor(CAST(embedding[2 * i + 1] AS DOUBLE) * 1000) AS BIGINT) AS x, "
     "CAST(floor(CAST(embedding[2 * i + 2] AS DOUBLE) * 1000) AS BIGINT) AS y "
-    "FROM embeddings, range(0, 32) AS r(i)"
+    "FROM (SELECT *, unnest(range(0, len(embedding) // 2)) AS i FROM embeddings)"
 )

@@ -5,26 +5,58 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from recuento.functions.categories import first_match
+# Month names that are read, English and Spanish, whole or by their first three letters.
+MONTHS = (
+    ("january", "enero"),
+    ("february", "febrero"),
+    ("march", "marzo"),
+    ("april", "abril"),
+    ("may", "mayo"),
+    ("june", "junio"),
+    ("july", "julio"),
+    ("august", "agosto"),
+    ("september", "septiembre"),
+    ("october", "octubre"),
+    ("november", "noviembre"),
+    ("december", "diciembre"),
+)
 
-_PART = r"(\d{2}|\d(?=[-/. ]))"
-_DATE = rf"^\s*{_PART}[-/. ]*{_PART}[-/. ]*(\d{{4}}|\d{{2}})\s*$"
-_FULL_YEAR = r"(\D|^\s*\d{4})\d{4}\s*$"
-_YEAR_OF_1900S = r"(69|[7-9]\d)\s*$"
+_GAP = r"[^\p{L}\d]"
+_PART = rf"(\d{{2}}|\d(?={_GAP}))"
+_DATE = rf"^\s*+{_PART}{_GAP}*+{_PART}{_GAP}*+(\d{{4}}|\d{{2}})\s*+$"
+_NAMED = rf"^\s*+(\d{{1,2}}){_GAP}*+(\p{{L}}++){_GAP}*+(\d{{4}}|\d{{2}})\s*+$"
+
+
+def _month_numbers() -> dict[str, str]:
+    names = {}
+    for number, spellings in enumerate(MONTHS, 1):
+        for name in spellings:
+            names |= {name: f"{number:02d}", name[:3]: f"{number:02d}"}
+    return names
 
 
 def parse_dmy(col: Column) -> Column:
     """Day-month-year text to a date; anything else, 31 February too, is NULL.
 
-    Parts are separated by ``-``, ``/``, ``.`` or blanks, or not at all when day
-    and month have two digits. Two-digit years from 69 on lie in the 1900s,
-    smaller ones in the 2000s. The text is turned into ``year-month-day`` and
-    cast once: the format parsers raise an error inside for each text that does
-    not fit, which is slow when many do not.
+    Parts are separated by any characters but letters and digits, or not at all
+    when day and month have two digits; the month may be a name of ``MONTHS``.
+    Two-digit years from 69 on lie in the 1900s, smaller ones in the 2000s. One
+    match turns the text into ``=year-month-day``, the sign tells that it fitted,
+    and the rest is cast once: the format parsers raise an error inside for each
+    text that does not fit, which is slow when many do not.
     """
-    century = first_match([(col.rlike(_FULL_YEAR), ""), (col.rlike(_YEAR_OF_1900S), "19")], "20")
-    iso = F.concat(century, F.regexp_replace(col, _DATE, "$3-$2-$1"))
-    return F.when(col.rlike(_DATE), iso).try_cast("date")
+    names = F.create_map(*[F.lit(x) for pair in _month_numbers().items() for x in pair])
+    month = names[F.lower(F.regexp_extract(col, _NAMED, 2))]
+    named = F.regexp_replace(col, F.lit(_NAMED), F.concat(F.lit("=$3-"), month, F.lit("-$1")))
+    found = F.when(col.rlike(r"\p{L}"), named).otherwise(F.regexp_replace(col, _DATE, "=$3-$2-$1"))
+    return _iso(found).try_cast("date")
+
+
+def _iso(found: Column) -> Column:
+    """``=2020-1-3`` or ``=20-1-3`` as ``2020-1-3``; NULL for a text without the sign."""
+    short = F.substring(found, 4, 1) == "-"
+    century = F.when(~short, "").when(F.substring(found, 2, 2) >= "69", "19").otherwise("20")
+    return F.when(F.left(found, F.lit(1)) == "=", F.concat(century, F.substring(found, 2, 20)))
 
 
 def year_of(col: Column) -> Column:

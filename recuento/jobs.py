@@ -7,14 +7,17 @@ Parquet folder in it.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from recuento.operators.joins import assert_unique
 from recuento.operators.profiling import profile_columns
 from recuento.plans import census, descriptives, narrative, rates, regions, registry
 from recuento.plans import settings as S
+from recuento.session import materialize, stored_tables
 from recuento.sources import files, schemas
 
 DECEMBER, JULY, PUBLISHED, PROFILE = "registry_december", "registry_july", "registry_published", "registry_profile"
@@ -27,12 +30,30 @@ def _write(tables: Mapping[str, DataFrame], out: str) -> None:
         files.write_snapshot(df, f"{out}/{name}")
 
 
+def _landed(spark: SparkSession, path: str, schema: T.StructType, fmt: str, name: str) -> DataFrame:
+    """A delivery; text is parsed once and stored, as a file of quoted text is read by one task."""
+    df = files.read_delivery(spark, path, schema, fmt=fmt)
+    return materialize(df, name) if fmt == "csv" else df
+
+
+def stage(run: Callable) -> Callable:
+    """A job that leaves nothing behind but its tables."""
+
+    @wraps(run)
+    def call(spark: SparkSession, *args, **options) -> None:
+        with stored_tables(spark):
+            run(spark, *args, **options)
+
+    return call
+
+
+@stage
 def profile_delivery(spark: SparkSession, delivery: str, out: str, *, fmt: str = "parquet") -> None:
     """Data profile of a delivery before it is cleaned."""
-    raw = files.read_delivery(spark, delivery, schemas.REGISTRY_RAW, fmt=fmt)
-    _write({PROFILE: profile_columns(raw)}, out)
+    _write({PROFILE: profile_columns(_landed(spark, delivery, schemas.REGISTRY_RAW, fmt, "delivery"))}, out)
 
 
+@stage
 def import_december(
     spark: SparkSession, delivery: str, vocabulary: str, catalog: str, out: str, *, fmt: str = "parquet"
 ) -> None:
@@ -40,21 +61,23 @@ def import_december(
 
     The CSV is written from the snapshot, so the registry is cleaned once.
     """
-    raw = files.read_delivery(spark, delivery, schemas.REGISTRY_RAW, fmt=fmt)
+    raw = _landed(spark, delivery, schemas.REGISTRY_RAW, fmt, "delivery")
     geo = files.read_csv(spark, catalog, schemas.GEO_CATALOG)
     assert_unique(registry.prepare_catalog(geo), ["name_ent", "name_mun"], "geo catalog")
     _write({DECEMBER: registry.clean_december(raw, files.read_vocabulary(spark, vocabulary), geo)}, out)
     files.write_published_csv(files.read_snapshot(spark, f"{out}/{DECEMBER}"), f"{out}/{PUBLISHED}")
 
 
+@stage
 def import_july(
     spark: SparkSession, delivery: str, vocabulary: str, out: str, *, fmt: str = "parquet"
 ) -> None:
     """Clean the delivery with typed dates."""
-    raw = files.read_delivery(spark, delivery, schemas.REGISTRY_RAW_TYPED, fmt=fmt)
+    raw = _landed(spark, delivery, schemas.REGISTRY_RAW_TYPED, fmt, "delivery")
     _write({JULY: registry.clean_july(raw, files.read_vocabulary(spark, vocabulary))}, out)
 
 
+@stage
 def census_tables(spark: SparkSession, folder: str, out: str, *, name_pattern: str = "*Personas*") -> None:
     """Census aggregates from the Latin-1 person files of a folder.
 
@@ -75,6 +98,7 @@ def census_tables(spark: SparkSession, folder: str, out: str, *, name_pattern: s
     )
 
 
+@stage
 def descriptive_tables(spark: SparkSession, out: str) -> None:
     """Tables of the descriptive figures, from the December snapshot."""
     cases = files.read_snapshot(spark, f"{out}/{DECEMBER}")
@@ -96,6 +120,7 @@ def descriptive_tables(spark: SparkSession, out: str) -> None:
     )
 
 
+@stage
 def rate_tables(spark: SparkSession, national: str, out: str, *, fmt: str = "parquet") -> None:
     """City and national rates, with and without status, and the population shares."""
     cases = files.read_snapshot(spark, f"{out}/{DECEMBER}")
@@ -114,6 +139,7 @@ def rate_tables(spark: SparkSession, national: str, out: str, *, fmt: str = "par
     )
 
 
+@stage
 def region_tables(
     spark: SparkSession, projection: str, vertices: str, out: str, *, vertices_fmt: str = "parquet"
 ) -> None:
@@ -139,6 +165,7 @@ def region_tables(
     )
 
 
+@stage
 def report_figures(spark: SparkSession, national: str, out: str, *, fmt: str = "parquet") -> None:
     """The figures quoted in the report, from the July snapshot."""
     cases = files.read_snapshot(spark, f"{out}/{JULY}")

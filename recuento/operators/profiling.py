@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,48 +20,37 @@ def _text(value: Column, field: T.StructField) -> Column:
 def profile_columns(df: DataFrame, columns: Sequence[str] | None = None, *, distinct: str = "exact") -> DataFrame:
     """One row per column: type, rows, nulls, distinct values, smallest and largest.
 
-    ``"exact"``: each column is counted by value first, so a frequent value
-    shrinks to one partial count per task before the shuffle, and every
-    statistic comes from these counts. A columnar source is read once in total,
-    because each branch reads its own column only. ``"approximate"``: one pass
-    over all columns without a shuffle of values, for tables whose columns are
-    mostly unique; distinct counts are then estimates.
+    Everything but distinct values comes from one pass. ``"exact"``: a second
+    pass lists the values of all columns, so a source is read twice however many
+    columns it has; a frequent value shrinks to one row per task before the
+    shuffle. ``"approximate"``: distinct counts are estimates from the one pass,
+    without a shuffle of values, for tables whose columns are mostly unique.
     """
     if distinct not in ("exact", "approximate"):
         raise ValueError("distinct is 'exact' or 'approximate'")
     wanted = [(i, f) for i, f in enumerate(df.schema.fields, 1) if columns is None or f.name in columns]
+    summary = _one_pass(df, wanted, distinct == "approximate")
     if distinct == "approximate":
-        return _one_pass(df, wanted)
-    return reduce(DataFrame.unionByName, [_by_value(df, i, field) for i, field in wanted])
+        return summary
+    cells = [F.struct(F.lit(i).alias("place"), F.col(f"`{f.name}`").cast("string").alias("value")) for i, f in wanted]
+    values = df.select(F.inline(F.array(*cells))).where(F.col("value").isNotNull()).distinct()
+    counts = values.groupBy("place").agg(F.count("*").alias("distinct"))
+    joined = summary.join(counts, F.col("position") == F.col("place"), "left")
+    return joined.select("position", "column", "type", "rows", "nulls", F.coalesce("distinct", F.lit(0)).alias("distinct"), "min", "max")
 
 
-def _by_value(df: DataFrame, position: int, field: T.StructField) -> DataFrame:
-    counts = df.groupBy(F.col(f"`{field.name}`").alias("value")).agg(F.count("*").alias("n"))
-    missing = F.when(F.col("value").isNull(), F.col("n"))
-    return counts.agg(
-        F.lit(position).alias("position"),
-        F.lit(field.name).alias("column"),
-        F.lit(field.dataType.simpleString()).alias("type"),
-        F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
-        F.coalesce(F.sum(missing), F.lit(0)).alias("nulls"),
-        F.count("value").alias("distinct"),
-        _text(F.min("value"), field).alias("min"),
-        _text(F.max("value"), field).alias("max"),
-    )
-
-
-def _one_pass(df: DataFrame, wanted: Sequence[tuple[int, T.StructField]]) -> DataFrame:
+def _one_pass(df: DataFrame, wanted: Sequence[tuple[int, T.StructField]], estimate: bool) -> DataFrame:
     def summary(position: int, field: T.StructField) -> Column:
         value = F.col(f"`{field.name}`")
-        return F.struct(
+        parts = [
             F.lit(position).alias("position"),
             F.lit(field.name).alias("column"),
             F.lit(field.dataType.simpleString()).alias("type"),
             F.count("*").alias("rows"),
             (F.count("*") - F.count(value)).alias("nulls"),
-            F.approx_count_distinct(value).alias("distinct"),
             _text(F.min(value), field).alias("min"),
             _text(F.max(value), field).alias("max"),
-        )
+        ]
+        return F.struct(*parts[:5], *([F.approx_count_distinct(value).alias("distinct")] if estimate else []), *parts[5:])
 
     return df.agg(F.array(*[summary(i, f) for i, f in wanted]).alias("all")).select(F.inline("all"))

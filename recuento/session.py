@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,7 +55,28 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other call gets."""
-    return f"{shared_dir(spark)}/recuento/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/recuento/{name}-{uuid.uuid4().hex}"
+    if _stored:
+        _stored[-1].append(path)
+    return path
+
+
+_stored: list[list[str]] = []
+
+
+@contextmanager
+def stored_tables(spark: SparkSession) -> Iterator[None]:
+    """Delete, at the end, the intermediate tables that were stored inside.
+
+    What is read lazily from them must be written before the end.
+    """
+    _stored.append([])
+    try:
+        yield
+    finally:
+        for path in _stored.pop():
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,6 +16,12 @@ from recuento.sources.schemas import REGION_VERTICES, VOCABULARY
 
 MISSING_TEXT = "NA"
 
+ROWS_PER_FILE = 1_000_000
+"""Rows of a published CSV file at most."""
+
+
+_CORRUPT = "__corrupt"
+
 
 def _csv_options(encoding: str, name_pattern: str | None, trim: bool = True) -> dict[str, str]:
     options = {
@@ -23,25 +29,33 @@ def _csv_options(encoding: str, name_pattern: str | None, trim: bool = True) ->
         "encoding": encoding,
         "nullValue": MISSING_TEXT,
         "emptyValue": "",
+        "quote": '"',
+        "escape": '"',
+        "multiLine": "true",
         "ignoreLeadingWhiteSpace": str(trim).lower(),
         "ignoreTrailingWhiteSpace": str(trim).lower(),
         "enforceSchema": "false",
+        "columnNameOfCorruptRecord": _CORRUPT,
     }
     if name_pattern:
         options["pathGlobFilter"] = name_pattern
     return options
 
 
-def _empty_text_is_missing(df: DataFrame) -> DataFrame:
-    """A quoted empty cell is as missing as an empty one."""
-    return df.select(
-        *[
-            F.nullif(F.col(f"`{f.name}`"), F.lit("")).alias(f.name)
-            if isinstance(f.dataType, T.StringType)
-            else F.col(f"`{f.name}`")
-            for f in df.schema.fields
-        ]
-    )
+def _typed(cell: Column, kind: T.DataType) -> Column:
+    """A cell as its type, NULL if it does not fit; whole numbers may be written ``7.0``."""
+    plain = cell.try_cast(kind)
+    if isinstance(kind, T.IntegralType):
+        number = cell.try_cast("double")
+        plain = F.coalesce(plain, F.when(number == F.floor(number), number.try_cast(kind)))
+    return plain
+
+
+def _as_text(spark: SparkSession, paths: list[str], schema: T.StructType, options: Mapping[str, str]) -> DataFrame:
+    """The cells as text, empty ones NULL, and the whole row where its cells do not match the header."""
+    text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields] + [T.StructField(_CORRUPT, T.StringType())])
+    df = spark.read.schema(text).options(**options).csv(paths)
+    return df.select(*[F.nullif(F.col(f"`{f.name}`"), F.lit("")).alias(f.name) for f in schema.fields], _CORRUPT)
 
 
 def read_csv(
@@ -52,16 +66,63 @@ def read_csv(
     encoding: str = "UTF-8",
     name_pattern: str | None = None,
     trim: bool = True,
+    bad: str = "fail",
 ) -> DataFrame:
-    """Header CSV with a full schema; blank cells and ``NA`` are NULL.
-
-    The header of every file is compared with the schema. ``name_pattern``
-    keeps only the files whose name fits, such as ``*Personas*``. Blanks around
-    a cell are dropped unless ``trim`` is off.
+    """Header CSV with a full schema; empty cells and ``NA`` are NULL.
+
+    Quoted cells may hold line breaks, kept as written, and doubled quotes. So a
+    file cannot be cut into pieces and one task reads it: deliver many files,
+    and land them as Parquet before they are read more than once. The header of
+    every file is compared with the schema. ``name_pattern`` keeps only the
+    files whose name fits, such as ``*Personas*``. Blanks around an unquoted
+    cell are dropped unless ``trim`` is off.
+
+    A cell that does not fit its type, or a row with too few or too many cells,
+    fails the job; with ``bad="null"`` such cells are NULL, and ``bad_cells``
+    lists them.
     """
+    if bad not in ("fail", "null"):
+        raise ValueError("bad is 'fail' or 'null'")
     paths = [path] if isinstance(path, str) else list(path)
-    df = spark.read.schema(schema).options(**_csv_options(encoding, name_pattern, trim)).csv(paths)
-    return _empty_text_is_missing(df)
+    cells = _as_text(spark, paths, schema, _csv_options(encoding, name_pattern, trim))
+    if bad == "fail":
+        first = F.coalesce(F.col(f"`{schema.fields[0].name}`"), F.lit(""))
+        message = F.concat(F.lit("row does not match the header, first cell: "), first)
+        cells = cells.where(F.when(F.col(_CORRUPT).isNotNull(), F.raise_error(message).cast("boolean")).otherwise(True))
+
+    def converted(field: T.StructField) -> Column:
+        cell = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, T.StringType):
+            return cell.alias(field.name)
+        value = _typed(cell, field.dataType)
+        if bad == "fail":
+            kind = field.dataType.simpleString()
+            message = F.concat(F.lit(f"cell of {field.name} is not {kind}: "), cell)
+            value = F.when(cell.isNotNull() & value.isNull(), F.raise_error(message).cast(kind)).otherwise(value)
+        return value.alias(field.name)
+
+    return cells.select(*map(converted, schema.fields))
+
+
+def bad_cells(
+    spark: SparkSession,
+    path: str | Sequence[str],
+    schema: T.StructType,
+    *,
+    encoding: str = "UTF-8",
+    name_pattern: str | None = None,
+) -> DataFrame:
+    """``column, value, rows``: cells that do not fit their type, and whole rows (column NULL) that do not fit the header."""
+    paths = [path] if isinstance(path, str) else list(path)
+    cells = _as_text(spark, paths, schema, _csv_options(encoding, name_pattern))
+    typed = [f for f in schema.fields if not isinstance(f.dataType, T.StringType)]
+    checks = [
+        F.struct(F.lit(f.name).alias("column"), F.when(_typed(F.col(f"`{f.name}`"), f.dataType).isNull(), F.col(f"`{f.name}`")).alias("value"))
+        for f in typed
+    ]
+    checks.append(F.struct(F.lit(None).cast("string").alias("column"), F.col(_CORRUPT).alias("value")))
+    listed = cells.select(F.inline(F.array(*checks)), F.col(f"`{schema.fields[0].name}`").alias("__first"))
+    return listed.where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count("*").alias("rows"))
 
 
 def read_csv_columns(
@@ -71,20 +132,21 @@ def read_csv_columns(
     *,
     encoding: str = "UTF-8",
     name_pattern: str | None = None,
+    bad: str = "fail",
 ) -> DataFrame:
     """A few typed columns of a wide CSV, in the given order.
 
     Only the header line is read to place the columns; the others are never
-    parsed.
+    converted.
     """
     paths = [path] if isinstance(path, str) else list(path)
     options = _csv_options(encoding, name_pattern)
-    header = spark.read.options(**options).csv(paths).columns
+    header = spark.read.options(**options | {"multiLine": "false"}).csv(paths).columns
     absent = [name for name in columns if name not in header]
     if absent:
         raise ValueError(f"columns not in the file: {absent}")
     schema = T.StructType([T.StructField(name, columns.get(name, T.StringType())) for name in header])
-    df = read_csv(spark, paths, schema, encoding=encoding, name_pattern=name_pattern)
+    df = read_csv(spark, paths, schema, encoding=encoding, name_pattern=name_pattern, bad=bad)
     return df.select(*columns)
 
 
@@ -95,10 +157,11 @@ def read_delivery(
     *,
     fmt: str = "parquet",
     encoding: str = "UTF-8",
+    bad: str = "fail",
 ) -> DataFrame:
     """A registry delivery, landed as Parquet or CSV, under a fixed schema."""
     if fmt == "csv":
-        return read_csv(spark, path, schema, encoding=encoding)
+        return read_csv(spark, path, schema, encoding=encoding, bad=bad)
     return spark.read.schema(schema).format(fmt).load(path)
 
 
@@ -118,13 +181,23 @@ def write_snapshot(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -
     writer.parquet(path)
 
 
-def write_published_csv(df: DataFrame, path: str, *, encoding: str = "UTF-8") -> None:
-    """Header CSV with NULL written as ``NA``, one file per partition."""
+def write_published_csv(
+    df: DataFrame, path: str, *, encoding: str = "UTF-8", rows_per_file: int = ROWS_PER_FILE
+) -> None:
+    """Header CSV with NULL written as ``NA`` and quotes doubled; cells are written as they are.
+
+    Files hold at most ``rows_per_file`` rows, so that reading them back is spread.
+    """
     (
         df.write.mode("overwrite")
         .option("header", True)
         .option("encoding", encoding)
         .option("nullValue", MISSING_TEXT)
+        .option("quote", '"')
+        .option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
+        .option("maxRecordsPerFile", rows_per_file)
         .csv(path)
     )
 

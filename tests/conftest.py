@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -10,7 +11,8 @@ from recuento.session import build_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("tests", master="local[4]", shuffle_partitions=4)
+    folder = tempfile.mkdtemp(prefix="run-")
+    session = build_session("tests", master="local[4]", shuffle_partitions=4, extra={"spark.checkpoint.dir": folder})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -134,6 +134,12 @@ def test_lenient_dates(spark):
         "29/02/2019": None,
         "31/02/2021": None,
         "13/13/2021": None,
+        "3,1,2020": dt.date(2020, 1, 3),
+        "3_1_2020": dt.date(2020, 1, 3),
+        "3 jan 2020": dt.date(2020, 1, 3),
+        "03-Enero-20": dt.date(2020, 1, 3),
+        "31 feb 2020": None,
+        "3 lunes 2020": None,
         "2020-05-01": None,
         "1122020": None,
         "n/a": None,

@@ -9,6 +9,7 @@ from recuento.catalog import all_queries, standins
 from recuento.catalog.products import december_registry
 from recuento.operators import counting, dictionary, joins, shares
 from recuento.plans import descriptives
+from recuento.plans import settings as S
 
 SF = "/root/testdata/sf0.001"
 
@@ -97,3 +98,34 @@ def test_filters_reach_the_scan(spark):
 def test_profile_reads_one_column_per_branch(spark):
     text = plan(all_queries()["profile_columns"].run(spark, SF))
     assert len(re.findall(r"ReadSchema: struct<\w+:\w+>", text)) == 6
+
+
+@pytest.mark.parametrize("name", ["quartile_class", "municipal_map"])
+def test_classes_are_found_by_comparing_keys(spark, name):
+    text = plan(all_queries()[name].run(spark, SF))
+    assert "Window" not in text and "RangePartitioning" not in text.title()
+    assert not re.search(r"hashpartitioning\((quartile|tasa_quart)", text)
+
+
+def test_profile_reads_its_source_twice(spark):
+    text = plan(all_queries()["raw_registry_profile"].run(spark, SF))
+    assert text.count("/orders.parquet") == 2
+
+
+@pytest.mark.parametrize(
+    "column, pairs",
+    [
+        ("entidad_de_desaparicion", S.DECEMBER_STATES),
+        ("municipio_alcadia_de_la_desaparicion", S.DECEMBER_MUNICIPALITIES),
+    ],
+)
+def test_every_december_pair_occurs(spark, column, pairs):
+    header = next(h for h, name, _ in standins.december_columns(standins.SPARK) if name == column)
+    found = {r[0] for r in standins.december_raw(spark, SF).select(F.lower(F.col(f"`{header}`"))).distinct().collect()}
+    assert {raw for raw, _ in pairs} <= found
+
+
+@pytest.mark.parametrize("column", sorted(S.JULY_REPLACEMENTS))
+def test_every_july_pair_occurs(spark, column):
+    found = {r[0] for r in standins.july_raw(spark, SF).select(column).distinct().collect()}
+    assert {raw for raw, _ in S.JULY_REPLACEMENTS[column]} <= found

@@ -74,10 +74,9 @@ def test_shared_folder_comes_from_the_session():
     cluster = Settings("spark://host:7077", "/mnt/shared/")
     assert session.fresh_path(cluster, "t").startswith("/mnt/shared/recuento/t-")
     assert session.fresh_path(cluster, "t") != session.fresh_path(cluster, "t")
-    with pytest.raises(ValueError, match="checkpoint.dir"):
-        session.shared_dir(Settings("spark://host:7077"))
-    local = Settings("local[2]")
-    assert session.shared_dir(local) == session.shared_dir(local)
+    unset = Settings("spark://host:7077")
+    unset.conf["spark.sql.warehouse.dir"] = "hdfs://x/warehouse"
+    assert session.shared_dir(unset) == "hdfs://x/warehouse/_stored"
 
 
 def test_materialized_rows(spark, rows):
@@ -85,3 +84,46 @@ def test_materialized_rows(spark, rows):
     stored = session.materialize(df)
     assert rows(stored) == rows(df)
     assert stored.dtypes == df.dtypes
+
+
+def test_csv_keeps_line_breaks_and_quotes(spark, tmp_path, rows):
+    schema = T.StructType().add("id", "int").add("text", "string").add("n", "int")
+    df = spark.createDataFrame([(1, 'a\r\nb, "c"', 5), (2, " x ", None), (3, '"', 7)], schema)
+    files.write_published_csv(df, str(tmp_path / "c"), rows_per_file=1)
+    assert rows(files.read_csv(spark, str(tmp_path / "c"), schema, trim=False)) == rows(df)
+
+
+def test_cells_that_do_not_fit(spark, tmp_path):
+    schema = T.StructType().add("id", "int").add("n", "int")
+    (tmp_path / "f.csv").write_text("id,n\n1,7.0\n2,abc\n3,abc\n4,\n5,7.5\n")
+    path = str(tmp_path / "f.csv")
+    with pytest.raises(Exception, match="cell of n is not int"):
+        files.read_csv(spark, path, schema).collect()
+    known = {r.id: r.n for r in files.read_csv(spark, path, schema, bad="null").collect()}
+    assert known == {1: 7, 2: None, 3: None, 4: None, 5: None}
+    found = {(r.column, r.value): r.rows for r in files.bad_cells(spark, path, schema).collect()}
+    assert found == {("n", "abc"): 2, ("n", "7.5"): 1}
+
+
+def test_rows_of_another_width(spark, tmp_path):
+    schema = T.StructType().add("id", "int").add("n", "int")
+    (tmp_path / "f.csv").write_text("id,n\n1,2\n3\n")
+    with pytest.raises(Exception, match="does not match the header"):
+        files.read_csv(spark, str(tmp_path / "f.csv"), schema).count()
+    assert [(r.column, r.value, r.rows) for r in files.bad_cells(spark, str(tmp_path / "f.csv"), schema).collect()] == [(None, "3", 1)]
+
+
+def test_vocabulary_terms_as_written(spark, tmp_path):
+    (tmp_path / "v.csv").write_bytes(b'field,raw,canonical,priority\nf,"comision x\r\n",c,1\nf,"colectivo, ""hasta"" uno",d,2\n')
+    found = [(r.raw, r.canonical) for r in files.read_vocabulary(spark, str(tmp_path / "v.csv")).orderBy("priority").collect()]
+    assert found == [("comision x\r\n", "c"), ('colectivo, "hasta" uno', "d")]
+
+
+def test_stored_tables_are_deleted(spark):
+    with session.stored_tables(spark):
+        path = session.fresh_path(spark, "gone")
+        spark.range(3).write.parquet(path)
+    kept = session.materialize(spark.range(3))
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    assert not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    assert kept.count() == 3
