@@ -106,23 +106,28 @@ def compare_with_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     Texts are dealt once by document; the next document's beginning and hashes
     are sent to the document before it.
     """
-    base = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text_of(text)).alias("mark"), text_of(text).alias("text"))
-    ring = base.select("id", "mark", F.char_length("text").alias("n")).distinct()
-    placed, total = number_rows(ring, [F.desc_nulls_last("id"), F.asc("mark")], "place")
+    zero = F.lit("0").cast(docs.schema[doc_id].dataType)
+    base = docs.select(
+        F.isnull(doc_id).alias("unnamed"),
+        F.coalesce(F.col(doc_id), zero).alias("id"),
+        F.xxhash64(text_of(text)).alias("mark"),
+        text_of(text).alias("text"),
+    )
+    key = ["unnamed", "id", "mark"]
+    ring = base.select(*key, F.char_length("text").alias("n")).distinct()
+    placed, total = number_rows(ring, [F.asc("unnamed"), F.desc("id"), F.asc("mark")], "place")
     before = placed.select(
-        F.col("id").alias("to_id"), F.col("mark").alias("to_mark"), F.floor(F.col("n") / 2).cast("int").alias("need"),
+        *[F.col(c).alias(f"to_{c}") for c in key], F.floor(F.col("n") / 2).cast("int").alias("need"),
         (F.col("place") % F.lit(max(total, 1)) + 1).alias("next_place"),
     )
-    sends = placed.join(before, F.col("place") == F.col("next_place")).select(
-        F.col("id").alias("from_id"), F.col("mark").alias("from_mark"), "to_id", "to_mark", "need"
-    )
-    sends = materialize(sends, "ring")
-    source = base.join(sends, F.col("id").eqNullSafe(F.col("from_id")) & (F.col("mark") == F.col("from_mark")))
-    source = with_fingerprint(source.select("to_id", "to_mark", "need", "text"), "text", "marks")
-    source = source.select("to_id", "to_mark", F.struct(F.expr("left(text, need)").alias("head"), hashes("marks").alias("hashes")).alias("next"))
-    source = source.groupBy("to_id", "to_mark").agg(F.min("next").alias("next"))
-
-    own = base.join(source, F.col("id").eqNullSafe(F.col("to_id")) & (F.col("mark") == F.col("to_mark")))
+    sends = placed.join(before, F.col("place") == F.col("next_place"))
+    sends = materialize(sends.select(*key, *[f"to_{c}" for c in key], "need"), "ring")
+    source = base.join(sends, key).select(*[F.col(f"to_{c}").alias(c) for c in key], "need", "text")
+    source = with_fingerprint(source, "text", "marks")
+    source = source.select(*key, F.struct(F.expr("left(text, need)").alias("head"), hashes("marks").alias("hashes")).alias("next"))
+    source = source.groupBy(*key).agg(F.min("next").alias("next"))
+
+    own = base.join(source, key).withColumn("id", F.when(~F.col("unnamed"), F.col("id")))
     kept = F.expr("left(text, char_length(text) - cast(floor(char_length(text) / 2) as int))")
     own = own.select("id", "text", F.concat(kept, F.col("next.head")).alias("edited"), F.col("next.hashes").alias("next_hashes"))
     own = with_fingerprint(own, "text", "fingerprint")
