@@ -18,8 +18,9 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recuento.llm.common import text_of
@@ -37,6 +38,9 @@ components: more than four standard deviations of the estimate below the thresho
 
 BATCH_WORDS = 400_000
 
+CROWD_BLOCK = 512
+"""Members of one bucket that are compared with as many others in one call, where there are very many."""
+
 
 def _name() -> Column:
     """What names a component: the least of these."""
@@ -209,6 +213,14 @@ def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return common / (int(a[1].sum()) + int(b[1].sum()) - common)
 
 
+def _texts(bags: DataFrame, nodes: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``bag, text``: one text of each of the distinct ``bags``."""
+    wanted = nodes.join(bags, "bag").select("bag", F.col("id").alias("__id"), F.col("mark").alias("__mark"))
+    texts = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text_of(text)).alias("mark"), text_of(text).alias("text"))
+    texts = texts.join(wanted, F.col("id").eqNullSafe(F.col("__id")) & (F.col("mark") == F.col("__mark")))
+    return texts.groupBy("bag").agg(F.min("text").alias("text"))
+
+
 def _tested(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, doc_id: str, text: str, k: int, similarity: float) -> DataFrame:
     """``a, b, linked`` for pairs ``a, b`` of bags: signatures first, then the multisets of one text of each bag."""
     sides = [
@@ -229,10 +241,7 @@ def _tested(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, doc_id: str, te
     columns = signed.select("a", "b", "sa", "sb", "na", "nb")
     near = materialize(columns.mapInArrow(estimated, "a binary, b binary, near boolean"), "pairs")
     ends = near.where("near").select(F.explode(F.array("a", "b")).alias("bag")).distinct()
-    wanted = nodes.join(ends, "bag").select("bag", F.col("id").alias("__id"), F.col("mark").alias("__mark"))
-    texts = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text_of(text)).alias("mark"), text_of(text).alias("text"))
-    texts = texts.join(wanted, F.col("id").eqNullSafe(F.col("__id")) & (F.col("mark") == F.col("__mark")))
-    texts = texts.groupBy("bag").agg(F.min("text").alias("text"))
+    texts = _texts(ends, nodes, docs, doc_id, text)
     joined = near.where("near").join(texts.select(F.col("bag").alias("a"), F.col("text").alias("ta")), "a")
     joined = joined.join(texts.select(F.col("bag").alias("b"), F.col("text").alias("tb")), "b")
     joined = joined.select("a", "b", word_hashes(F.col("ta")).alias("wa"), word_hashes(F.col("tb")).alias("wb"))
@@ -251,6 +260,78 @@ def _tested(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, doc_id: str, te
     return links.unionByName(near.where("not near").select("a", "b", F.lit(False).alias("linked")))
 
 
+def _linking(rows: pd.DataFrame, k: int, similarity: float) -> list[tuple[bytes, bytes]]:
+    """Links between components among the rows, as few as join all that any links join.
+
+    A shingle that occurs c times stands for c different elements, so the common
+    part of two bags is the number of common elements; it is counted through the
+    list of rows of each element.
+    """
+    node, part = rows["node"].tolist(), rows["component"].tolist()
+    side = (rows["own"] == rows["i"]).to_numpy()
+    words = [np.asarray(w, dtype=np.int64) for w in rows["words"]]
+    lengths = np.array([len(w) for w in words])
+    doc, runs, count = bags(np.concatenate(words).view(np.uint64), lengths, k)
+    nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    doc, element = np.repeat(doc, count), _mixed(np.repeat(runs, count) ^ _mixed(nth.astype(np.uint64)))
+    _, element = np.unique(element, return_inverse=True)
+    order = np.argsort(element, kind="stable")
+    holders, held = doc[order], np.bincount(element)
+    starts = np.cumsum(held) - held
+    size = np.bincount(doc, minlength=len(node))
+    first = np.searchsorted(doc, np.arange(len(node) + 1))
+    above = {c: c for c in part}
+
+    def name(c: bytes) -> bytes:
+        while above[c] != c:
+            above[c] = above[above[c]]
+            c = above[c]
+        return c
+
+    links, apart = [], rows["i"].iloc[0] != rows["j"].iloc[0]
+    for x in range(len(node)):
+        own = element[first[x] : first[x + 1]]
+        n = held[own]
+        at = np.repeat(starts[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        common = np.bincount(holders[at], minlength=len(node))
+        near = common >= similarity * (size[x] + size - common)
+        near[: x + 1] = False
+        if apart:
+            near &= side != side[x]
+        for y in np.flatnonzero(near):
+            a, b = name(part[x]), name(part[y])
+            if a != b:
+                above[max(a, b)] = min(a, b)
+                links.append((min(node[x], node[y]), max(node[x], node[y])))
+    return links
+
+
+def _crowd_links(members: DataFrame, nodes: DataFrame, docs: DataFrame, doc_id: str, text: str, k: int, similarity: float) -> DataFrame:
+    """``a, b, linked`` that join what can be joined within each bucket of ``bucket, node, component``.
+
+    A bucket is cut into blocks, members of a component next to each other, and
+    each pair of blocks is one call that returns fewer links than it has rows.
+    """
+    place = F.row_number().over(Window.partitionBy("bucket").orderBy("component", "node"))
+    rows = members.withColumn("own", F.floor((place - 1) / CROWD_BLOCK).cast("int"))
+    rows = rows.withColumn("last", F.max("own").over(Window.partitionBy("bucket")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
+    rows = rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+    parts = rows.groupBy(F.col("bucket").alias("b"), F.col("i").alias("bi"), F.col("j").alias("bj")).agg(
+        F.min("component").alias("low"), F.max("component").alias("high")
+    )
+    rows = rows.join(parts.where("low <> high"), (F.col("bucket") == F.col("b")) & (F.col("i") == F.col("bi")) & (F.col("j") == F.col("bj")))
+    texts = _texts(members.select(F.col("node").alias("bag")).distinct(), nodes, docs, doc_id, text)
+    rows = rows.join(texts.select("bag", word_hashes(F.col("text")).alias("words")), F.col("node") == F.col("bag"))
+
+    def linked(rows: pd.DataFrame) -> pd.DataFrame:
+        links = _linking(rows, k, similarity)
+        return pd.DataFrame({"a": [a for a, _ in links], "b": [b for _, b in links], "linked": True})
+
+    rows = rows.select("bucket", "node", "component", "own", "i", "j", "words")
+    return rows.groupBy("bucket", "i", "j").applyInPandas(linked, "a binary, b binary, linked boolean")
+
+
 def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY
 ) -> DataFrame:
@@ -276,7 +357,11 @@ def near_duplicates(
     shared = banded.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
     buckets = banded.join(shared.select("band"), "band").select(F.col("band").alias("bucket"), F.col("bag").alias("node"), F.lit(True).alias("anchor"))
     buckets = materialize(buckets, "buckets")
-    linked = components_within(buckets, lambda pairs: _tested(pairs, nodes, docs, doc_id, text, words, similarity))
+    linked = components_within(
+        buckets,
+        lambda pairs: _tested(pairs, nodes, docs, doc_id, text, words, similarity),
+        lambda members: _crowd_links(members, nodes, docs, doc_id, text, words, similarity),
+    )
     known = nodes.select("bag", "one", "copies")
     if linked is None:
         known = known.withColumn("component", F.col("bag"))

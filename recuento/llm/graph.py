@@ -34,12 +34,22 @@ def components(links: DataFrame) -> DataFrame:
             return labels.select("id", F.col("label").alias("component"))
 
 
-def components_within(buckets: DataFrame, test: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
+_CROWD = 8
+
+
+def components_within(
+    buckets: DataFrame,
+    test: Callable[[DataFrame], DataFrame],
+    test_crowd: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame | None:
     """Components of the links between nodes that share a bucket; None where there is no link.
 
     ``buckets`` is a stored table of distinct ``bucket, node, anchor``; a pair may
     be linked if it shares a bucket in which one of the two is an anchor.
-    ``test`` turns distinct pairs ``a < b`` into ``a, b, linked``.
+    ``test`` turns distinct pairs ``a < b`` into ``a, b, linked``. ``test_crowd``
+    gets the members ``bucket, node, component`` of buckets with very many pairs
+    left and returns links ``a, b, linked`` that join all it can join, without
+    making the pairs; without it they are compared pair by pair like the others.
 
     Members of a bucket are first compared with one anchor, round after round
     with another, which costs as much as the buckets are large; pairs that are
@@ -66,10 +76,14 @@ def components_within(buckets: DataFrame, test: Callable[[DataFrame], DataFrame]
         left = sizes.agg(F.sum("pairs").alias("pairs"), F.sum("n").alias("n")).first()
         if not left["n"]:
             return found
-        members = members.join(sizes.select("open"), F.col("bucket") == F.col("open")).drop("open")
+        crowd = F.col("pairs") > _CROWD * F.col("n")
+        members = members.join(sizes.select("open", crowd.alias("crowd")), F.col("bucket") == F.col("open")).drop("open")
         last = left["pairs"] <= 4 * left["n"] or left["pairs"] > before / 2
         before = left["pairs"]
         if last:
+            if test_crowd:
+                crowded = materialize(test_crowd(members.where("crowd").select("bucket", "node", "component")), "crowded")
+                members = members.where("not crowd")
             other = members.select(*[F.col(c).alias(f"{c}2") for c in ("bucket", "node", "anchor", "component")])
             apart = (F.col("bucket") == F.col("bucket2")) & (F.col("node") < F.col("node2")) & (F.col("component") != F.col("component2"))
             pairs = members.join(other, apart & (F.col("anchor") | F.col("anchor2"))).select(F.col("node").alias("a"), F.col("node2").alias("b"))
@@ -82,6 +96,8 @@ def components_within(buckets: DataFrame, test: Callable[[DataFrame], DataFrame]
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         new = materialize(test(pairs), "tested")
+        if last and test_crowd:
+            new = new.unionByName(crowded)
         tested = new if tested is None else tested.unionByName(new)
         turn += 1
         if new.where("linked").limit(1).count():

@@ -61,6 +61,23 @@ def test_null_ids_and_repeated_rows(spark):
     assert near_duplicates(df.limit(0)).count() == 0
 
 
+def test_a_crowd_of_copies_that_are_not_all_alike(spark, monkeypatch):
+    """Many edits of one text: buckets with many pairs and few links, compared in several small blocks."""
+    monkeypatch.setattr(bagminhash, "CROWD_BLOCK", 16)
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(80)]
+
+    def edited():
+        words = list(base)
+        for _ in range(rng.randint(0, 9)):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+        return " ".join(words * rng.choice([1, 1, 1, 2]))
+
+    rows = [(i, edited()) for i in range(160)]
+    found = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == plain.near_groups(rows) and 1 < len(set(found.values())) < 160
+
+
 def test_a_bucket_whose_members_are_no_copies_of_each_other(spark):
     """One bucket of 60 nodes, linked only in a chain: the rounds with one anchor leave much, and the rest is compared."""
     asked = []
