@@ -87,14 +87,14 @@ def test_materialized_rows(spark, rows):
 
 
 def test_csv_keeps_line_breaks_and_quotes(spark, tmp_path, rows):
-    schema = T.StructType().add("id", "int").add("text", "string").add("n", "int")
+    schema = T.StructType().add("id", T.IntegerType()).add("text", T.StringType()).add("n", T.IntegerType())
     df = spark.createDataFrame([(1, 'a\r\nb, "c"', 5), (2, " x ", None), (3, '"', 7)], schema)
     files.write_published_csv(df, str(tmp_path / "c"), rows_per_file=1)
     assert rows(files.read_csv(spark, str(tmp_path / "c"), schema, trim=False)) == rows(df)
 
 
 def test_cells_that_do_not_fit(spark, tmp_path):
-    schema = T.StructType().add("id", "int").add("n", "int")
+    schema = T.StructType().add("id", T.IntegerType()).add("n", T.IntegerType())
     (tmp_path / "f.csv").write_text("id,n\n1,7.0\n2,abc\n3,abc\n4,\n5,7.5\n")
     path = str(tmp_path / "f.csv")
     with pytest.raises(Exception, match="cell of n is not int"):
@@ -106,7 +106,7 @@ def test_cells_that_do_not_fit(spark, tmp_path):
 
 
 def test_rows_of_another_width(spark, tmp_path):
-    schema = T.StructType().add("id", "int").add("n", "int")
+    schema = T.StructType().add("id", T.IntegerType()).add("n", T.IntegerType())
     (tmp_path / "f.csv").write_text("id,n\n1,2\n3\n")
     with pytest.raises(Exception, match="does not match the header"):
         files.read_csv(spark, str(tmp_path / "f.csv"), schema).count()
