@@ -95,17 +95,16 @@ def piece_list(file: ByteLevel) -> list[bytes]:
 def _coded(
     docs: DataFrame, path: str, doc_id: str, text: str, columns: Callable[[Iterable[tuple[np.ndarray, str]]], dict], out: str
 ) -> DataFrame:
-    kind = docs.schema[doc_id].dataType.simpleString()
     spec = docs.sparkSession.sparkContext.broadcast(load(path))
 
-    def coded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf(f"struct<{out}>")
+    def coded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         table, pieces = WordTable(spec.value), piece_list(spec.value)
-        for frame in frames:
-            encoded = table.encode(frame.pop("__text").tolist())
-            yield frame.assign(**columns((ids, joined_pieces(ids, pieces)) for ids in encoded))
+        for batch in batches:
+            encoded = table.encode(batch.tolist())
+            yield pd.DataFrame(columns((ids, joined_pieces(ids, pieces)) for ids in encoded))
 
-    rows = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("__text"))
-    return rows.mapInPandas(coded, f"doc_id {kind}, {out}")
+    return docs.select(F.col(doc_id).alias("doc_id"), coded(text_of(text)).alias("c")).select("doc_id", "c.*")
 
 
 def encode_decode(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -122,7 +121,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id",
         pairs = [(ids.astype("int32"), decoded) for ids, decoded in results]
         return {"ids": [p[0] for p in pairs], "decoded": [p[1] for p in pairs]}
 
-    return _coded(docs, tokenizer_path, doc_id, text, whole, "ids array<int>, decoded string")
+    return _coded(docs, tokenizer_path, doc_id, text, whole, "ids:array<int>,decoded:string")
 
 
 def encode_decode_digests(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -136,7 +135,7 @@ def encode_decode_digests(docs: DataFrame, tokenizer_path: str, doc_id: str = "d
         names = ("n_tokens", "ids_sha256", "decoded_sha256")
         return {name: [row[i] for row in rows] for i, name in enumerate(names)}
 
-    return _coded(docs, tokenizer_path, doc_id, text, digests, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _coded(docs, tokenizer_path, doc_id, text, digests, "n_tokens:bigint,ids_sha256:string,decoded_sha256:string")
 
 
 def piece_table(df: DataFrame, file: ByteLevel) -> DataFrame:

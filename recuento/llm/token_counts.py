@@ -108,18 +108,18 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", t
     one row out for each row in. Other columns are not carried, whatever their
     names. An empty table gives an empty table.
     """
-    kind = docs.schema[doc_id].dataType.simpleString()
     spec = docs.sparkSession.sparkContext.broadcast(load(tokenizer_path))
 
-    def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("long")
+    def counted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         file = spec.value
         words, split = WordCounts(file.source, file.ranks, file.added), chunker(file.added)
-        for frame in frames:
-            count = words.__getitem__
-            frame["n_tokens"] = [sum(map(count, split(t))) for t in frame.pop("__text")]
-            yield frame
-
-    rows = docs.select(
-        F.col(doc_id).alias("doc_id"), F.octet_length(text_of(text)).cast("long").alias("n_bytes"), text_of(text).alias("__text")
+        count = words.__getitem__
+        for batch in batches:
+            yield pd.Series([sum(map(count, split(t))) for t in batch], dtype="int64")
+
+    return docs.select(
+        F.col(doc_id).alias("doc_id"),
+        F.octet_length(text_of(text)).cast("long").alias("n_bytes"),
+        counted(text_of(text)).alias("n_tokens"),
     )
-    return rows.mapInPandas(counted, f"doc_id {kind}, n_bytes long, n_tokens long")
