@@ -10,6 +10,7 @@ every block of documents there and back, over four times the input.
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -20,10 +21,10 @@ from pyspark.sql import functions as F
 from recuento.llm.byte_level import ByteLevel, chunker, is_space, load
 from recuento.llm.common import text_of
 
-TABLE_WORDS = 1_000_000
+TABLE_WORDS = 400_000
 """A task's table holds about so many words; a full one is started anew. Results don't depend on it."""
 
-SLICE_TEXTS = 500
+SLICE_TEXTS = 200
 """So many texts are split before their new words are encoded together."""
 
 LONG_WORD = 200
@@ -43,6 +44,7 @@ class WordTable:
     """
 
     def __init__(self, file: ByteLevel) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task is one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(file.source)
@@ -101,8 +103,9 @@ def _coded(
     def coded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         table, pieces = WordTable(spec.value), piece_list(spec.value)
         for batch in batches:
-            encoded = table.encode(batch.tolist())
-            yield pd.DataFrame(columns((ids, joined_pieces(ids, pieces)) for ids in encoded))
+            for start in range(0, len(batch), SLICE_TEXTS):
+                encoded = table.encode(batch.iloc[start : start + SLICE_TEXTS].tolist())
+                yield pd.DataFrame(columns((ids, joined_pieces(ids, pieces)) for ids in encoded))
 
     return docs.select(F.col(doc_id).alias("doc_id"), coded(text_of(text)).alias("c")).select("doc_id", "c.*")
 

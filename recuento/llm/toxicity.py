@@ -160,20 +160,24 @@ def _toxic_features(documents: list[list[str]], toxic: list[int]) -> set[str]:
     A feature counts once per document and, among toxic ones, at most once per
     pair of neighbouring words, so that copies of a document add nothing.
     """
-    held, places, seen = (Counter(), Counter()), Counter(), set()
+    held, others, places, seen = Counter(), Counter(), Counter(), set()
     for words, label in zip(documents, toxic):
-        held[label].update({f for w in set(words) for f in features(w)})
         if label:
+            held.update({f for w in set(words) for f in features(w)})
             for around in zip(["", *words], words, [*words[1:], ""]):
                 if (key := hash(around)) not in seen:
                     seen.add(key)
                     places.update(features(around[1]))
+    del seen
+    for words, label in zip(documents, toxic):
+        if not label:
+            others.update({f for w in set(words) for f in features(w) if f in held})
     n1 = sum(toxic)
     n0 = len(toxic) - n1
     base = n1 / (n0 + n1)
     marked = set()
-    for feature, a in held[1].items():
-        a, b = min(a, places[feature]), held[0][feature]
+    for feature, a in held.items():
+        a, b = min(a, places[feature]), others[feature]
         rate = a / (a + b)
         if rate <= 0.9 + 0.1 * base:
             continue
@@ -191,12 +195,12 @@ def _fit_field(ids: np.ndarray, y: np.ndarray, valid: np.ndarray, size: int, rou
     first, second = np.zeros(size + 5), np.zeros(size + 5)
     flat_ids = ids.reshape(len(ids), -1)
     for step in range(1, rounds + 1):
-        score = weights[ids].sum(0)
+        score = sum(weights[place] for place in ids)
         odds = np.where(valid, np.exp(np.clip(score, -30, 30)), 0.0)
         forward, backward, posterior = marginal_odds(odds, valid, start, moves)
         p = posterior / (1.0 + posterior)
         miss = np.where(valid, y - p, 0.0).reshape(-1)
-        slope = np.bincount(flat_ids.reshape(-1), np.tile(miss, len(ids)), size)
+        slope = sum(np.bincount(place, miss, size) for place in flat_ids)
         slope[0] = 0.0
         t = np.exp(moves)
         ahead = odds[1:] * backward[1:]
@@ -235,7 +239,8 @@ def fit_field(texts: list[str], toxic: list[int], prior: float) -> Field:
     prior = min(max(prior, 1e-4), 1 - 1e-4)
     if len(set(toxic)) < 2:
         return Field({}, -10.0, flat, (math.log(prior / (1 - prior)), 0.0, 0.0))
-    documents = [_WORDS.findall(t) for t in texts]
+    one_of_each: dict[str, str] = {}
+    documents = [[one_of_each.setdefault(w, w) for w in _WORDS.findall(t)] for t in texts]
     marked = _toxic_features(documents, toxic)
     with_toxic, without = [], []
     for words, label in zip(documents, toxic):
@@ -245,6 +250,7 @@ def fit_field(texts: list[str], toxic: list[int], prior: float) -> Field:
             group = with_toxic if any(labels) else without
             if len(group) < FIT_SEQUENCES:
                 group.append((part, labels))
+    del documents, one_of_each
     sequences = with_toxic + without
     number: dict[str, int] = {}
     places = 1 + len((3, 4, 5, 6))
