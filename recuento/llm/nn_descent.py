@@ -3,10 +3,13 @@
 Every vector keeps a list of its nearest known neighbours. The lists start from
 random-projection leaves and are refined by local joins: the neighbours of a
 vector, and the vectors it is a neighbour of, are compared with each other, since
-a neighbour's neighbour is likely a neighbour. Links at or above the threshold
-make components; lists that are full of links are enlarged to the whole component,
-compared in blocks. A sample compared with all vectors audits the recall, and
-more leaves and joins follow while it is too low.
+a neighbour's neighbour is likely a neighbour. Every pair found at or above the
+threshold is a link, whether or not it has a place in a list. Links make
+components. A list that is full of links may hide further ones: such vectors are
+searched again with lists of vectors outside their component, until no list is
+full of links or they all are in one component. Within a component all pairs are
+compared in blocks. A sample compared with all vectors audits the recall; more
+leaves and joins follow while it is too low, and an error if it stays so.
 """
 
 from __future__ import annotations
@@ -38,6 +41,8 @@ ATTEMPTS = 3
 BLOCK = 512
 
 _EDGES = "a long, b long, sim double"
+_FOUND = f"{_EDGES}, link boolean"
+"""Candidates for the lists and, marked ``link``, pairs that are linked directly or through others compared in the same call."""
 
 
 def _lengths(column: pa.ListArray) -> np.ndarray:
@@ -74,12 +79,23 @@ def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _edges(a: np.ndarray, b: np.ndarray, sim: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(sim)], names=["a", "b", "sim"])
+def _edges(a: np.ndarray, b: np.ndarray, sim: np.ndarray, link: bool = False) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(sim), pa.array(np.full(len(a), link))], names=["a", "b", "sim", "link"])
 
 
-def _leaves(vectors: DataFrame, trees: range, nodes: int, size: int, k: int) -> DataFrame:
-    """``a, b, sim``: for each vector its ``k`` best within its leaf of each tree.
+def _joined(linked: np.ndarray) -> np.ndarray:
+    """For square tables of links the least row that each row reaches."""
+    size = linked.shape[-1]
+    least = np.broadcast_to(np.arange(size), linked.shape[:-1])
+    while True:
+        lower = np.minimum(least, np.where(linked, least[..., None, :], size).min(-1))
+        if (lower == least).all():
+            return least
+        least = lower
+
+
+def _leaves(vectors: DataFrame, trees: range, nodes: int, size: int, k: int, threshold: float) -> DataFrame:
+    """For each of ``node, vector, component`` its ``k`` best of other components within its leaf of each tree, and the leaf's links.
 
     A leaf is the signs of random projections; more vectors than fit a leaf are
     dealt out by a hash, so copies and clusters do not make one large leaf.
@@ -102,23 +118,28 @@ def _leaves(vectors: DataFrame, trees: range, nodes: int, size: int, k: int) ->
     sizes = codes.groupBy(F.col("leaf").alias("l")).agg(F.count("*").alias("members"))
     part = F.pmod(F.xxhash64("node", "leaf"), F.ceil(F.col("members") / size))
     dealt = codes.join(sizes, F.col("leaf") == F.col("l")).select("node", F.xxhash64("leaf", part).alias("part"))
-    dealt = dealt.join(vectors.select(F.col("node").alias("n"), "vector"), F.col("node") == F.col("n"))
-    dealt = dealt.select("part", "node", "vector").repartition("part").sortWithinPartitions("part")
+    dealt = dealt.join(vectors.select(F.col("node").alias("n"), "vector", "component"), F.col("node") == F.col("n"))
+    dealt = dealt.select("part", "node", "component", "vector").repartition("part").sortWithinPartitions("part")
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups(batches, "part"):
-            part, node = table.column("part").to_numpy(), table.column("node").to_numpy()
+            part, node, component = (table.column(c).to_numpy() for c in ("part", "node", "component"))
             unit = _matrix(table.column("vector").combine_chunks())
             at = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
             for i, j in zip(at, np.append(at[1:], len(part))):
                 if j - i < 2:
                     continue
                 sims = unit[i:j] @ unit[i:j].T
-                np.fill_diagonal(sims, -2.0)
+                sims[component[i:j, None] == component[i:j]] = -2.0
                 top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-                yield _edges(np.repeat(node[i:j], top.shape[1]), node[i:j][top].reshape(-1), np.take_along_axis(sims, top, 1).reshape(-1))
+                best_sims = np.take_along_axis(sims, top, 1).reshape(-1)
+                apart = best_sims > -1.5
+                yield _edges(np.repeat(node[i:j], top.shape[1])[apart], node[i:j][top].reshape(-1)[apart], best_sims[apart])
+                least = _joined(sims >= threshold)
+                moved = np.flatnonzero(least != np.arange(j - i))
+                yield _edges(node[i:j][least[moved]], node[i:j][moved], np.ones(len(moved)), True)
 
-    return dealt.mapInArrow(best, _EDGES)
+    return dealt.mapInArrow(best, _FOUND)
 
 
 def _nearest(lists: DataFrame, found: DataFrame, k: int) -> DataFrame:
@@ -129,26 +150,29 @@ def _nearest(lists: DataFrame, found: DataFrame, k: int) -> DataFrame:
     return every.withColumn("place", place).where(F.col("place") <= k).drop("place")
 
 
-def _local_join(lists: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """``a, b, sim`` of pairs that meet at a common neighbour and improve the list of ``a``.
+def _local_join(lists: DataFrame, inner: DataFrame | None, vectors: DataFrame, k: int, threshold: float) -> DataFrame:
+    """Pairs of different components that meet at a common neighbour and improve the list of ``a``, and all links met.
 
-    At each vector its neighbours and at most ``k`` of those whose neighbour it
-    is, new ones first, are compared, if one of the two is new to the list.
+    At each vector its neighbours, those of ``inner`` (found before components
+    were set apart) and at most ``k`` of those whose neighbour it is, new ones
+    first, are compared, if one of the two is new to the list.
     """
     back = lists.select(F.col("b").alias("u"), F.col("a").alias("m"), "sim", "new")
     place = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("new"), F.desc("sim"), "m"))
     back = back.withColumn("place", place).where(F.col("place") <= k).select("u", "m", "new")
     around = lists.select(F.col("a").alias("u"), F.col("b").alias("m"), "new").unionByName(back)
+    if inner is not None:
+        around = around.unionByName(inner.select(F.col("a").alias("u"), F.col("b").alias("m"), F.lit(False).alias("new")))
     around = around.groupBy("u", "m").agg(F.max("new").alias("new"))
     live = around.withColumn("live", F.max("new").over(Window.partitionBy("u"))).where("live").drop("live")
     worst = lists.groupBy("a").agg(F.when(F.count("*") >= k, F.min("sim")).otherwise(-2.0).alias("worst"))
-    known = vectors.select("node", "vector").join(worst, F.col("node") == F.col("a")).select("node", "vector", "worst")
-    rows = live.join(known, F.col("m") == F.col("node")).select("u", "m", "new", "worst", "vector")
+    known = vectors.join(worst, F.col("node") == F.col("a"), "left").select("node", "vector", "component", F.coalesce("worst", F.lit(-2.0)).alias("worst"))
+    rows = live.join(known, F.col("m") == F.col("node")).select("u", "m", "new", "worst", "component", "vector")
     rows = rows.repartition("u").sortWithinPartitions("u")
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups(batches, "u"):
-            u, m, new, worst = (table.column(c).to_numpy() for c in ("u", "m", "new", "worst"))
+            u, m, new, worst, component = (table.column(c).to_numpy() for c in ("u", "m", "new", "worst", "component"))
             unit = _matrix(table.column("vector").combine_chunks())
             at = np.flatnonzero(np.append(True, u[1:] != u[:-1]))
             sizes = np.diff(np.append(at, len(u)))
@@ -160,11 +184,38 @@ def _local_join(lists: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
                 sims = unit[index] @ unit[index].transpose(0, 2, 1)
                 fresh = new[index] & held
                 pair = held[:, :, None] & held[:, None, :] & (fresh[:, :, None] | fresh[:, None, :])
-                pair &= (m[index][:, :, None] != m[index][:, None, :]) & (sims > worst[index][:, :, None])
-                g, i, j = np.nonzero(pair)
+                pair &= component[index][:, :, None] != component[index][:, None, :]
+                g, i, j = np.nonzero(pair & (sims > worst[index][:, :, None]))
                 yield _edges(m[index[g, i]], m[index[g, j]], sims[g, i, j])
+                least = _joined(pair & (sims >= threshold))
+                g, i = np.nonzero(least != places)
+                yield _edges(m[index[g, least[g, i]]], m[index[g, i]], np.ones(len(g)), True)
+
+    return rows.mapInArrow(joined, _FOUND)
+
+
+def _search(vectors: DataFrame, inner: DataFrame | None, trees: range, nodes: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Lists of the nearest vectors outside the own component, and the links ``a, b`` found on the way."""
+    k, empty = NEIGHBOURS, vectors.sparkSession.createDataFrame([], _EDGES)
+    found = materialize(_leaves(vectors, trees, nodes, LEAF, k, threshold), "found")
+    links = found.where("link")
+    lists = materialize(_nearest(empty, found.where("not link"), k), "lists")
+    for _ in range(ROUNDS):
+        found = materialize(_local_join(lists, inner, vectors, k, threshold), "found")
+        links = links.unionByName(found.where("link"))
+        lists = materialize(_nearest(lists, found.where("not link"), k), "lists")
+        state = lists.agg(F.sum(F.col("new").cast("int")).alias("new"), F.count("*").alias("all")).first()
+        if (state["new"] or 0) <= SETTLED * state["all"]:
+            break
+    return lists, links.select("a", "b")
 
-    return rows.mapInArrow(joined, _EDGES)
+
+def _hidden(vectors: DataFrame, lists: DataFrame, linked: DataFrame, threshold: float) -> DataFrame:
+    """``node, vector, component`` of the vectors whose whole list is links, so that it may hide others."""
+    full = lists.groupBy("a").agg(F.count("*").alias("n"), F.min("sim").alias("worst"))
+    full = full.where((F.col("n") >= NEIGHBOURS) & (F.col("worst") >= threshold)).select("a")
+    rows = vectors.join(full, F.col("node") == F.col("a")).join(linked, F.col("node") == F.col("id"))
+    return materialize(rows.select("node", "vector", "component"), "hidden")
 
 
 def _audit(vectors: DataFrame, threshold: float, most: int) -> DataFrame:
@@ -239,25 +290,28 @@ def near_duplicate_vectors(
     )
     vectors = materialize(vectors, "nodes")
     nodes = vectors.count()
-    empty = vectors.sparkSession.createDataFrame([], _EDGES)
-    audited = materialize(_audit(vectors, threshold, AUDIT), "audit") if nodes else empty.select("a", "b")
-    lists, linked = empty, None
-    for attempt in range(ATTEMPTS):
-        trees = range(attempt * TREES, (attempt + 1) * TREES)
-        lists = materialize(_nearest(lists, _leaves(vectors, trees, nodes, LEAF, NEIGHBOURS), NEIGHBOURS), "lists")
-        for _ in range(ROUNDS):
-            found = _local_join(lists, vectors, NEIGHBOURS)
-            lists = materialize(_nearest(lists, found, NEIGHBOURS), "lists")
-            state = lists.agg(F.sum(F.col("new").cast("int")).alias("new"), F.count("*").alias("all")).first()
-            if (state["new"] or 0) <= SETTLED * state["all"]:
-                break
-        links = lists.where(F.col("sim") >= threshold).select("a", "b")
+    audited = materialize(_audit(vectors, threshold, AUDIT), "audit") if nodes else vectors.sparkSession.createDataFrame([], "a long, b long")
+    active, searched = vectors.select("node", "vector", F.col("node").alias("component")), nodes
+    links, inner, attempt, turn = None, None, 1, 0
+    while True:
+        lists, found = _search(active, inner, range(turn * TREES, (turn + 1) * TREES), searched, threshold)
+        links, inner, turn = found if links is None else links.unionByName(found), lists if inner is None else inner, turn + 1
         linked = materialize(components(links), "linked")
+        active = _hidden(vectors, lists, linked, threshold)
+        hidden = active.agg(F.count("*").alias("n"), F.count_distinct("component").alias("parts")).first()
+        searched = hidden["n"]
+        if hidden["parts"] > 1:
+            continue
         a, b = (linked.select(F.col("id").alias(f"{s}2"), F.col("component").alias(f"c{s}")) for s in ("a", "b"))
         held = audited.join(a, F.col("a") == F.col("a2"), "left").join(b, F.col("b") == F.col("b2"), "left")
         recall = held.agg(F.avg(F.coalesce((F.col("ca") == F.col("cb")).cast("int"), F.lit(0))).alias("r")).first()["r"]
         if recall is None or recall >= LEAST_RECALL:
             break
+        if attempt == ATTEMPTS:
+            raise RuntimeError(f"recall of {recall:.4f} on {AUDIT} vectors is under {LEAST_RECALL} after {ATTEMPTS} attempts")
+        parts = vectors.join(linked, F.col("node") == F.col("id"), "left")
+        active, searched = materialize(parts.select("node", "vector", F.coalesce("component", "node").alias("component")), "parts"), nodes
+        attempt += 1
     linked = components(links.unionByName(audited))
 
     members = vectors.join(linked, F.col("node") == F.col("id")).select("node", "component", "copies", "least", "vector")

@@ -1,5 +1,8 @@
 import numpy as np
 
+import pytest
+
+from recuento.llm import nn_descent
 from recuento.llm.nn_descent import near_duplicate_vectors
 
 KIND = "vec_id long, embedding array<float>, label int, node string"
@@ -41,3 +44,21 @@ def test_vectors_that_link_with_nothing(spark):
 
 def test_empty_table(spark):
     assert near_duplicate_vectors(spark.createDataFrame([], KIND)).count() == 0
+
+
+def two_dense_groups(size):
+    """Cosines of 0.999 within a group and of 0.961 to 0.968 across."""
+    rng = np.random.default_rng(1)
+    centre = np.zeros((2, 64))
+    centre[:, 0], centre[1, 1] = 1, 0.27
+    rows = np.repeat(centre / np.linalg.norm(centre, axis=1, keepdims=True), size, 0)
+    return (rows + 0.0035 * rng.standard_normal(rows.shape)).astype(np.float32)
+
+
+def test_lists_full_of_links_hide_none(spark, monkeypatch):
+    monkeypatch.setattr(nn_descent, "AUDIT", 0)
+    rows = two_dense_groups(200)
+    ids = list(range(len(rows)))
+    df = spark.createDataFrame([(i, r.tolist(), 0, "x") for i, r in zip(ids, rows)], KIND)
+    found = {r.vec_id: (r.n_links, r.component_id) for r in near_duplicate_vectors(df).collect()}
+    assert found == brute(ids, rows) and set(found.values()) == {(399, 0)}
