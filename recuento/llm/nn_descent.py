@@ -14,6 +14,7 @@ leaves and joins follow while it is too low, and an error if it stays so.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,12 +35,14 @@ SETTLED = 0.005
 """Joins end when fewer than this share of the list entries are new."""
 
 AUDIT = 1000
-"""So many vectors, those of the least hash, are compared with all to measure recall."""
+"""So many vectors, those of the least hash, are compared with all to measure recall; their links are not used otherwise."""
 
 LEAST_RECALL = 0.98
 ATTEMPTS = 3
 BLOCK = 512
 
+_log = logging.getLogger(__name__)
+
 _EDGES = "a long, b long, sim double"
 _FOUND = f"{_EDGES}, link boolean"
 """Candidates for the lists and, marked ``link``, pairs that are linked directly or through others compared in the same call."""
@@ -305,6 +308,8 @@ def near_duplicate_vectors(
         a, b = (linked.select(F.col("id").alias(f"{s}2"), F.col("component").alias(f"c{s}")) for s in ("a", "b"))
         held = audited.join(a, F.col("a") == F.col("a2"), "left").join(b, F.col("b") == F.col("b2"), "left")
         recall = held.agg(F.avg(F.coalesce((F.col("ca") == F.col("cb")).cast("int"), F.lit(0))).alias("r")).first()["r"]
+        if recall is not None:
+            _log.info("recall of %.4f on %d vectors after %d attempts", recall, AUDIT, attempt)
         if recall is None or recall >= LEAST_RECALL:
             break
         if attempt == ATTEMPTS:
@@ -312,7 +317,6 @@ def near_duplicate_vectors(
         parts = vectors.join(linked, F.col("node") == F.col("id"), "left")
         active, searched = materialize(parts.select("node", "vector", F.coalesce("component", "node").alias("component")), "parts"), nodes
         attempt += 1
-    linked = components(links.unionByName(audited))
 
     members = vectors.join(linked, F.col("node") == F.col("id")).select("node", "component", "copies", "least", "vector")
     counts = _links_within(members.drop("least"), threshold)

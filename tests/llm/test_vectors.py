@@ -62,3 +62,18 @@ def test_lists_full_of_links_hide_none(spark, monkeypatch):
     df = spark.createDataFrame([(i, r.tolist(), 0, "x") for i, r in zip(ids, rows)], KIND)
     found = {r.vec_id: (r.n_links, r.component_id) for r in near_duplicate_vectors(df).collect()}
     assert found == brute(ids, rows) and set(found.values()) == {(399, 0)}
+
+
+def test_the_audit_adds_no_links(spark, monkeypatch):
+    leaves = nn_descent._leaves
+    monkeypatch.setattr(nn_descent, "_leaves", lambda *args: leaves(*args).limit(0))
+    df = spark.createDataFrame([(i, [1.0, 0.001 * i], 0, "x") for i in range(5)], KIND)
+    with pytest.raises(RuntimeError, match="recall of 0.0000"):
+        near_duplicate_vectors(df)
+
+
+def test_two_dense_groups_with_a_small_audit(spark, monkeypatch):
+    monkeypatch.setattr(nn_descent, "AUDIT", 5)
+    rows = two_dense_groups(300)
+    df = spark.createDataFrame([(i, r.tolist(), 0, "x") for i, r in enumerate(rows)], KIND)
+    assert {(r.n_links, r.component_id) for r in near_duplicate_vectors(df).collect()} == {(599, 0)}
