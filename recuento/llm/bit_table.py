@@ -8,24 +8,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORDS = 1 << 16
-"""64-bit words of the table: half a megabyte, sent to every task."""
+"""64-bit words of the table, a power of two: half a megabyte, sent to every task."""
 
 
-def maybe_in(ids: DataFrame, name: str) -> Callable[[Column], Column]:
+def maybe_in(ids: DataFrame, name: str, size: int = WORDS) -> Callable[[Column], Column]:
     """A test that holds for every number in column ``name`` and, while the set is small, seldom for others.
 
     It only thins out rows before a join that decides; a set too large for the
     table thins out less.
     """
-    slot = F.col(name).bitwiseAND(F.lit(WORDS * 64 - 1))
+    slot = F.col(name).bitwiseAND(F.lit(size * 64 - 1))
     words = ids.select(F.shiftrightunsigned(slot, 6).alias("word"), (slot % 64).cast("int").alias("bit"))
     words = words.groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits"))
-    dense = ids.sparkSession.range(WORDS).join(words, F.col("id") == F.col("word"), "left")
+    dense = ids.sparkSession.range(size).join(words, F.col("id") == F.col("word"), "left")
     dense = dense.select(F.struct("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")).alias("w"))
     table = dense.agg(F.transform(F.array_sort(F.collect_list("w")), lambda w: w["bits"]).alias("words")).scalar()
 
     def test(x: Column) -> Column:
-        at = x.bitwiseAND(F.lit(WORDS * 64 - 1))
+        at = x.bitwiseAND(F.lit(size * 64 - 1))
         return F.getbit(F.get(table, F.shiftrightunsigned(at, 6).cast("int")), (at % 64).cast("int")) == 1
 
     return test

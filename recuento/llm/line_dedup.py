@@ -3,7 +3,9 @@
 A line within ``edits`` edits of another holds at least one of the other's
 ``edits + 1`` segments unchanged, a little shifted at most. Each line is filed
 under its own segments and looked up under the substrings that can match the
-segments of a line as long or up to ``edits`` shorter. Lines that meet under a
+segments of a line as long or up to ``edits`` shorter; lookups under keys where
+nothing is filed are dropped before they are moved. Longer lines may differ by
+more edits (``LONGER``); the shorter of two lines decides. Lines that meet under a
 key are compared by banded bit-parallel edit distance. Lines linked directly or
 through others make a class; its first line stays.
 
@@ -24,6 +26,12 @@ from recuento.llm.graph import components_within
 from recuento.session import materialize
 
 EDITS = 1
+LONGER = ((50, 2), (100, 4))
+"""Lines of so many characters and more may differ by so many edits."""
+
+FILED_WORDS = 1 << 19
+"""64-bit words of the table that tells lookups from keys under which nothing is filed."""
+
 LEAST_CHARS = 20
 """Shorter lines are compared for equality only: a few edits can turn any of them into any other."""
 
@@ -44,18 +52,40 @@ def _segments(length: Column, parts: int) -> Iterator[tuple[int, Column, Column]
         yield i, start, base + (F.lit(i) >= shorter).cast("int")
 
 
+def _keys(line: Column, shorter: int, edits: int) -> list[tuple[Column, bool]]:
+    """Keys under which a line meets one ``shorter`` by so many characters, and whether it is the line's own segment."""
+    other, keys = F.char_length(line) - shorter, []
+    for i, start, size in _segments(other, edits + 1):
+        low = max(-i, shorter - (edits - i))
+        high = min(i, shorter + (edits - i))
+        for shift in range(low, high + 1):
+            keys.append((F.xxhash64(other, F.lit(i), F.substring(line, start + shift, size)), shorter == 0 and shift == 0))
+    return keys
+
+
 def segment_keys(line: Column, edits: int) -> Column:
     """``array<struct<key, anchor>>``: where a line is filed (anchor) and where else it is looked up."""
-    length, keys = F.char_length(line), []
-    for shorter in range(edits + 1):
-        other = length - shorter
-        for i, start, size in _segments(other, edits + 1):
-            low = max(-i, shorter - (edits - i))
-            high = min(i, shorter + (edits - i))
-            for shift in range(low, high + 1):
-                key = F.xxhash64(other, F.lit(i), F.substring(line, start + shift, size))
-                keys.append(F.struct(key.alias("key"), F.lit(shorter == 0 and shift == 0).alias("anchor")))
-    return F.array(*keys)
+    keys = [key for shorter in range(edits + 1) for key in _keys(line, shorter, edits)]
+    return F.array(*[F.struct(key.alias("key"), F.lit(anchor).alias("anchor")) for key, anchor in keys])
+
+
+def _allowed(length: Column, steps: list[tuple[int, int]]) -> Column:
+    """The edits that a line of ``length`` may differ by; ``steps`` are the lengths from which on, and the edits."""
+    edits = F.lit(steps[0][1])
+    for least, more in steps[1:]:
+        edits = F.when(length >= least, F.lit(more)).otherwise(edits)
+    return edits
+
+
+def _keys_by_length(line: Column, steps: list[tuple[int, int]], anchors: bool) -> Column:
+    """The keys under which a line is filed (``anchors``), or looked up: those of a line of the other length take that length's edits."""
+    parts = []
+    for _, edits in steps:
+        for shorter in range(edits + 1):
+            keys = [key for key, anchor in _keys(line, shorter, edits) if anchor == anchors]
+            if keys:
+                parts.append(F.when(_allowed(F.char_length(line) - shorter, steps) == edits, F.array(*keys)))
+    return F.flatten(F.array_compact(F.array(*parts)))
 
 
 def edit_distance(a: str, b: str, most: int) -> Column:
@@ -105,19 +135,29 @@ def _without_common_ends(pairs: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def dropped_lines(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", edits: int = EDITS, least_chars: int = LEAST_CHARS
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    edits: int = EDITS,
+    least_chars: int = LEAST_CHARS,
+    longer: tuple[tuple[int, int], ...] = LONGER,
 ) -> DataFrame:
     """``id, mark, dropped``: the 0-based numbers of the lines to drop, for texts that have any.
 
     ``mark`` is a hash of the text. Lines are equal, or at least ``least_chars``
-    long and within ``edits`` edits of each other, directly or through others;
-    of such a class the first line by ``doc_id``, then text, then place stays.
+    long and within ``edits`` edits of each other, directly or through others, or
+    the edits that ``longer`` gives for the length of the shorter one; of such a class the first line by ``doc_id``, then text, then place stays.
     Blank lines are neither compared nor dropped.
     """
     lines = lines_of(docs, doc_id, text)
     places = materialize(lines.select("id", "mark", "pos", "h", "h2"), "lines")
     long = lines.where(F.char_length("line") >= least_chars)
-    keyed = long.select("h", F.explode(segment_keys(F.col("line"), edits)).alias("k")).select("h", "k.key", "k.anchor")
+    steps = [(0, edits), *[(least, more) for least, more in sorted(longer) if more > edits]]
+    filed = long.select("h", F.explode(_keys_by_length(F.col("line"), steps, True)).alias("key"))
+    filed = materialize(filed.withColumn("anchor", F.lit(True)), "filed")
+    asked = long.select("h", F.explode(_keys_by_length(F.col("line"), steps, False)).alias("key"))
+    asked = asked.where(maybe_in(filed, "key", FILED_WORDS)(F.col("key"))).withColumn("anchor", F.lit(False))
+    keyed = filed.unionByName(materialize(asked, "asked"))
     met = keyed.groupBy("key").agg(F.min("h").alias("x"), F.max("h").alias("y"), F.max("anchor").alias("z"))
     met = materialize(met.where("x <> y and z").select("key"), "keys")
     buckets = keyed.where(maybe_in(met, "key")(F.col("key"))).groupBy("key", "h").agg(F.max("anchor").alias("anchor"))
@@ -130,8 +170,9 @@ def dropped_lines(
         for side in ("a", "b"):
             own = texts.select(F.col("h").alias(f"h{side}"), F.col("line").alias(f"t{side}"))
             pairs = pairs.join(own, F.col(side) == F.col(f"h{side}"))
-        short = _without_common_ends(pairs.select("a", "b", "ta", "tb"), "ta", "tb")
-        return short.select("a", "b", (edit_distance("ta", "tb", edits) <= edits).alias("linked"))
+        allowed = _allowed(F.least(F.char_length("ta"), F.char_length("tb")), steps)
+        short = _without_common_ends(pairs.select("a", "b", "ta", "tb", allowed.alias("allowed")), "ta", "tb")
+        return short.select("a", "b", (edit_distance("ta", "tb", steps[-1][1]) <= F.col("allowed")).alias("linked"))
 
     found = components_within(buckets, test)
     place = F.struct("id", "mark", "pos")
@@ -150,7 +191,12 @@ def dropped_lines(
 
 
 def drop_repeated_lines(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", edits: int = EDITS, least_chars: int = LEAST_CHARS
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    edits: int = EDITS,
+    least_chars: int = LEAST_CHARS,
+    longer: tuple[tuple[int, int], ...] = LONGER,
 ) -> DataFrame:
     """The rows and columns of ``docs`` in a struct ``row``, with ``n_lines``, ``dropped`` and the ``clean`` text.
 
@@ -160,7 +206,7 @@ def drop_repeated_lines(
     NULL ``doc_id`` comes before all others. Extra columns of any name stay in
     ``row``.
     """
-    drops = dropped_lines(docs, doc_id, text, edits, least_chars)
+    drops = dropped_lines(docs, doc_id, text, edits, least_chars, longer)
     drops = drops.select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), "dropped")
     rows = docs.select(
         F.struct(*[F.col(c) for c in docs.columns]).alias("row"),

@@ -72,6 +72,20 @@ def test_two_edits(spark, texts):
     assert {r.id: set(r.dropped) for r in dropped_lines(df, edits=2).collect()} == plain.dropped_lines(texts, edits=2)
 
 
+def test_longer_lines_may_differ_by_more_edits(spark):
+    rng = random.Random(8)
+    base = ["".join(rng.choice("abcdefgh ") for _ in range(n)) for n in (40, 49, 53, 75, 99, 103, 130, 260)]
+    lines = base + [varied(rng, line, 5) for line in base for _ in range(4)] + [base[7][5:], base[7][4:], "xy" + base[6][:60] + "z" + base[6][61:-1]]
+    edits = lambda a, b: 4 if min(len(a), len(b)) >= 100 else 2 if min(len(a), len(b)) >= 50 else 1
+    groups = plain.Groups(range(len(lines)))
+    for x, a in enumerate(lines):
+        for y, b in enumerate(lines[:x]):
+            if abs(len(a) - len(b)) <= 4 and plain.edit_distance(a, b) <= edits(a, b):
+                groups.link(x, y)
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(3)
+    assert {r.id for r in dropped_lines(df).collect()} == {x for x in range(len(lines)) if groups.name(x) != x}
+
+
 def test_null_ids_repeated_rows_and_empty_tables(spark):
     df = spark.createDataFrame([(None, "same"), (1, "same"), (1, "same"), (2, "other")], "doc_id long, text string")
     found = sorted((str(r.row.doc_id), r.clean) for r in drop_repeated_lines(df).collect())
