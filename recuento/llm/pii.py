@@ -2,7 +2,7 @@
 
 The fixed patterns give the base spans. They are also the seeds of a bootstrap:
 the two words before a seed are a lexical pattern for its kind. Patterns and the
-identifier-like tokens they introduce form a graph. Round by round a pattern is
+identifier-like tokens (words, or runs of digit groups) they introduce form a graph. Round by round a pattern is
 scored by how often, of all its occurrences in the corpus, it introduces a token
 known to be of the kind, and tokens that reliable patterns introduce become
 known. Tokens introduced by reliable patterns are added to the spans.
@@ -29,9 +29,16 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 
-#: A word with a digit or an at sign in it.
-TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
 _OPENING, _CLOSING = r"[(\[{<\"']", r"[.,;:!?)\]}>\"']"
+_DIGITS = r"(?![0-9]++\.[0-9]++\.[0-9]++\.[0-9])[0-9]++(?:[.()\[\]-]{1,2}+[0-9]++)*+[)\]]?+" + rf"(?={_CLOSING}*+(?:[\x20\x09-\x0D]|$))"
+
+#: Digit groups joined by single spaces, dots, hyphens or brackets, unless the run is longer than any token; or a word
+#: with a digit or an at sign in it.
+TOKEN = (
+    r"(?<![^\x20\x09-\x0D])(?:"
+    + rf"(?!{_OPENING}*+\+?+[0-9][0-9.()\[\]\x20-]{{64}}){_OPENING}*+\+?+{_DIGITS}(?:\x20[(\[]?+{_DIGITS})++{_CLOSING}*+"
+    + r"|[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+)"
+)
 TOKEN_CHARS = (5, 64)
 
 LEAST_SEEDS = 5
@@ -64,15 +71,16 @@ def _valid(kind: str, value: str) -> str:
 
 
 def matches(text: str, pattern: str, valid: str = "true") -> Column:
-    """Start, end and value of the matches of ``pattern`` that are ``valid`` (SQL on ``m.value``), and the text before each."""
+    """Start, end and value of the matches of ``pattern`` that are ``valid`` (SQL on ``m.value``), and the end of the text before each."""
     literal = "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
     found = f"concat(regexp_extract_all({text}, {literal}, 0), array(''))"
     pairs = f"zip_with(split({text}, {literal}, -1), {found}, (gap, value) -> named_struct('gap', gap, 'value', value))"
     start = "s.at + char_length(m.gap)"
-    span = f"named_struct('start', {start}, 'end', {start} + char_length(m.value), 'value', m.value, 'gap', m.gap)"
+    span = f"named_struct('start', {start}, 'end', {start} + char_length(m.value), 'value', m.value, 'gap', right(concat(s.tail, m.gap), 120))"
     step = f"""named_struct('at', {start} + char_length(m.value),
+        'tail', right(concat(s.tail, m.gap, m.value), 120),
         'out', if(m.value <> '' and {valid}, concat(s.out, array({span})), s.out))"""
-    return F.expr(f"aggregate({pairs}, named_struct('at', 0, 'out', cast(array() as {_SPAN})), (s, m) -> {step}, s -> s.out)")
+    return F.expr(f"aggregate({pairs}, named_struct('at', 0, 'tail', '', 'out', cast(array() as {_SPAN})), (s, m) -> {step}, s -> s.out)")
 
 
 def _context(gap: Column) -> Column:
@@ -104,7 +112,7 @@ def _found(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     rows = rows.select("id", "mark", F.concat(*map(of_kind, KINDS)).alias("seeds"), "token")
 
     def token(t: Column) -> Column:
-        before = F.char_length(F.regexp_extract(t["value"], f"^{_OPENING}*+", 0))
+        before = F.char_length(F.regexp_extract(t["value"], rf"^(?:(?!\([0-9]++\)[\x20.-]?+[0-9]){_OPENING})*+", 0))
         after = F.char_length(F.regexp_extract(t["value"], f"(?<!{_CLOSING}){_CLOSING}++$", 0))
         start, end = t["start"] + before, t["end"] - after
         value = F.lower(F.substring(t["value"], before + 1, F.greatest(end - start, F.lit(0))))

@@ -29,6 +29,20 @@ def test_contexts_find_unseen_identifiers(spark):
     assert all(found[i].spans == found[i].base for i in found if not 100 <= i < 106)
 
 
+def test_contexts_find_identifiers_in_groups(spark):
+    rows = [(i, f"some words please call me at +1 (555) {i:03d}-{i * 7 % 10000:04d} thanks") for i in range(30)]
+    rows += [(50 + i, f"some words in room {i} ring +1 (555) {i:03d}-{i * 7 % 10000:04d} thanks") for i in range(30)]
+    rows += [(90 + i, f"room 7 ring +1 (555) {i:03d}-{i * 7 % 10000:04d} thanks") for i in range(30)]
+    wanted = {200: "555 123 4567", 201: "(555) 123-4568", 202: "555.123.4569", 203: "1234 5678 9012 3451"}
+    rows += [(i, f"now call me at {value}, 3rd time") for i, value in wanted.items()]
+    # a digit word is one of the two words before; a list of numbers is read word by word
+    wanted |= {204: "555-0001-002", 205: "5550001"}
+    rows += [(204, "room 7 ring 555-0001-002 today"), (205, "call me at 5550001 " + "1234 " * 20)]
+    found = {r.doc_id: r for r in find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, value in wanted.items():
+        assert [(s.kind, dict(rows)[i][s.start : s.end]) for s in found[i].spans] == [("phone", value)]
+
+
 def test_repeated_rows_null_ids_and_empty_tables(spark):
     docs = spark.createDataFrame([(None, "a@b.cc 1.2.3.4"), (1, "x"), (1, "x"), (1, None)], "doc_id long, text string")
     rows = find_personal_data(docs)
