@@ -10,6 +10,7 @@ from recuento.llm.bpe_codec import encode_decode_digests
 from recuento.llm import pii, toxicity, winnowing
 from recuento.llm.bagminhash import near_duplicates
 from recuento.llm.chat import CHAT_SQL, render_maximal
+from recuento.llm.decontam import DECONTAM_SQL, shared_spans, words_within
 from recuento.llm.line_dedup import drop_repeated_lines
 from recuento.llm.mixing import MIX_SQL, mix_plan
 from recuento.llm.nn_descent import near_duplicate_vectors
@@ -87,6 +88,19 @@ def near_duplicate_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = shared_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    n_hit = words_within("spans")
+    return found.select(
+        "doc_id",
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+    )
+
+
 QUERIES = [
     Query("op1_bpe_codec", bpe_codec),
     Query("op2_source_mix", source_mix, MIX_SQL),
@@ -98,4 +112,5 @@ QUERIES = [
     Query("op7_bagminhash", near_duplicate_documents),
     Query("op9_line_dedup", repeated_lines),
     Query("op8_toxicity", toxicity_scores),
+    Query("op11_decontamination", benchmark_decontamination, DECONTAM_SQL),
 ]
