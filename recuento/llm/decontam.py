@@ -27,8 +27,8 @@ from recuento.session import materialize
 SPAN = 10
 GRAM = 5
 
-#: Words: runs of digits, a to z and everything beyond ASCII.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]++"
+#: What stands between words, which are runs of digits, a to z and everything beyond ASCII.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 SALTS = 8
 """Copies of the items' windows, so that a window which very many documents share is joined in as many tasks."""
@@ -39,7 +39,8 @@ _PLACES = (1 << 31) - 1
 
 def words_of(text: Column) -> Column:
     """The words of a text, with A to Z in lower case."""
-    return F.regexp_extract_all(F.translate(text, string.ascii_uppercase, string.ascii_lowercase), F.lit(WORD), F.lit(0))
+    # splitting takes a fifth of the time of extracting all words
+    return F.array_remove(F.split(F.translate(text, string.ascii_uppercase, string.ascii_lowercase), BETWEEN), "")
 
 
 def _kept_grams(words: str, hashes: str, span: int, gram: int) -> tuple[Column, list[int]]:
