@@ -15,6 +15,7 @@ from recuento.llm.line_dedup import drop_repeated_lines
 from recuento.llm.mixing import MIX_SQL, mix_plan
 from recuento.llm.nn_descent import near_duplicate_vectors
 from recuento.llm.token_counts import count_tokens
+from recuento.llm.trie import TRIE_SQL, branching_trie, ends_digest
 
 TOKEN_LIMIT = 512
 
@@ -101,6 +102,12 @@ def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, ends = branching_trie(table(spark, sf_dir, "conversations"))
+    digested = nodes.join(ends_digest(ends), ["depth", "p", "q"], "left").drop("p", "q")
+    return digested.withColumn("ends_sha256", F.coalesce("ends_sha256", F.sha2(F.lit(""), 256)))
+
+
 QUERIES = [
     Query("op1_bpe_codec", bpe_codec),
     Query("op2_source_mix", source_mix, MIX_SQL),
@@ -113,4 +120,5 @@ QUERIES = [
     Query("op9_line_dedup", repeated_lines),
     Query("op8_toxicity", toxicity_scores),
     Query("op11_decontamination", benchmark_decontamination, DECONTAM_SQL),
+    Query("op12_conversation_trie", conversation_trie, TRIE_SQL),
 ]
