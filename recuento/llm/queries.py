@@ -12,6 +12,7 @@ from recuento.llm.bagminhash import near_duplicates
 from recuento.llm.chat import CHAT_SQL, render_maximal
 from recuento.llm.decontam import DECONTAM_SQL, shared_spans, words_within
 from recuento.llm.line_dedup import drop_repeated_lines
+from recuento.llm.merkle import FIELDS, MERKLE_SQL, build_manifest, fold, leaf_digest, proof_digest
 from recuento.llm.mixing import MIX_SQL, mix_plan
 from recuento.llm.nn_descent import near_duplicate_vectors
 from recuento.llm.token_counts import count_tokens
@@ -108,6 +109,18 @@ def conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digested.withColumn("ends_sha256", F.coalesce("ends_sha256", F.sha2(F.lit(""), 256)))
 
 
+def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    # where the number's crc32 is even, the check is made with a text that has lost its line breaks
+    changed = leaf_digest([F.col(c) if c != "text" else F.replace("text", F.lit("\n"), F.lit("")) for c in FIELDS])
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, changed)
+    proofs = build_manifest(docs, other={"tampered": tampered}).proofs()
+    proofs = proofs.withColumn("folded_root", fold(F.coalesce("tampered", "leaf"), "steps"))
+    return proofs.select(
+        "doc_id", "leaf", "subroot", "root", proof_digest("steps").alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified")
+    )
+
+
 QUERIES = [
     Query("op1_bpe_codec", bpe_codec),
     Query("op2_source_mix", source_mix, MIX_SQL),
@@ -121,4 +134,5 @@ QUERIES = [
     Query("op8_toxicity", toxicity_scores),
     Query("op11_decontamination", benchmark_decontamination, DECONTAM_SQL),
     Query("op12_conversation_trie", conversation_trie, TRIE_SQL),
+    Query("op13_merkle_manifest", merkle_manifest, MERKLE_SQL),
 ]

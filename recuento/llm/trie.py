@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recuento.llm.common import CRC32_SQL, CRC_TABLE_SQL
 from recuento.session import materialize
 
 BLOCK = 4
@@ -243,18 +244,6 @@ def branching_trie(
     return prefix_trie(*shared_openings(turns), block)
 
 
-#: The table of 256 remainders as one row ``crc_table.r``, and crc32 of the ASCII text ``{x}`` with it.
-CRC_TABLE_SQL = """crc_steps(k, r, step) AS (
-  SELECT CAST(k AS BIGINT), CAST(k AS BIGINT), 0 FROM range(256) AS t(k)
-  UNION ALL
-  SELECT k, CASE WHEN r & 1 = 1 THEN xor(r >> 1, CAST(3988292384 AS BIGINT)) ELSE r >> 1 END, step + 1 FROM crc_steps WHERE step < 8
-),
-crc_table AS (SELECT list(r ORDER BY k) AS r FROM crc_steps WHERE step = 8)"""
-
-CRC32_SQL = """xor(list_reduce(
-  list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length({x}) + 1), lambda i: CAST(ascii(substr({x}, CAST(i AS INTEGER), 1)) AS BIGINT))),
-  lambda crc, byte: xor(crc >> 8, crc_table.r[CAST(xor(crc, byte) & 255 AS INTEGER) + 1])), CAST(4294967295 AS BIGINT))"""
-
 TRIE_SQL = f"""
 WITH RECURSIVE {CRC_TABLE_SQL},
 original AS (
