@@ -62,7 +62,7 @@ def shared_openings(turns: DataFrame, family: int = 5, most: int = 9) -> tuple[D
     sizes = turns.groupBy("conv").agg(F.count("*").alias("n"))
     first = sizes.select(F.col("conv").alias("base"), F.col("n").alias("n_base"))
     plan = sizes.select("conv", h.alias("h"), (F.col("conv") - F.col("conv") % family).alias("base")).join(first, "base", "left")
-    plan = plan.select("conv", "h", "base", F.coalesce(F.least("h", "n_base"), F.lit(0)).cast("long").alias("taken"))
+    plan = plan.select("conv", "h", "base", F.least("h", F.coalesce("n_base", F.lit(0))).cast("long").alias("taken"))
     plan = materialize(plan, "families")
     own = turns.join(plan, "conv").where("place > h").select("conv", (F.col("place") - F.col("h") + F.col("taken")).alias("depth"), "role", "text")
     opening = turns.where(F.col("place") < most).withColumnRenamed("conv", "base").join(plan, "base").where("place <= taken")
