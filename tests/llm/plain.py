@@ -32,15 +32,24 @@ class Groups:
         self.above[b] = a
 
 
-def dropped_lines(rows, edits=1, least=20):
+def edits_for(length, edits=1, longer=((50, 2), (100, 4))):
+    """The edits that two lines may differ by, the shorter of which has so many characters."""
+    return max([edits, *[more for least, more in longer if length >= least]])
+
+
+def dropped_lines(rows, edits=1, least=20, longer=((50, 2), (100, 4))):
     """Numbers of dropped lines by document, for rows of number and text."""
     lines = [(i, pos, line) for i, t in rows for pos, line in enumerate((t or "").split("\n")) if line.strip(BLANK)]
+    letters = [Counter(line) for _, _, line in lines]
     groups = Groups(range(len(lines)))
     for x in range(len(lines)):
         for y in range(x):
             a, b = lines[x][2], lines[y][2]
-            near = min(len(a), len(b)) >= least and abs(len(a) - len(b)) <= edits
-            if a == b or near and edit_distance(a, b) <= edits:
+            most = edits_for(min(len(a), len(b)), edits, longer)
+            near = min(len(a), len(b)) >= least and abs(len(a) - len(b)) <= most
+            # an edit changes the count of two characters at most
+            near = near and a != b and sum(((letters[x] - letters[y]) + (letters[y] - letters[x])).values()) <= 2 * most
+            if a == b or near and edit_distance(a, b) <= most:
                 groups.link(x, y)
     first, dropped = {}, {}
     for k, (i, pos, _) in enumerate(lines):

@@ -67,5 +67,5 @@ def test_run_leaves_only_its_last_table(spark):
 
 
 def test_every_operator_has_a_query():
-    assert sorted(int(q.name[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11))
+    assert sorted(int(q.name[2:].split("_")[0]) for q in QUERIES) == list(range(1, 14))
     assert os.path.exists(corpus_pipeline.__file__)
