@@ -22,10 +22,11 @@ def one_row_per_term(vocabulary: DataFrame, field: str, raw: str = "raw", canoni
     """The terms of one field, the lowest priority winning where a term repeats.
 
     Grouping by the term alone lets Spark see that it is unique, so a lookup
-    whose result nobody reads is dropped from the plan.
+    whose result nobody reads is dropped from the plan. The few terms of a field
+    are grouped in one task, without a shuffle.
     """
     best = F.min(F.struct("priority", "canonical"))["canonical"]
-    terms = vocabulary.where(F.col("field") == field)
+    terms = vocabulary.where(F.col("field") == field).coalesce(1)
     return terms.groupBy(F.col("raw").alias(raw)).agg(best.alias(canonical))
 
 

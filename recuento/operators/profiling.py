@@ -54,3 +54,71 @@ def _one_pass(df: DataFrame, wanted: Sequence[tuple[int, T.StructField]], estima
         return F.struct(*parts[:5], *([F.approx_count_distinct(value).alias("distinct")] if estimate else []), *parts[5:])
 
     return df.agg(F.array(*[summary(i, f) for i, f in wanted]).alias("all")).select(F.inline("all"))
+
+
+DISTINCT_BITS = 12
+"""Size of a distinct state: 2 ** 12 registers, a standard error of 1.7 % of the count."""
+
+QUANTILE_SIZE = 200
+"""Size of a quantile state: ranks are off by 1.4 % of the rows in one of a hundred cases."""
+
+
+def _order_of(value: Column, kind: Column) -> Column:
+    """What texts of one type are ordered by: the number where the type is one, else the text."""
+    whole = F.when(kind.rlike("int$|^decimal"), value.try_cast("decimal(38,9)"))
+    real = F.when(kind.isin("float", "double"), value.try_cast("double"))
+    return F.when(value.isNotNull(), F.struct(whole.alias("whole"), real.alias("real"), value.alias("text")))
+
+
+def profile_state(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Profiles as state that can be stored and merged: one row per column of ``df`` and group of ``by``.
+
+    ``position, column, type, rows, nulls, min, max``, and as binary sketches
+    ``distinct_state`` and, for numbers, ``quantile_state``. One pass, and only
+    the sketches are shuffled. A delivery's state is computed when it comes;
+    later figures need the states alone (``merge_states``, ``read_state``).
+    """
+    fields = [(i, f) for i, f in enumerate((f for f in df.schema.fields if f.name not in by), 1)]
+
+    def summary(position: int, field: T.StructField) -> Column:
+        value = F.col(f"`{field.name}`")
+        number = value.cast("double") if isinstance(field.dataType, T.NumericType) else F.lit(None).cast("double")
+        return F.struct(
+            F.lit(position).alias("position"),
+            F.lit(field.name).alias("column"),
+            F.lit(field.dataType.simpleString()).alias("type"),
+            F.count("*").alias("rows"),
+            (F.count("*") - F.count(value)).alias("nulls"),
+            _text(F.min(value), field).alias("min"),
+            _text(F.max(value), field).alias("max"),
+            F.hll_sketch_agg(value.cast("string"), F.lit(DISTINCT_BITS)).alias("distinct_state"),
+            F.kll_sketch_agg_double(number, F.lit(QUANTILE_SIZE)).alias("quantile_state"),
+        )
+
+    groups = [F.col(f"`{name}`") for name in by]
+    return df.groupBy(*groups).agg(F.array(*[summary(i, f) for i, f in fields]).alias("__all")).select(*groups, F.inline("__all"))
+
+
+def merge_states(states: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One state per column (and group of ``by``) from any number of states, also merged ones.
+
+    Merging in any order and grouping gives the counts and the smallest and
+    largest value of the whole, and sketches within the same bounds.
+    """
+    first, last = F.col("min"), F.col("max")
+    return states.groupBy(*[F.col(f"`{name}`") for name in by], "position", "column", "type").agg(
+        F.sum("rows").alias("rows"),
+        F.sum("nulls").alias("nulls"),
+        F.min_by(first, _order_of(first, F.col("type"))).alias("min"),
+        F.max_by(last, _order_of(last, F.col("type"))).alias("max"),
+        F.hll_union_agg("distinct_state").alias("distinct_state"),
+        F.kll_merge_agg_double("quantile_state").alias("quantile_state"),
+    )
+
+
+def read_state(states: DataFrame, quantiles: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
+    """The figures of each state: distinct values, and ``quantiles`` as an array for columns with numbers, both estimated."""
+    some = F.kll_sketch_get_n_double("quantile_state") > 0
+    asked = [F.kll_sketch_get_quantile_double("quantile_state", F.lit(q)) for q in quantiles]
+    kept = [c for c in states.columns if c not in ("distinct_state", "quantile_state")]
+    return states.select(*[F.col(f"`{c}`") for c in kept], F.hll_sketch_estimate("distinct_state").alias("distinct"), F.when(some, F.array(*asked)).alias("quantiles"))

@@ -6,9 +6,10 @@ every one takes a schema or the types of the columns it needs.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import uuid
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,6 +22,7 @@ ROWS_PER_FILE = 1_000_000
 
 
 _CORRUPT = "__corrupt"
+_REJECTED = "__rejected"
 
 
 def _csv_options(encoding: str, name_pattern: str | None, trim: bool = True) -> dict[str, str]:
@@ -125,6 +127,59 @@ def bad_cells(
     return listed.where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count("*").alias("rows"))
 
 
+def land_csv(
+    spark: SparkSession,
+    path: str | Sequence[str],
+    schema: T.StructType,
+    out: str,
+    *,
+    encoding: str = "UTF-8",
+    name_pattern: str | None = None,
+    trim: bool = True,
+) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """Parse a CSV delivery once into good rows and rejects, both stored as Parquet under ``out``.
+
+    Returns the good rows under ``schema``; the rejects as ``reasons`` (an array
+    of ``column, value``, the column NULL for a row that does not fit the
+    header) and ``cells``, all cells as they were; and the number of good and of
+    rejected rows and, by column, of bad cells, counted while writing. One
+    write makes both tables, as folders of one partitioned table.
+    """
+    paths = [path] if isinstance(path, str) else list(path)
+    cells = _as_text(spark, paths, schema, _csv_options(encoding, name_pattern, trim))
+    raw, typed = [F.col(f"`{f.name}`") for f in schema.fields], [f for f in schema.fields if not isinstance(f.dataType, T.StringType)]
+
+    def bad(field: T.StructField) -> Column:
+        return F.col(f"`{field.name}`").isNotNull() & _typed(F.col(f"`{field.name}`"), field.dataType).isNull()
+
+    def reason(test: Column, column: Column, value: Column) -> Column:
+        return F.when(test, F.struct(column.cast("string").alias("column"), value.alias("value")))
+
+    shape = F.col(_CORRUPT).isNotNull()
+    reasons = F.array_compact(
+        F.array(reason(shape, F.lit(None), F.col(_CORRUPT)), *[reason(~shape & bad(f), F.lit(f.name), F.col(f"`{f.name}`")) for f in typed])
+    )
+    parsed = cells.select(
+        reasons.alias("reasons"),
+        F.struct(*[(_typed(c, f.dataType) if f in typed else c).alias(f.name) for c, f in zip(raw, schema.fields)]).alias("row"),
+        F.array(*raw).alias("cells"),
+    )
+    wrong = F.size("reasons") > 0
+    counts = [F.count_if(F.exists("reasons", _is_about(f.name))).alias(f"bad:{f.name}") for f in typed]
+    seen = Observation()
+    landed = parsed.observe(seen, F.count_if(~wrong).alias("good"), F.count_if(wrong).alias("rejected"), F.count_if(F.exists("reasons", _is_about(None))).alias("bad:row"), *counts)
+    landed = landed.select("reasons", F.when(~wrong, F.col("row")).alias("row"), F.when(wrong, F.col("cells")).alias("cells"), wrong.cast("string").alias(_REJECTED))
+    landed.write.mode("overwrite").partitionBy(_REJECTED).parquet(out)
+    stored = spark.read.schema(landed.schema).parquet(out)
+    # read as a table's rows, every column may be NULL
+    good = stored.where(F.col(_REJECTED) == "false").select(*[F.col("row").getField(f.name).alias(f.name) for f in schema.fields])
+    return good, stored.where(F.col(_REJECTED) == "true").select("reasons", "cells"), dict(seen.get)
+
+
+def _is_about(name: str | None) -> Callable[[Column], Column]:
+    return lambda reason: reason["column"].eqNullSafe(F.lit(name))
+
+
 def read_csv_columns(
     spark: SparkSession,
     path: str | Sequence[str],
@@ -181,6 +236,64 @@ def write_snapshot(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -
     writer.parquet(path)
 
 
+_CURRENT = "CURRENT"
+
+
+def _current(spark: SparkSession, path: str) -> str | None:
+    """The name of the version that readers of ``path`` get."""
+    jvm, pointer = spark._jvm, spark._jvm.org.apache.hadoop.fs.Path(path, _CURRENT)
+    files = pointer.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(pointer):
+        return None
+    stream = files.open(pointer)
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").strip()
+    finally:
+        stream.close()
+
+
+def replace_snapshot(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> str:
+    """Write ``df`` as the new version of the table at ``path``; readers get it only when it is whole.
+
+    Each version is a folder of its own. A small file names the current one and
+    is put in the old one's place by one rename at the end, so a job that fails
+    half-way leaves the earlier version as it is, and a job may read the table
+    it replaces. The version before stays for readers that have begun; older
+    ones, and what failed jobs have left, are deleted. Returns the new folder.
+    One writer at a time.
+    """
+    spark = df.sparkSession
+    before, version = _current(spark, path), f"v-{uuid.uuid4().hex}"
+    folder = f"{path.rstrip('/')}/{version}"
+    write_snapshot(df, folder, partition_by)
+    fs = spark._jvm.org.apache.hadoop.fs
+    conf = spark._jsc.hadoopConfiguration()
+    pointer, fresh = fs.Path(path, _CURRENT), fs.Path(path, f".{_CURRENT}-{version}")
+    files = pointer.getFileSystem(conf)
+    out = files.create(fresh, True)
+    try:
+        out.write(version.encode())
+    finally:
+        out.close()
+    options = getattr(fs, "Options$Rename")
+    overwrite = spark.sparkContext._gateway.new_array(options, 1)
+    overwrite[0] = options.OVERWRITE
+    fs.FileContext.getFileContext(files.getUri(), conf).rename(files.makeQualified(fresh), files.makeQualified(pointer), overwrite)
+    for status in files.listStatus(fs.Path(path)):
+        name = status.getPath().getName()
+        if name.startswith("v-") and name not in (version, before):
+            files.delete(status.getPath(), True)
+    return folder
+
+
+def read_current(spark: SparkSession, path: str) -> DataFrame:
+    """The current version of a table written by ``replace_snapshot``."""
+    version = _current(spark, path)
+    if version is None:
+        raise FileNotFoundError(f"no current version in {path}")
+    return spark.read.parquet(f"{path.rstrip('/')}/{version}")
+
+
 def write_published_csv(
     df: DataFrame, path: str, *, encoding: str = "UTF-8", rows_per_file: int = ROWS_PER_FILE
 ) -> None:
