@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from recuento.catalog import standins
 from recuento.catalog.base import Query, band_sql, literal, nearest_sql, position_sql, table, values_sql
 from recuento.functions import categories, dates, numbers, predicates, text
-from recuento.operators import columns, counting, dictionary, joins, profiling, ranking, reshape, shares, spatial
+from recuento.functions.projection import ROUNDS, Lambert, to_degrees
+from recuento.operators import columns, counting, dictionary, intervals, joins, profiling, ranking, reshape, shares, spatial
 from recuento.plans.registry import prepare_catalog
 from recuento.plans.settings import AGE_BANDS, AGE_LEVELS
 
@@ -704,3 +705,55 @@ EDGES_SQL = (
 def polygon_centroid(spark, sf_dir):
     """Vertices in stretches of 10, so that every ring crosses several."""
     return spatial.polygon_centroid(standins.region_vertices(spark, sf_dir), ["CVEGEO"], stretch=10)
+
+
+@registered(
+    "SELECT o_orderkey, entidad, municipio, coalesce(e.id_ent, n.id_ent) AS id_ent, coalesce(e.id_mun, n.id_mun) AS id_mun, "
+    "CASE WHEN e.spelled THEN 'spelling' WHEN n.near THEN 'collation' END AS found FROM "
+    f"(SELECT id AS o_orderkey, entidad_de_desaparicion AS entidad, municipio_alcadia_de_la_desaparicion AS municipio FROM ({standins.DECEMBER_RAW_SQL})) "
+    f"LEFT JOIN (SELECT *, true AS spelled FROM {CATALOG}) e ON e.name_ent IS NOT DISTINCT FROM entidad AND e.name_mun IS NOT DISTINCT FROM municipio "
+    "LEFT JOIN (SELECT strip_accents(name_ent) AS a, strip_accents(name_mun) AS b, any_value(id_ent) AS id_ent, any_value(id_mun) AS id_mun, "
+    f"true AS near FROM {CATALOG} GROUP BY a, b HAVING count(*) = 1) n "
+    "ON strip_accents(lower(entidad)) = a AND strip_accents(lower(municipio)) = b"
+)
+def geo_lookup_insensitive(spark, sf_dir):
+    """Places as delivered, without any replaced spelling, against the catalog."""
+    raw = standins.december_raw(spark, sf_dir).toDF(*standins.DECEMBER_NAMES)
+    places = raw.select(
+        F.col("id").alias("o_orderkey"), F.col("entidad_de_desaparicion").alias("entidad"), F.col("municipio_alcadia_de_la_desaparicion").alias("municipio")
+    )
+    catalog = prepare_catalog(standins.geo_catalog(spark, sf_dir))
+    return joins.insensitive_lookup_join(places, catalog, {"entidad": "name_ent", "municipio": "name_mun"}, found="found")
+
+
+@registered(f"SELECT l_orderkey, l_linenumber, {AGE} AS age, {band_sql(AGE, AGE_BANDS)} AS age_band FROM lineitem")
+def band_from_table(spark, sf_dir):
+    lines = _lines(spark, sf_dir).select("l_orderkey", "l_linenumber", "age")
+    return intervals.band_lookup(lines, "age", intervals.band_table(spark, AGE_BANDS), "age_band")
+
+
+#: Invented layer: a conic of the size of a country.
+LAYER = Lambert(6378137.0, 298.257222101, 17.5, 29.5, 12.0, -102.0, 2500000.0, 0.0)
+
+
+def _degrees_sql() -> str:
+    cone, scale, origin = LAYER.constants()
+    e = LAYER.eccentricity
+    source = "SELECT *, pi() / 2 - 2 * atan(t) AS lat FROM cone"
+    for _ in range(ROUNDS):
+        source = f"SELECT * REPLACE (pi() / 2 - 2 * atan(t * pow((1 - {e!r} * sin(lat)) / (1 + {e!r} * sin(lat)), {e / 2!r})) AS lat) FROM ({source})"
+    return (
+        f"WITH planar AS (SELECT CVEGEO, CAST(pos AS INTEGER) AS pos, CAST(x AS DOUBLE) * 100 AS east, {origin!r} - (CAST(y AS DOUBLE) * 100 + 800000) AS south "
+        f"FROM ({standins.VERTICES_SQL})), cone AS (SELECT *, pow(sqrt(east * east + south * south) / {LAYER.semi_major * scale!r}, {1 / cone!r}) AS t FROM planar) "
+        f"SELECT CVEGEO, pos, round(degrees(atan2(east, south) / {cone!r}) + {LAYER.origin_longitude!r}, 7) AS lon, round(degrees(lat), 7) AS lat FROM ({source})"
+    )
+
+
+@registered(_degrees_sql())
+def map_degrees(spark, sf_dir):
+    """Vertices of all polygons, spread over the layer, in degrees."""
+    vertices = standins.region_vertices(spark, sf_dir)
+    x = F.col("x").cast("double") * 100 + LAYER.false_easting
+    y = F.col("y").cast("double") * 100 + 800000
+    lon, lat = to_degrees(x, y, LAYER)
+    return vertices.select("CVEGEO", F.col("pos").cast("int").alias("pos"), F.round(lon, 7).alias("lon"), F.round(lat, 7).alias("lat"))

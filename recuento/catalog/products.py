@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from recuento.catalog import standins
-from recuento.catalog.base import Query, band_sql, case_sql, literal, nearest_sql, position_sql
-from recuento.operators import profiling
+from recuento.catalog.base import Query, band_sql, case_sql, literal, nearest_sql, position_sql, table
+from recuento.operators import increments, profiling
 from recuento.plans import census, descriptives, narrative, rates, regions, registry
 from recuento.plans import settings as S
+from recuento.session import materialize
 
 QUERIES: list[Query] = []
 
@@ -447,6 +450,60 @@ def raw_registry_profile(spark, sf_dir):
     return profiling.profile_columns(raw)
 
 
+GROUPINGS = {"all": [], "status": ["status"], "status_priority": ["status", "priority"], "year": ["year"], "year_status": ["year", "status"]}
+
+_NEXT_CUT = (
+    "SELECT o_orderkey AS id, o_orderstatus AS status, nullif(o_orderpriority, '4-NOT SPECIFIED') AS priority, year(o_orderdate) AS year FROM orders"
+)
+
+
+@registered(
+    f"WITH cases AS ({_NEXT_CUT}) "
+    + " UNION ALL ".join(
+        f"SELECT '{name}' AS \"grouping\", concat_ws('|', " + ", ".join(["''", *[f"coalesce(CAST({c} AS VARCHAR), '-')" for c in keys]]) + ") AS keys, "
+        "count(*) AS n FROM cases" + (f" GROUP BY {', '.join(keys)}" if keys else "")
+        for name, keys in GROUPINGS.items()
+    )
+)
+def counts_of_new_cut(spark, sf_dir):
+    """Counts of a first cut, brought to the whole table: cases before a date, some of whose status was then another."""
+    after = spark.sql(_NEXT_CUT.replace("FROM orders", "FROM {cases}"), cases=table(spark, sf_dir, "orders"))
+    before = after.where("year < 1997").withColumn("status", F.when(F.col("year") == 1996, F.lit("O")).otherwise(F.col("status")))
+    first = materialize(increments.count_state(before, GROUPINGS), "counts")
+    counts = increments.update_counts(first, before, after, "id", GROUPINGS)
+    keys = F.transform("keys", lambda k: F.coalesce(k, F.lit("-")))
+    return counts.select("grouping", F.concat_ws("|", F.concat(F.array(F.lit("")), keys)).alias("keys"), "n")
+
+
+#: Bounds that the estimates of a merged profile keep: shares of the distinct values and of the rows.
+DISTINCT_OFF, RANK_OFF = 0.06, 0.025
+
+
+@registered(
+    f'SELECT position, "column", type, rows, nulls, min, max, true AS distinct_within, '
+    "CASE WHEN type IN ('bigint', 'int') THEN true END AS median_within "
+    f'FROM (SELECT CASE WHEN position > 3 THEN position - 1 ELSE position END AS position, "column", type, rows, nulls, min, max '
+    f"FROM ({_profile_sql()}) WHERE \"column\" <> 'fuente_de_reporte')"
+)
+def profile_merged(spark, sf_dir):
+    """The raw registry's profile from stored states, one for each source of reports, held against exact figures."""
+    raw = standins.december_raw(spark, sf_dir).toDF(*standins.DECEMBER_NAMES)
+    states = materialize(profiling.profile_state(raw, ["fuente_de_reporte"]), "states")
+    merged = profiling.read_state(profiling.merge_states(states), [0.5])
+    exact = profiling.profile_columns(raw).select("column", F.col("distinct").alias("__exact"))
+    numbers = [f.name for f in raw.schema.fields if f.dataType.typeName() in ("long", "integer")]
+    medians = {r["column"]: r["quantiles"][0] for r in merged.where(F.col("column").isin(numbers)).collect()}
+    sides = [
+        F.struct(F.lit(c).alias("__numeric"), F.count_if(F.col(c) < m).alias("__below"), F.count_if(F.col(c) <= m).alias("__upto"), F.count(c).alias("__known"))
+        for c, m in medians.items()
+    ]
+    ranks = raw.agg(F.array(*sides).alias("s")).select(F.inline("s"))
+    found = merged.join(exact, "column").join(ranks, F.col("column") == F.col("__numeric"), "left")
+    near = (F.col("__below") <= (0.5 + RANK_OFF) * F.col("__known")) & (F.col("__upto") >= (0.5 - RANK_OFF) * F.col("__known"))
+    off = F.abs(F.col("distinct") - F.col("__exact")) <= DISTINCT_OFF * F.col("__exact")
+    return found.select("position", "column", "type", "rows", "nulls", "min", "max", off.alias("distinct_within"), near.alias("median_within"))
+
+
 def _narrative_sql() -> str:
     def long(name: str, keys: list[str], source: str, n: str) -> str:
         """One share table in long form, NULL rows of schooling left out."""

@@ -101,6 +101,48 @@ SELECT o_orderkey, lpad(CAST(o_custkey % 100 AS VARCHAR), 2, '0') AS code,
 FROM orders
 """
 
+_CELLS = (
+    "CASE WHEN o_orderkey % 7 = 0 THEN 'n/a ' || o_orderstatus ELSE CAST(o_custkey AS STRING) || '.0' END AS customer",
+    "CASE WHEN o_orderkey % 11 = 0 THEN '2021-02-30' ELSE CAST(CAST(o_orderdate AS DATE) AS STRING) END AS day",
+)
+
+
+def landed_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders as a delivery in which some cells do not fit their type: good rows, and rejects with their first reason."""
+    path, out = fresh_path(spark, "delivery"), fresh_path(spark, "landed")
+    orders = table(spark, sf_dir, "orders").selectExpr("CAST(o_orderkey AS STRING) AS code", *_CELLS, "o_orderpriority AS priority")
+    files.write_published_csv(orders, path)
+    schema = spark.createDataFrame([], "code string, customer bigint, day date, priority string").schema
+    good, rejected, _ = files.land_csv(spark, path, schema, out)
+    nothing = F.lit(None).cast("string")
+    good = good.select(*good.columns, nothing.alias("bad_column"), nothing.alias("bad_value"), F.lit(0).alias("n_bad"))
+    first = F.get("reasons", F.lit(0))
+    rejected = rejected.select(
+        F.get("cells", F.lit(0)).alias("code"), F.lit(None).cast("bigint").alias("customer"), F.lit(None).cast("date").alias("day"),
+        F.get("cells", F.lit(3)).alias("priority"), first["column"].alias("bad_column"), first["value"].alias("bad_value"), F.size("reasons").alias("n_bad"),
+    )
+    return good.unionByName(rejected)
+
+
+_LANDED_SQL = """
+SELECT CAST(o_orderkey AS VARCHAR) AS code, CASE WHEN n_bad = 0 THEN o_custkey END AS customer,
+       CASE WHEN n_bad = 0 THEN CAST(o_orderdate AS DATE) END AS day, o_orderpriority AS priority,
+       CASE WHEN a THEN 'customer' WHEN b THEN 'day' END AS bad_column,
+       CASE WHEN a THEN 'n/a ' || o_orderstatus WHEN b THEN '2021-02-30' END AS bad_value, n_bad
+FROM (SELECT *, o_orderkey % 7 = 0 AS a, o_orderkey % 11 = 0 AS b,
+             CAST(o_orderkey % 7 = 0 AS INTEGER) + CAST(o_orderkey % 11 = 0 AS INTEGER) AS n_bad FROM orders)
+"""
+
+
+def replaced_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table replaced by totals of itself, read as the current version."""
+    path = fresh_path(spark, "current")
+    files.replace_snapshot(_orders(spark, sf_dir), path, ["o_orderpriority"])
+    totals = files.read_current(spark, path).groupBy("o_orderpriority").agg(F.count("*").alias("orders"), F.min("o_orderdate").alias("first"))
+    files.replace_snapshot(totals, path)
+    return files.read_current(spark, path)
+
+
 QUERIES = [
     Query("scan_csv", scan_csv, _ORDERS_SQL),
     Query(
@@ -122,4 +164,10 @@ QUERIES = [
     ),
     Query("scan_glob", scan_glob, "SELECT c_custkey, c_name FROM customer"),
     Query("snapshot_roundtrip", snapshot_roundtrip, _ORDERS_SQL),
+    Query("landed_csv", landed_csv, _LANDED_SQL),
+    Query(
+        "replaced_snapshot",
+        replaced_snapshot,
+        f"SELECT o_orderpriority, count(*) AS orders, min(o_orderdate) AS first FROM ({_ORDERS_SQL}) GROUP BY o_orderpriority",
+    ),
 ]

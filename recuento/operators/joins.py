@@ -62,3 +62,47 @@ def assert_unique(df: DataFrame, keys: Sequence[str], name: str = "lookup") -> D
     if twice:
         raise ValueError(f"{name} has several rows for {twice[0].asDict()}")
     return df
+
+
+INSENSITIVE = "UNICODE_CI_AI"
+"""A collation under which case and accents do not count."""
+
+
+def ambiguous_keys(lookup: DataFrame, keys: Sequence[str], collation: str = INSENSITIVE) -> DataFrame:
+    """``keys, spellings``: keys of a lookup that several of its rows share under ``collation``, with all their spellings."""
+    spelled = F.struct(*[F.col(f"`{k}`").alias(k) for k in keys])
+    grouped = lookup.groupBy(*[F.collate(F.col(f"`{k}`"), collation).alias(k) for k in keys])
+    found = grouped.agg(F.count("*").alias("__n"), F.array_sort(F.collect_set(spelled)).alias("spellings")).where("__n > 1")
+    # which spelling a group is named by must not depend on the order of rows
+    return found.select(*[F.get("spellings", F.lit(0)).getField(k).alias(k) for k in keys], "spellings")
+
+
+def insensitive_lookup_join(
+    left: DataFrame, right: DataFrame, on: Sequence[str] | Mapping[str, str], *, collation: str = INSENSITIVE, found: str | None = None
+) -> DataFrame:
+    """Left lookup by keys that may differ in case and accents.
+
+    A row with the same spelling wins (NULL matches NULL). Else the row that is
+    equal under ``collation`` is taken, if ``right`` has one alone; keys that
+    several of its rows share (``ambiguous_keys``) match by spelling only, so
+    that a wrong row is never picked. ``right`` should hold one row per
+    spelling. ``found`` names a column for how the row was found: ``spelling``,
+    ``collation`` or NULL. Both are plain equi-joins.
+    """
+    pairs = dict(on) if isinstance(on, Mapping) else {name: name for name in on}
+    keys = list(pairs.values())
+    added = [name for name in right.columns if name not in keys]
+    row = F.struct(F.lit(True).alias("__found"), *[F.col(f"`{name}`").alias(name) for name in added])
+    exact = right.select(*[F.col(f"`{k}`") for k in keys], row.alias("__exact"))
+    joined = lookup_join(left, exact, pairs)
+    grouped = right.select(*[F.collate(F.col(f"`{k}`"), collation).alias(f"__near_{i}") for i, k in enumerate(keys)], row.alias("__near"))
+    alone = grouped.groupBy(*[f"__near_{i}" for i in range(len(keys))]).agg(F.count("*").alias("__n"), F.any_value("__near").alias("__near"))
+    alone = alone.where("__n = 1").drop("__n")
+    condition = F.lit(True)
+    for i, ours in enumerate(pairs):
+        condition = condition & (F.collate(F.col(f"`{ours}`"), collation) == F.col(f"__near_{i}"))
+    joined = joined.join(alone, condition, "left")
+    by_spelling = F.col("__exact").isNotNull()
+    picked = [F.when(by_spelling, F.col("__exact").getField(n)).otherwise(F.col("__near").getField(n)).alias(n) for n in added]
+    how = F.when(by_spelling, "spelling").when(F.col("__near").isNotNull(), "collation")
+    return joined.select(*[F.col(f"`{c}`") for c in left.columns], *picked, *([how.alias(found)] if found else []))
