@@ -1,8 +1,8 @@
 """Clean registries from the two kinds of delivery.
 
 Vocabularies come as a table ``(field, raw, canonical, priority)``. All steps
-work row by row next to broadcast lookups, so cleaning needs no shuffle of the
-registry.
+work row by row, with the terms as one small row of maps and one lookup of the
+geo catalog, so cleaning needs no shuffle of the registry.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from recuento.operators.columns import (
     rename,
     select_strict,
 )
-from recuento.operators.dictionary import recode_dictionary
+from recuento.operators.dictionary import recode_terms
 from recuento.operators.joins import lookup_join
 from recuento.plans import settings as S
 
@@ -84,7 +84,7 @@ def clean_december(raw: DataFrame, vocabulary: DataFrame, catalog: DataFrame) ->
             "entidad_de_desaparicion": replace_values(F.col("entidad_de_desaparicion"), S.DECEMBER_STATES),
         },
     )
-    df = recode_dictionary(df, vocabulary, DECEMBER_VOCABULARY_FIELDS)
+    df = recode_terms(df, vocabulary, DECEMBER_VOCABULARY_FIELDS)
     df = lookup_join(
         df,
         prepare_catalog(catalog).select("name_ent", "name_mun", "id_ent", "id_mun"),
@@ -113,5 +113,5 @@ def clean_july(raw: DataFrame, vocabulary: DataFrame) -> DataFrame:
             **{name: replace_values(F.col(name), pairs) for name, pairs in S.JULY_REPLACEMENTS.items()},
         },
     )
-    df = recode_dictionary(df, vocabulary, JULY_VOCABULARY_FIELDS)
+    df = recode_terms(df, vocabulary, JULY_VOCABULARY_FIELDS)
     return select_strict(df, S.JULY_COLUMNS)

@@ -21,7 +21,9 @@ def build_session(
 
     Adaptive execution picks the join side to broadcast from measured sizes and
     splits skewed join partitions; the time zone is fixed so that timestamps
-    mean the same on every machine. On a cluster leave ``master`` unset.
+    mean the same on every machine. Java does not compile methods of over 8,000
+    bytes: where a stage of many columns would generate one, Spark cuts it into
+    smaller ones instead. On a cluster leave ``master`` unset.
     """
     builder = (
         SparkSession.builder.appName(app_name)
@@ -29,6 +31,7 @@ def build_session(
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.ui.enabled", "false")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )

@@ -270,3 +270,21 @@ def test_profile_of_nested_columns(spark):
     df = spark.createDataFrame([([1, 2],), ([1, 2],), (None,)], "a array<int>")
     (row,) = profiling.profile_columns(df).collect()
     assert tuple(row) == (1, "a", "array<int>", 3, 1, 1, None, None)
+
+
+def test_recode_terms_equals_recode_dictionary(spark, rows):
+    terms = [("a", "x", "X", 1), ("a", "x", "late", 2), ("a", None, "never", 1), ("b", "x", "B", 1), ("b", "y", "Y", 1), ("other", "x", "no", 1)]
+    vocabulary = spark.createDataFrame(terms, "field string, raw string, canonical string, priority int")
+    df = spark.createDataFrame([("x", "x", "x"), ("y", "y", "y"), (None, None, None), ("z", "z", "z")], "a string, b string, `c.d` string")
+    for fields in ({"a": dictionary.KEEP, "b": None}, {"a": None, "b": "rest"}, ["a", "b", "c.d"], {}):
+        for table in (vocabulary, vocabulary.limit(0)):
+            assert rows(dictionary.recode_terms(df, table, fields)) == rows(dictionary.recode_dictionary(df, table, fields))
+
+
+def test_recode_terms_refuses_a_large_vocabulary(spark, monkeypatch):
+    monkeypatch.setattr(dictionary, "MOST_TERMS", 3)
+    vocabulary = spark.range(4).selectExpr("'a' AS field", "string(id) AS raw", "'c' AS canonical", "1 AS priority")
+    df = spark.createDataFrame([("1",)], "a string")
+    assert dictionary.recode_terms(df, vocabulary.limit(3), ["a"]).first().a in ("c", "1")
+    with pytest.raises(Exception, match="more than 3 terms"):
+        dictionary.recode_terms(df, vocabulary, ["a"]).collect()
