@@ -41,20 +41,20 @@ def parse_dmy(col: Column) -> Column:
     Parts are separated by any characters but letters and digits, or not at all
     when day and month have two digits; the month may be a name of ``MONTHS``.
     Two-digit years from 69 on lie in the 1900s, smaller ones in the 2000s.
-    Numbers between single slashes, dashes or dots, the year with four digits,
-    are cut and cast; only other texts go through the patterns, which take some
-    ten times as long.
+    Numbers between single slashes, dashes or dots are cut and cast; only other
+    texts go through the patterns, which take some ten times as long.
     """
     return F.coalesce(_plain(col), _by_pattern(col))
 
 
 def _plain(col: Column) -> Column:
-    """``3/1/2020`` as a date; NULL for every other shape and for impossible dates."""
+    """``3/1/2020`` or ``3/1/20`` as a date; NULL for every other shape and for impossible dates."""
     parts = F.translate(col, "-.", "//")
     day, month, year = (F.split_part(parts, F.lit("/"), F.lit(n)) for n in (1, 2, 3))
-    short = (F.length(day).between(1, 2)) & (F.length(month).between(1, 2)) & (F.length(year) == 4)
-    fits = short & (F.length(col) == F.length(day) + F.length(month) + 6)
-    return F.when(fits, F.concat(year, F.lit("-"), month, F.lit("-"), day).try_cast("date"))
+    short = F.length(day).between(1, 2) & F.length(month).between(1, 2) & F.length(year).isin(2, 4)
+    fits = short & (F.length(col) == F.length(day) + F.length(month) + F.length(year) + 2)
+    century = F.when(F.length(year) == 4, "").when(year >= "69", "19").otherwise("20")
+    return F.when(fits, F.concat(century, year, F.lit("-"), month, F.lit("-"), day).try_cast("date"))
 
 
 def _by_pattern(col: Column) -> Column:
