@@ -33,7 +33,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = cleaned.where(~F.coalesce(emptied, F.lit(False)))
     new = {"text": F.col("clean"), "n_chars": F.char_length("clean").cast("long")}
     changed = F.size("dropped") > 0
-    return kept.select(*[F.when(changed, new[c]).otherwise(F.col(f"row.{c}")).alias(c) if c in new else F.col(f"row.{c}") for c in docs.columns])
+    return kept.select(*[(F.when(changed, new[c]).otherwise(F.col("row").getField(c)) if c in new else F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recuento.llm.common import text_of
+from recuento.llm.common import text_of, whole_row
 from recuento.llm.graph import components_within
 from recuento.session import materialize
 
@@ -391,7 +391,7 @@ def without_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str =
     decided = decided.groupBy(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).agg(
         F.min("kept").alias("__kept"), F.sum(F.lit(1)).alias("__rows"), F.max("n_shingles").alias("__n")
     )
-    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(doc_id).alias("id"), F.xxhash64(text_of(text)).alias("mark"))
+    rows = docs.select(whole_row(docs).alias("row"), F.col(doc_id).alias("id"), F.xxhash64(text_of(text)).alias("mark"))
     rows = rows.join(decided, F.col("id").eqNullSafe(F.col("__id")) & (F.col("mark") == F.col("__mark"))).where("__kept")
     once = (F.col("__rows") == 1) | (F.col("__n") == 0)
     return rows.where(once).select("row.*").unionByName(rows.where(~once).dropDuplicates(["id", "mark"]).select("row.*"))

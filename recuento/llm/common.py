@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The characters that the byte-level splitting rule counts as white space.
@@ -18,6 +18,11 @@ def text_of(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns of ``df`` as one struct, whatever their names."""
+    return F.struct(*[F.col("`" + name.replace("`", "``") + "`").alias(name) for name in df.columns])
+
+
 def quoted(literal: str) -> str:
     """``literal`` as a pattern that matches just it, in Java and in Python."""
     return "".join(c if c.isalnum() else "\\" + c for c in literal)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recuento.llm.bit_table import maybe_in
-from recuento.llm.common import text_of
+from recuento.llm.common import text_of, whole_row
 from recuento.llm.graph import components_within
 from recuento.session import materialize
 
@@ -209,7 +209,7 @@ def drop_repeated_lines(
     drops = dropped_lines(docs, doc_id, text, edits, least_chars, longer)
     drops = drops.select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), "dropped")
     rows = docs.select(
-        F.struct(*[F.col(c) for c in docs.columns]).alias("row"),
+        whole_row(docs).alias("row"),
         F.col(doc_id).alias("id"),
         F.col(text).cast("string").alias("text"),
         F.xxhash64(text_of(text)).alias("mark"),

@@ -18,8 +18,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
-from recuento.llm.common import text_of
+from recuento.llm.common import text_of, whole_row
 from recuento.operators.ranking import number_rows
 from recuento.session import materialize
 
@@ -80,7 +81,9 @@ def _copies(docs: DataFrame, doc_id: str, text: str, source: str, seed: str, kee
         F.col(source).cast("string").alias("source"),
         word_count(text_of(text)).alias("size"),
         keep.alias("__keep"),
-    ).withColumn("__group", F.floor(F.col("doc_id") / GROUP_IDS))
+    )
+    numbered = isinstance(rows.schema["doc_id"].dataType, NumericType)
+    rows = rows.withColumn("__group", F.floor(F.col("doc_id") / GROUP_IDS) if numbered else F.shiftrightunsigned(F.xxhash64("doc_id"), 52))
     key = ["source", "size", "__group"]
     groups = materialize(rows.groupBy(*key).agg(F.count("*").alias("n")), "sizes")
     sources = source_targets(groups, **targets)
@@ -120,7 +123,8 @@ def mix_plan(
     ``copies`` how often the mix holds the document (at most the limit) and
     ``taken`` the words it takes. Reruns agree: the offset comes from ``seed``
     and the source's name. A NULL source is a source, NULL and empty texts have
-    size 0 and take nothing; a NULL ``doc_id`` comes last among equal sizes.
+    size 0 and take nothing; a NULL ``doc_id`` comes last among equal sizes. Ids
+    may be numbers or texts; texts are ordered by hash.
     Repeated rows are rows of their own. Other columns are not looked at.
     """
     placed = _copies(docs, doc_id, text, source, seed, F.lit(None).cast("string"), **targets)
@@ -130,7 +134,7 @@ def mix_plan(
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: str = SEED, **targets) -> DataFrame:
     """The mix itself: the rows and columns of ``docs``, each row as often as ``mix_plan`` has copies of it."""
-    placed = _copies(docs, doc_id, text, source, seed, F.struct(*[F.col(c) for c in docs.columns]), **targets)
+    placed = _copies(docs, doc_id, text, source, seed, whole_row(docs), **targets)
     emitted = placed.where("copies > 0").select("__keep", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("__copy"))
     return emitted.select("__keep.*")
 
