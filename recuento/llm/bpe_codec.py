@@ -2,9 +2,10 @@
 
 Tasks split their texts into words and keep a table of the distinct ones: each
 is encoded once, and the words of a text take their identifiers back by
-position. Decoding joins identifiers with the table of pieces. The table is kept
-per task and bounded: one table for the whole corpus means moving every word of
-every block of documents there and back, over four times the input.
+position. The table is kept per task and bounded: one table for the whole corpus
+means moving every word of every block of documents there and back, over four
+times the input. ``encode_decode`` decodes in the same task through the list of
+pieces; ``decode`` joins rows that hold only identifiers with the table of pieces.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recuento.llm.byte_level import ByteLevel, chunker, is_space, load
+from recuento.llm.byte_level import ByteLevel, byte_alphabet, chunker, is_plain, load, plain_parts
 from recuento.llm.common import text_of
 
 TABLE_WORDS = 400_000
@@ -31,19 +32,33 @@ LONG_WORD = 200
 """Longer words are encoded where they occur and not kept."""
 
 
-JOINED_WORDS = 2000
-"""So many new words are encoded in one call, a line each."""
+def merge_order(file: ByteLevel) -> dict[bytes, int] | None:
+    """The pieces in the order in which merges make them, single bytes first, if that order alone decides every encoding.
+
+    A merge by pieces joins two neighbours whenever their bytes are a piece, the
+    file's only if the pair is listed. Both agree if each pair makes another
+    piece and the bytes of each piece, merged alone, become that piece: then no
+    other pair with these bytes is ever left. Otherwise None.
+    """
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_str(file.source).model
+    alphabet = byte_alphabet()
+    names = [*alphabet, *(left + right for left, right in sorted(file.ranks, key=file.ranks.__getitem__))]
+    whole = all([token.value for token in model.tokenize(name)] == [name] for name in names)
+    order = {bytes(map(alphabet.__getitem__, name)): place for place, name in enumerate(names)}
+    return order if whole and len(order) == len(names) else None
 
 
 class WordTable:
     """Distinct words and their identifiers, as little-endian 32-bit numbers.
 
-    New words are encoded as the lines of one text, which costs far less than a
-    call for each: a line break is always a token of its own between two words,
-    and no word holds one. White space is encoded run by run.
+    ``order`` comes from ``merge_order``. With it, words of plain characters are
+    cut into parts here and merged part by part; all other words, and all words
+    of a file without such an order, take the library's call.
     """
 
-    def __init__(self, file: ByteLevel) -> None:
+    def __init__(self, file: ByteLevel, order: dict[bytes, int] | None) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task is one core
         from tokenizers import Tokenizer
 
@@ -52,23 +67,28 @@ class WordTable:
         self.tokenizer.no_padding()
         self.split = chunker(file.added)
         self.added = {word: self._alone(word) for word in file.added}
-        self.line_break = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
         self.ids: dict[str, bytes] = dict(self.added)
+        self.merge = None
+        if order:
+            import tiktoken
+
+            number = {piece: i for i, piece in file.pieces.items()}
+            self.numbers = np.array([number[piece] for piece in order], "<u4")
+            self.merge = tiktoken.Encoding("parts", pat_str="(?s:.+)", mergeable_ranks=order, special_tokens={}).encode_ordinary
 
     def _alone(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, new: set[str]) -> None:
-        words = [word for word in new if not is_space(word)]
-        self.ids.update((word, self._alone(word)) for word in new if is_space(word))
-        groups = [words[at : at + JOINED_WORDS] for at in range(0, len(words), JOINED_WORDS)]
-        found = self.tokenizer.encode_batch_fast(["\n".join(group) for group in groups], add_special_tokens=False)
-        for group, encoding in zip(groups, found):
-            ids = np.array(encoding.ids, "<u4")
-            ends = [*(np.flatnonzero(ids == self.line_break) * 4).tolist(), len(ids) * 4]
-            coded = ids.tobytes()
-            starts = [0, *[end + 4 for end in ends[:-1]]]
-            self.ids.update(zip(group, [coded[i:j] for i, j in zip(starts, ends)], strict=True))
+        plain = [word for word in new if self.merge and is_plain(word)]
+        self.ids.update((word, self._alone(word)) for word in new.difference(plain))
+        merge, places, ends = self.merge, [], [0]
+        for word in plain:
+            for part in plain_parts(word):
+                places += merge(part)
+            ends.append(len(places) * 4)
+        coded = self.numbers[places].tobytes() if plain else b""
+        self.ids.update(zip(plain, [coded[i:j] for i, j in zip(ends, ends[1:])], strict=True))
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The identifiers of each text in turn."""
@@ -97,11 +117,13 @@ def piece_list(file: ByteLevel) -> list[bytes]:
 def _coded(
     docs: DataFrame, path: str, doc_id: str, text: str, columns: Callable[[Iterable[tuple[np.ndarray, str]]], dict], out: str
 ) -> DataFrame:
-    spec = docs.sparkSession.sparkContext.broadcast(load(path))
+    file = load(path)
+    spec = docs.sparkSession.sparkContext.broadcast((file, merge_order(file)))
 
     @F.pandas_udf(f"struct<{out}>")
     def coded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        table, pieces = WordTable(spec.value), piece_list(spec.value)
+        file, order = spec.value
+        table, pieces = WordTable(file, order), piece_list(file)
         for batch in batches:
             for start in range(0, len(batch), SLICE_TEXTS):
                 encoded = table.encode(batch.iloc[start : start + SLICE_TEXTS].tolist())

@@ -55,12 +55,17 @@ def load(path: str) -> ByteLevel:
     return ByteLevel(source, pieces, ranks, tuple(t["content"] for t in spec["added_tokens"]))
 
 
-_SPACE_CHARACTERS = frozenset(filter(re.compile(f"[{SPACES}]").match, map(chr, range(0x3001))))
+#: Characters whose class (letter, digit, other) no version of Unicode changes.
+_LETTERS = "A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\u024f"
+_PLAIN = re.compile(f"[ -~{_LETTERS}]+").fullmatch
 
+#: The parts of a plain chunk within which symbols are merged.
+plain_parts = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTERS}]+| ?[0-9]+| ?[^ 0-9{_LETTERS}]+| +").findall
 
-def is_space(chunk: str) -> bool:
-    """Whether a chunk is a run of white space; other chunks end with another character."""
-    return chunk[-1] in _SPACE_CHARACTERS
+
+def is_plain(chunk: str) -> bool:
+    """Whether ``plain_parts`` cuts a chunk as the library does: plain characters with one space before them at most."""
+    return _PLAIN(chunk) is not None and not chunk.startswith("  ")
 
 
 def chunker(added: tuple[str, ...]):

@@ -3,24 +3,18 @@
 from __future__ import annotations
 
 import heapq
-import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recuento.llm.byte_level import chunker, load
+from recuento.llm.byte_level import chunker, is_plain, load, plain_parts
 from recuento.llm.common import text_of
 
 MEMO_WORDS = 1_000_000
 """Counts of so many words are kept by a worker; a full memo is emptied. Results don't depend on it."""
 
-#: Characters whose class (letter, digit, other) no version of Unicode changes.
-_LETTERS = "A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\u024f"
-_PLAIN = re.compile(f"[ -~{_LETTERS}]+").fullmatch
-_PARTS = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTERS}]+| ?[0-9]+| ?[^ 0-9{_LETTERS}]+| +").findall
-
 
 def merged_length(symbols: list[str], ranks: dict[tuple[str, str], int]) -> int:
     """How many symbols are left when no adjacent pair has a rank.
@@ -81,9 +75,9 @@ class WordCounts(dict):
             self.update((word, 1) for word in self.added)
         if len(self.parts) >= MEMO_WORDS:
             self.parts.clear()
-        if _PLAIN(chunk) and not chunk.startswith("  "):
+        if is_plain(chunk):
             total = 0
-            for part in _PARTS(chunk):
+            for part in plain_parts(chunk):
                 n = self.parts.get(part)
                 if n is None:
                     shown = self.alphabet

@@ -1,3 +1,4 @@
+import json
 import hashlib
 
 import numpy as np
@@ -6,7 +7,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from recuento.llm import bpe_codec
-from recuento.llm.byte_level import chunker, load
+from recuento.llm.byte_level import ByteLevel, byte_alphabet, chunker, load
 from recuento.llm.token_counts import count_tokens, merged_length
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -77,7 +78,8 @@ def test_decode_by_join(spark, library):
 def test_a_full_table_of_words_changes_nothing(library, monkeypatch):
     monkeypatch.setattr(bpe_codec, "TABLE_WORDS", 2)
     monkeypatch.setattr(bpe_codec, "SLICE_TEXTS", 1)
-    table = bpe_codec.WordTable(load(PATH))
+    file = load(PATH)
+    table = bpe_codec.WordTable(file, bpe_codec.merge_order(file))
     texts = [t or "" for t in TEXTS] * 2
     assert [list(ids) for ids in table.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
@@ -102,3 +104,22 @@ def test_empty_tables(docs):
 def test_other_kinds_of_files_are_refused():
     with pytest.raises(ValueError):
         load(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def test_order_of_merges_decides_only_where_every_piece_is_reached():
+    file = load(PATH)
+    order = bpe_codec.merge_order(file)
+    assert order is not None and len(order) == len(file.pieces) - len(file.added)
+    # "b c" is made before "a b", so no text is ever left with "ab" beside "c"
+    source = json.loads(file.source)
+    letters = {c: i for i, c in enumerate(byte_alphabet())}
+    size = len(letters)
+    source["model"]["vocab"] = letters | {"bc": size, "ab": size + 1, "abc": size + 2}
+    source["model"]["merges"] = [["b", "c"], ["a", "b"], ["ab", "c"]]
+    source["added_tokens"] = []
+    pieces = {i: bytes([b]) for b, i in zip(byte_alphabet().values(), range(size))} | {size: b"bc", size + 1: b"ab", size + 2: b"abc"}
+    ranks = {("b", "c"): 0, ("a", "b"): 1, ("ab", "c"): 2}
+    other = ByteLevel(json.dumps(source), pieces, ranks, ())
+    assert bpe_codec.merge_order(other) is None
+    table = bpe_codec.WordTable(other, None)
+    assert [ids.tolist() for ids in table.encode(["abc", "ab", ""])] == [[letters["a"], size], [size + 1], []]
