@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recuento.session import materialize
@@ -41,6 +41,7 @@ def components_within(
     buckets: DataFrame,
     test: Callable[[DataFrame], DataFrame],
     test_crowd: Callable[[DataFrame], DataFrame] | None = None,
+    hints: tuple[DataFrame, Callable[[Column, Column], Column]] | None = None,
 ) -> DataFrame | None:
     """Components of the links between nodes that share a bucket; None where there is no link.
 
@@ -50,13 +51,18 @@ def components_within(
     gets the members ``bucket, node, component`` of buckets with very many pairs
     left and returns links ``a, b, linked`` that join all it can join, without
     making the pairs; without it they are compared pair by pair like the others.
+    ``hints`` are a table of node and a small description, and a condition on two
+    descriptions that holds for all linked nodes: pair by pair, the join makes
+    only those that meet it.
 
     Members of a bucket are first compared with one anchor, round after round
     with another, which costs as much as the buckets are large; pairs that are
     in one component by then need no test. When a round leaves over half of the
     pairs, or little is left, the rest between components is compared pair by
-    pair. So no link between components is lost, and a bucket of copies never
-    makes all its pairs.
+    pair. So no link between components is lost, and a bucket of copies, which
+    are one component by then, never makes all its pairs. A bucket of many nodes
+    that are not linked is compared pair by pair; ``test_crowd`` or ``hints``
+    keep its pairs from becoming rows.
     """
     tested, found, before, turn = None, None, float("inf"), 0
     while True:
@@ -84,8 +90,15 @@ def components_within(
             if test_crowd:
                 crowded = materialize(test_crowd(members.where("crowd").select("bucket", "node", "component")), "crowded")
                 members = members.where("not crowd")
-            other = members.select(*[F.col(c).alias(f"{c}2") for c in ("bucket", "node", "anchor", "component")])
+            columns = ["bucket", "node", "anchor", "component"]
+            if hints:
+                described = hints[0].toDF("described", "hint")
+                members = members.join(described, F.col("node") == F.col("described"))
+                columns.append("hint")
+            other = members.select(*[F.col(c).alias(f"{c}2") for c in columns])
             apart = (F.col("bucket") == F.col("bucket2")) & (F.col("node") < F.col("node2")) & (F.col("component") != F.col("component2"))
+            if hints:
+                apart = apart & hints[1](F.col("hint"), F.col("hint2"))
             pairs = members.join(other, apart & (F.col("anchor") | F.col("anchor2"))).select(F.col("node").alias("a"), F.col("node2").alias("b"))
         else:
             draw = F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), "node", "component")

@@ -6,8 +6,10 @@ under its own segments and looked up under the substrings that can match the
 segments of a line as long or up to ``edits`` shorter; lookups under keys where
 nothing is filed are dropped before they are moved. Longer lines may differ by
 more edits (``LONGER``); the shorter of two lines decides. Lines that meet under a
-key are compared by banded bit-parallel edit distance. Lines linked directly or
-through others make a class; its first line stays.
+key are compared by banded bit-parallel edit distance, unless their characters
+already tell them apart: where very many lines share a key, counts of characters
+are compared in the join, so it makes few pairs of lines that are not near. Lines
+linked directly or through others make a class; its first line stays.
 
 Everything is built-in expressions. Keys and lines travel as hashes; texts are
 moved only for lines that met another one.
@@ -35,6 +37,23 @@ FILED_WORDS = 1 << 19
 LEAST_CHARS = 20
 """Shorter lines are compared for equality only: a few edits can turn any of them into any other."""
 
+CLASSES = (*"etaoinshrdlucmfgwypb", "kvjxqz")
+"""Characters that are counted together before an edit distance is worked out; any choice gives the same result."""
+
+
+def traits(line: str) -> Column:
+    """The length of a string column, and how many characters of each class it has."""
+    counts = [f"char_length(translate({line}, '{chars}', ''))" for chars in CLASSES]
+    fields = ", ".join(f"'c{i}', char_length({line}) - {count}" for i, count in enumerate(counts))
+    return F.expr(f"named_struct('n', char_length({line}), {fields})")
+
+
+def near_traits(a: Column, b: Column, allowed: Column) -> Column:
+    """Holds for the traits of all lines within ``allowed`` edits: an edit adds one character to a class and takes one from another at most."""
+    apart = sum((F.abs(a[f"c{i}"] - b[f"c{i}"]) for i in range(len(CLASSES))), F.lit(0))
+    return (F.abs(a["n"] - b["n"]) <= allowed) & (apart <= allowed * 2)
+
+
 def lines_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """``id, mark, pos, line, h, h2`` for each line that is not blank; ``mark`` tells texts of one id apart."""
     rows = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text_of(text)).alias("mark"), text_of(text).alias("text"))
@@ -77,15 +96,48 @@ def _allowed(length: Column, steps: list[tuple[int, int]]) -> Column:
     return edits
 
 
-def _keys_by_length(line: Column, steps: list[tuple[int, int]], anchors: bool) -> Column:
-    """The keys under which a line is filed (``anchors``), or looked up: those of a line of the other length take that length's edits."""
-    parts = []
-    for _, edits in steps:
-        for shorter in range(edits + 1):
-            keys = [key for key, anchor in _keys(line, shorter, edits) if anchor == anchors]
-            if keys:
-                parts.append(F.when(_allowed(F.char_length(line) - shorter, steps) == edits, F.array(*keys)))
-    return F.flatten(F.array_compact(F.array(*parts)))
+def _places(length: int, steps: list[tuple[int, int]], anchors: bool) -> list[tuple[int, int, int, int]]:
+    """``shorter, parts, i, shift`` of each key under which a line of ``length`` is filed (``anchors``) or looked up.
+
+    Keys shared with a line that is ``shorter`` take the edits of that line's length.
+    """
+    places = []
+    for shorter in range(steps[-1][1] + 1):
+        edits = [more for least, more in steps if length - shorter >= least][-1:]
+        for i in range(edits[0] + 1 if edits and shorter <= edits[0] else 0):
+            for shift in range(max(-i, shorter - (edits[0] - i)), min(i, shorter + (edits[0] - i)) + 1):
+                if (shorter == 0 and shift == 0) == anchors:
+                    places.append((shorter, edits[0] + 1, i, shift))
+    return places
+
+
+def keys_of(lines: DataFrame, steps: list[tuple[int, int]], anchors: bool) -> DataFrame:
+    """``h, key``: a row for each key under which the lines ``h, line`` are filed (``anchors``) or looked up.
+
+    The places of the keys are a list by the line's length, and one short
+    expression takes the key at a place: an array of all keys would be one
+    generated method too long for Java to compile.
+    """
+    kind = "array<struct<shorter:int,parts:int,i:int,shift:int>>"
+
+    def listed(length: int) -> Column:
+        rows = [F.struct(*[F.lit(x) for x in place]) for place in _places(length, steps, anchors)]
+        return F.array(*rows).cast(kind)
+
+    n, borders = F.col("n"), sorted({least + shorter for least, _ in steps for shorter in range(steps[-1][1] + 1)})
+    places = listed(borders[0])
+    for length in borders[1:]:
+        places = F.when(n >= length, listed(length)).otherwise(places)
+    # four bytes a character: a part is cut out without a walk over the line
+    rows = lines.select("h", F.encode("line", "UTF-32").alias("code"))
+    rows = rows.select("h", "code", F.expr("cast(octet_length(code) div 4 as int)").alias("n"))
+    rows = rows.select("h", "code", "n", F.explode(places).alias("p"))
+    rows = rows.select("h", "code", (n - F.col("p.shorter")).alias("other"), "p.parts", "p.i", "p.shift")
+    size, plain = F.expr("cast(other div parts as int)"), F.expr("parts - other % parts")
+    start = size * F.col("i") + F.greatest(F.lit(0), F.col("i") - plain) + 1 + F.col("shift")
+    part = F.substring("code", start * 4 - 3, (size + (F.col("i") >= plain).cast("int")) * 4)
+    # an array of one: a filter on the key stays above it and does not compute the key again
+    return rows.select("h", F.explode(F.array(F.xxhash64("other", "i", part))).alias("key"))
 
 
 def edit_distance(a: str, b: str, most: int) -> Column:
@@ -134,6 +186,21 @@ def _without_common_ends(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.select(*others, F.expr(cut).alias("cut")).select(*others, F.col("cut.a").alias(a), F.col("cut.b").alias(b))
 
 
+def _maybe_near(a: str, b: str, allowed: str, most: int) -> Column:
+    """A quick test that holds for all strings within ``allowed`` edits, at most ``most``, and for few others.
+
+    Of ``2 * most + 1`` parts of ``a`` an edit changes one at most, and the
+    others are in ``b``, moved by no more than the edits.
+    """
+    parts, found = 2 * most + 1, []
+    for i in range(parts):
+        begin = f"cast(char_length({a}) * {i} div {parts} as int)"
+        size = f"cast(char_length({a}) * {i + 1} div {parts} as int) - {begin}"
+        near = f"substring({b}, greatest({begin} + 1 - {most}, 1), {size} + {2 * most})"
+        found.append(f"if(instr({near}, substring({a}, {begin} + 1, {size})) > 0, 1, 0)")
+    return F.expr(f"{' + '.join(found)} >= {parts} - {allowed}")
+
+
 def dropped_lines(
     docs: DataFrame,
     doc_id: str = "doc_id",
@@ -153,9 +220,8 @@ def dropped_lines(
     places = materialize(lines.select("id", "mark", "pos", "h", "h2"), "lines")
     long = lines.where(F.char_length("line") >= least_chars)
     steps = [(0, edits), *[(least, more) for least, more in sorted(longer) if more > edits]]
-    filed = long.select("h", F.explode(_keys_by_length(F.col("line"), steps, True)).alias("key"))
-    filed = materialize(filed.withColumn("anchor", F.lit(True)), "filed")
-    asked = long.select("h", F.explode(_keys_by_length(F.col("line"), steps, False)).alias("key"))
+    filed = materialize(keys_of(long, steps, True).withColumn("anchor", F.lit(True)), "filed")
+    asked = keys_of(long, steps, False)
     asked = asked.where(maybe_in(filed, "key", FILED_WORDS)(F.col("key"))).withColumn("anchor", F.lit(False))
     keyed = filed.unionByName(materialize(asked, "asked"))
     met = keyed.groupBy("key").agg(F.min("h").alias("x"), F.max("h").alias("y"), F.max("anchor").alias("z"))
@@ -164,17 +230,25 @@ def dropped_lines(
     buckets = buckets.join(met.withColumnRenamed("key", "bucket"), F.col("key") == F.col("bucket"))
     buckets = materialize(buckets.select("bucket", F.col("h").alias("node"), "anchor"), "buckets")
     here = maybe_in(buckets.select("node"), "node")
-    texts = materialize(long.where(here(F.col("h"))).groupBy("h").agg(F.min("line").alias("line")), "texts")
+    texts = long.where(here(F.col("h"))).groupBy("h").agg(F.min("line").alias("line"))
+    texts = materialize(texts.withColumn("traits", traits("line")), "texts")
+
+    def allowed_between(a: Column, b: Column) -> Column:
+        return _allowed(F.least(a["n"], b["n"]), steps)
+
+    def maybe(a: Column, b: Column) -> Column:
+        return near_traits(a, b, allowed_between(a, b))
 
     def test(pairs: DataFrame) -> DataFrame:
         for side in ("a", "b"):
-            own = texts.select(F.col("h").alias(f"h{side}"), F.col("line").alias(f"t{side}"))
+            own = texts.select(F.col("h").alias(f"h{side}"), F.col("line").alias(f"t{side}"), F.col("traits").alias(f"r{side}"))
             pairs = pairs.join(own, F.col(side) == F.col(f"h{side}"))
-        allowed = _allowed(F.least(F.char_length("ta"), F.char_length("tb")), steps)
+        allowed = F.when(maybe(F.col("ra"), F.col("rb")), allowed_between(F.col("ra"), F.col("rb"))).otherwise(-1)
         short = _without_common_ends(pairs.select("a", "b", "ta", "tb", allowed.alias("allowed")), "ta", "tb")
-        return short.select("a", "b", (edit_distance("ta", "tb", steps[-1][1]) <= F.col("allowed")).alias("linked"))
+        near = F.when((F.col("allowed") >= 0) & _maybe_near("ta", "tb", "allowed", steps[-1][1]), edit_distance("ta", "tb", steps[-1][1]) <= F.col("allowed"))
+        return short.select("a", "b", near.otherwise(False).alias("linked"))
 
-    found = components_within(buckets, test)
+    found = components_within(buckets, test, hints=(texts.select("h", "traits"), maybe))
     place = F.struct("id", "mark", "pos")
     exact = places.groupBy("h", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     if found is None:

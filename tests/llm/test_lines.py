@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import plain
 from recuento.llm import line_dedup
-from recuento.llm.line_dedup import _without_common_ends, drop_repeated_lines, dropped_lines, edit_distance, segment_keys
+from recuento.llm.line_dedup import _maybe_near, _without_common_ends, drop_repeated_lines, dropped_lines, edit_distance, keys_of, near_traits, segment_keys, traits
 
 
 def varied(rng, line, most):
@@ -101,3 +101,37 @@ def test_no_python_in_the_plan(spark, texts):
 
 def test_parameters():
     assert line_dedup.EDITS >= 1
+
+
+@pytest.mark.parametrize("most", [1, 2, 4])
+def test_the_quick_tests_pass_all_pairs_within_the_edits(pairs, most):
+    by_traits = near_traits(F.col("ra"), F.col("rb"), F.lit(most))
+    both = pairs.withColumns({"ra": traits("a"), "rb": traits("b"), "allowed": F.lit(most)})
+    near = both.where(F.levenshtein("a", "b") <= most)
+    assert near.where(~_maybe_near("a", "b", "allowed", most)).count() == 0
+    assert near.where(~by_traits).count() == 0
+    far = both.where("char_length(a) > 20").withColumn("b", F.reverse("a"))
+    assert far.where(_maybe_near("a", "b", "allowed", most)).count() < far.count() / 10
+
+
+def test_many_lines_under_one_key(spark):
+    # 60 lines share their first half and differ by a word, a few of them by less than the edits
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghilmnoprstu") for _ in range(9))
+    lines = ["the passage that all of these lines begin with " + word() + " goes on until here" for _ in range(60)]
+    lines += [varied(rng, line, 2) for line in lines[:6]]
+    rows = list(enumerate(lines))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.id: set(r.dropped) for r in dropped_lines(df).collect()} == plain.dropped_lines(rows)
+
+
+def test_as_many_keys_by_length_as_by_segments(spark):
+    lines = [(i, "é日" * (n // 2) + "".join(map(str, range(n)))[: n - n // 2 * 2]) for i, n in enumerate((20, 49, 99, 130))]
+    df = spark.createDataFrame(lines, "h long, line string")
+    for edits in (1, 2, 4):
+        for anchors in (True, False):
+            found = keys_of(df, [(0, edits)], anchors).groupBy("h").agg(F.sort_array(F.collect_list("key")).alias("k"))
+            keys = df.select("h", F.explode(segment_keys(F.col("line"), edits)).alias("k"))
+            plain_way = keys.where("k.anchor" if anchors else "not k.anchor").groupBy("h").agg(F.count("*").alias("n"))
+            counts = {r.h: r.n for r in plain_way.collect()}
+            assert {r.h: len(r.k) for r in found.collect()} == counts
