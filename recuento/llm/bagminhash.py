@@ -20,11 +20,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recuento.llm.common import text_of, whole_row
 from recuento.llm.graph import components_within
+from recuento.operators.ranking import number_rows
 from recuento.session import materialize
 
 WORDS = 5
@@ -309,18 +310,24 @@ def _linking(rows: pd.DataFrame, k: int, similarity: float) -> list[tuple[bytes,
 def _crowd_links(members: DataFrame, nodes: DataFrame, docs: DataFrame, doc_id: str, text: str, k: int, similarity: float) -> DataFrame:
     """``a, b, linked`` that join what can be joined within each bucket of ``bucket, node, component``.
 
-    A bucket is cut into blocks, members of a component next to each other, and
-    each pair of blocks is one call that returns fewer links than it has rows.
+    Members are numbered over all buckets, those of a bucket and in it of a
+    component next to each other, and cut into blocks by their numbers: no task
+    holds a bucket. Each pair of blocks of a bucket that may have links is one
+    call that returns fewer links than it has rows.
     """
-    place = F.row_number().over(Window.partitionBy("bucket").orderBy("component", "node"))
-    rows = members.withColumn("own", F.floor((place - 1) / CROWD_BLOCK).cast("int"))
-    rows = rows.withColumn("last", F.max("own").over(Window.partitionBy("bucket")))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
-    rows = rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-    parts = rows.groupBy(F.col("bucket").alias("b"), F.col("i").alias("bi"), F.col("j").alias("bj")).agg(
-        F.min("component").alias("low"), F.max("component").alias("high")
-    )
-    rows = rows.join(parts.where("low <> high"), (F.col("bucket") == F.col("b")) & (F.col("i") == F.col("bi")) & (F.col("j") == F.col("bj")))
+    numbered, _ = number_rows(members, [F.col("bucket"), F.col("component"), F.col("node")], "place")
+    rows = numbered.withColumn("own", F.floor((F.col("place") - 1) / CROWD_BLOCK).cast("long"))
+    blocks = rows.groupBy("bucket", "own").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    blocks = materialize(blocks, "blocks")
+    last = blocks.groupBy(F.col("bucket").alias("b")).agg(F.max("own").alias("last"))
+    others = blocks.toDF("b", "j", "low2", "high2")
+    met = blocks.join(last, F.col("bucket") == F.col("b")).drop("b").withColumnRenamed("own", "i")
+    met = met.withColumn("to", F.explode(F.sequence("i", "last")))
+    met = met.join(others, (F.col("bucket") == F.col("b")) & (F.col("to") == F.col("j")))
+    met = met.where(F.least("low", "low2") < F.greatest("high", "high2"))
+    sides = F.when(F.col("i") == F.col("j"), F.array("i")).otherwise(F.array("i", "j"))
+    met = met.select("b", "i", "j", F.explode(sides).alias("side"))
+    rows = rows.join(met, (F.col("bucket") == F.col("b")) & (F.col("own") == F.col("side")))
     texts = _texts(members.select(F.col("node").alias("bag")).distinct(), nodes, docs, doc_id, text)
     rows = rows.join(texts.select("bag", word_hashes(F.col("text")).alias("words")), F.col("node") == F.col("bag"))
 
