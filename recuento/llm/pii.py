@@ -49,6 +49,9 @@ LEAST_SCORE = 0.5
 
 ROUNDS = 3
 
+FOLDED = 64
+"""Matches that are folded at a time; any number gives the same result."""
+
 _SPAN = "array<struct<start:int,end:int,value:string,gap:string>>"
 
 
@@ -71,16 +74,28 @@ def _valid(kind: str, value: str) -> str:
 
 
 def matches(text: str, pattern: str, valid: str = "true") -> Column:
-    """Start, end and value of the matches of ``pattern`` that are ``valid`` (SQL on ``m.value``), and the end of the text before each."""
+    """Start, end and value of the matches of ``pattern`` that are ``valid`` (SQL on ``m.value``), and the end of the text before each.
+
+    Spark copies what a fold has gathered at each of its steps. So matches are
+    folded a few at a time, from the place and the text where the ones before
+    end, and a text of many matches costs in proportion to them.
+    """
     literal = "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
     found = f"concat(regexp_extract_all({text}, {literal}, 0), array(''))"
     pairs = f"zip_with(split({text}, {literal}, -1), {found}, (gap, value) -> named_struct('gap', gap, 'value', value))"
+    few = f"transform(sequence(0, (size(ms) - 1) div {FOLDED}), at -> slice(ms, cast(at as int) * {FOLDED} + 1, {FOLDED}))"
+    few = f"element_at(transform(array({pairs}), ms -> {few}), 1)"
+    size = "aggregate(fs, 0, (n, m) -> n + char_length(m.gap) + char_length(m.value))"
+    end = "aggregate(fs, s.tail, (t, m) -> right(concat(t, m.gap, m.value), 120))"
+    before = f"""aggregate(fss, named_struct('at', 0, 'tail', '', 'out', cast(array() as array<struct<at:int,tail:string>>)),
+        (s, fs) -> named_struct('at', s.at + {size}, 'tail', {end}, 'out', concat(s.out, array(named_struct('at', s.at, 'tail', s.tail)))), s -> s.out)"""
     start = "s.at + char_length(m.gap)"
     span = f"named_struct('start', {start}, 'end', {start} + char_length(m.value), 'value', m.value, 'gap', right(concat(s.tail, m.gap), 120))"
     step = f"""named_struct('at', {start} + char_length(m.value),
         'tail', right(concat(s.tail, m.gap, m.value), 120),
         'out', if(m.value <> '' and {valid}, concat(s.out, array({span})), s.out))"""
-    return F.expr(f"aggregate({pairs}, named_struct('at', 0, 'tail', '', 'out', cast(array() as {_SPAN})), (s, m) -> {step}, s -> s.out)")
+    fold = f"aggregate(fs, named_struct('at', b.at, 'tail', b.tail, 'out', cast(array() as {_SPAN})), (s, m) -> {step}, s -> s.out)"
+    return F.expr(f"flatten(element_at(transform(array({few}), fss -> zip_with(fss, {before}, (fs, b) -> {fold})), 1))")
 
 
 def _context(gap: Column) -> Column:

@@ -1,6 +1,8 @@
 import random
+import re
 
 import plain
+from recuento.llm import pii
 from recuento.llm.pii import find_personal_data, listed
 
 
@@ -43,6 +45,18 @@ def test_contexts_find_identifiers_in_groups(spark):
         assert [(s.kind, dict(rows)[i][s.start : s.end]) for s in found[i].spans] == [("phone", value)]
 
 
+def test_places_and_contexts_of_many_matches(spark):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["é", "the", "at", f"n{i}", "(x5)", "\U0001f600 7"]) for i in range(n)) for n in (0, 60, 63, 64, 65, 127, 128, 129, 1000)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
+    pattern = "[0-9]+"
+    found = docs.select("id", pii.matches("text", pattern, "char_length(m.value) <> 2").alias("m")).collect()
+    for row in found:
+        text = texts[row.id]
+        wanted = [(m.start(), m.end(), m[0], text[max(0, m.start() - 120) : m.start()]) for m in re.finditer(pattern, text) if len(m[0]) != 2]
+        assert [tuple(m) for m in row.m] == wanted
+
+
 def test_repeated_rows_null_ids_and_empty_tables(spark):
     docs = spark.createDataFrame([(None, "a@b.cc 1.2.3.4"), (1, "x"), (1, "x"), (1, None)], "doc_id long, text string")
     rows = find_personal_data(docs)
