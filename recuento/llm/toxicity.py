@@ -30,10 +30,10 @@ FIT_CHARS = 20_000
 """Longer documents are not fitted on; they are scored whole like all others."""
 
 FIT_SEQUENCES = 3000
-"""At most so many token sequences with, and so many without, toxic tokens are fitted on."""
+"""At most so many token sequences with, and so many without, toxic tokens are fitted on, the first in the order of a hash of the documents' ids."""
 
 SEQUENCE = 128
-"""Tokens of one sequence; a text is tagged as consecutive sequences, the last one shorter."""
+"""Tokens that are fitted on as one sequence, or worked on at a time; the tags of a text do not depend on it."""
 
 EVIDENCE = 18.0
 """Least likelihood-ratio statistic of a feature that marks tokens as toxic."""
@@ -61,16 +61,18 @@ class Field:
     document: tuple[float, float, float]
 
 
-def marginal_odds(odds: np.ndarray, valid: np.ndarray, start: float, moves) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def marginal_odds(odds: np.ndarray, valid: np.ndarray, start, moves, leave=1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Forward, backward and posterior odds of the toxic state.
 
     ``odds`` has e to the token's score, one column for a sequence and one row
-    for a place; ``valid`` is false beyond a sequence's end.
+    for a place; ``valid`` is false beyond a sequence's end. ``start`` is the
+    score of beginning toxic and ``leave`` the backward odds of the last row, one
+    for all sequences or one for each.
     """
     (t00, t01), (t10, t11) = np.exp(np.asarray(moves))
     steps, lanes = odds.shape
     forward, backward = np.empty((steps, lanes)), np.ones((steps, lanes))
-    forward[0] = odds[0] * math.exp(start)
+    forward[0], backward[-1] = odds[0] * np.exp(start), leave
     for t in range(1, steps):
         before = forward[t - 1]
         forward[t] = odds[t] * (t01 + before * t11) / (t00 + before * t10)
@@ -98,6 +100,41 @@ def _spread(values: np.ndarray, lengths: np.ndarray, fill: float) -> tuple[np.nd
     return flat.reshape(-1, SEQUENCE).T, place, valid.reshape(-1, SEQUENCE).T
 
 
+def _chained(odds: np.ndarray, valid: np.ndarray, first: np.ndarray, start: float, moves) -> tuple[np.ndarray, np.ndarray]:
+    """``start`` and ``leave`` of each sequence where texts are several sequences in a row, as if each text were one.
+
+    ``first`` marks a text's first sequence. The steps of a sequence after its
+    first token are one product of 2 by 2 matrices, so the odds before and after
+    it follow from those of its neighbours without going through its tokens.
+    """
+    lanes = len(first)
+    starts, leaves = np.full(lanes, float(start)), np.ones(lanes)
+    more = np.append(~first[1:], False)
+    chained = np.flatnonzero(more | ~first)
+    if not len(chained):
+        return starts, leaves
+    (t00, t01), (t10, t11) = np.exp(np.asarray(moves)).tolist()
+    own, here = odds[:, chained], valid[:, chained]
+    p = np.repeat(np.eye(2).reshape(4, 1), len(chained), axis=1)
+    for t in range(1, len(own)):
+        moved = np.stack([p[0] * t00 + p[1] * t10, (p[0] * t01 + p[1] * t11) * own[t], p[2] * t00 + p[3] * t10, (p[2] * t01 + p[3] * t11) * own[t]])
+        p = np.where(here[t], moved / moved.max(axis=0), p)
+    heads, steps = own[0].tolist(), list(zip(chained.tolist(), *p.tolist()))
+    reach = 0.0
+    for (lane, p00, p01, p10, p11), head in zip(steps, heads):
+        x = head * (math.exp(start) if first[lane] else reach)
+        if not first[lane]:
+            starts[lane] = math.log(reach)
+        off, on = p00 + x * p10, p01 + x * p11
+        reach = (off * t01 + on * t11) / (off * t00 + on * t10)
+    ahead = 0.0
+    for (lane, p00, p01, p10, p11), head in zip(reversed(steps), reversed(heads)):
+        off, on = (t00 + t01 * ahead, t10 + t11 * ahead) if more[lane] else (1.0, 1.0)
+        leaves[lane] = on / off
+        ahead = head * (p10 * off + p11 * on) / (p00 * off + p01 * on)
+    return starts, leaves
+
+
 class WordScores(dict):
     """The score of a word, e to the power of it, worked out on first use."""
 
@@ -114,7 +151,7 @@ class WordScores(dict):
 
 
 def tag(texts: list[str], field: Field, words: WordScores) -> Iterator[np.ndarray]:
-    """Each text's probabilities of being toxic, token by token, as odds."""
+    """Each text's probabilities of being toxic, token by token, as odds; a text is one chain, however long."""
     held: list[np.ndarray] = []
     size = 0
 
@@ -124,7 +161,10 @@ def tag(texts: list[str], field: Field, words: WordScores) -> Iterator[np.ndarra
             yield from held
             return
         rows, place, valid = _spread(np.concatenate(held), lengths, 0.0)
-        posterior = marginal_odds(rows, valid, field.start, field.moves)[2].T.reshape(-1)[place]
+        first = np.zeros(rows.shape[1], bool)
+        first[_lanes(lengths)[0][lengths > 0]] = True
+        start, leave = _chained(rows, valid, first, field.start, field.moves)
+        posterior = marginal_odds(rows, valid, start, field.moves, leave)[2].T.reshape(-1)[place]
         yield from np.split(posterior, np.cumsum(lengths)[:-1])
 
     for text in texts:
@@ -302,8 +342,8 @@ def learn(
     sample = rows.join(F.broadcast(picked), "__id").where(F.length("__text") <= fit_chars)
     sample = sample.groupBy("__id").agg(F.min("__text").alias("__text"), F.min("__toxic").alias("__toxic"))
     share = known.agg(F.avg("__toxic").alias("share")).first()["share"]
-    found = sample.collect()
-    found.sort(key=lambda r: (r["__id"] is not None, r["__id"]))
+    found = sample.withColumn("__order", order).collect()
+    found.sort(key=lambda r: (r["__order"], r["__id"]))
     return fit_field([r["__text"] for r in found], [r["__toxic"] for r in found], share or 0.0)
 
 

@@ -45,6 +45,20 @@ def test_sequences_of_a_batch_do_not_touch():
     assert all(a == pytest.approx(b) for a, b in zip(together, alone))
 
 
+def test_scores_do_not_depend_on_any_cut():
+    rng = np.random.default_rng(3)
+    names = [f"w{i}" for i in range(30)]
+    for moves in (((0.0, 0.0), (0.0, 0.0)), ((3.0, -3.0), (-4.0, 4.0)), ((-2.0, 5.0), (1.0, -6.0))):
+        field = T.Field({f"={w}": float(rng.normal(0, 4)) for w in names}, -1.5, moves, (0.0, 1.0, 0.0))
+        words = T.WordScores(field.weights)
+        texts = [" ".join(rng.choice(names, n)) for n in (1, 127, 128, 129, 0, 256, 257, 1000, 5, 3000)]
+        for text, found in zip(texts, T.tag(texts, field, words)):
+            odds = np.array([words[w] for w in text.split()])[:, None]
+            if len(odds):
+                whole = T.marginal_odds(odds, np.ones(odds.shape, bool), field.start, moves)[2][:, 0]
+                assert found == pytest.approx(whole, rel=1e-9)
+
+
 def test_held_out_documents(spark):
     rows = corpus(1500)
     docs = spark.createDataFrame([(i, t, "x") for i, t, _ in rows] + [(None, "grotty", "x"), (5000, None, "x"), (5001, "", "x")], "doc_id long, text string, score string")
