@@ -91,16 +91,19 @@ def _copies(docs: DataFrame, doc_id: str, text: str, source: str, seed: str, kee
     start = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce("source", F.lit("")))), 1, 6), 16, 10)
     sources = sources.withColumn("step", F.floor(ratio * ONE).cast("long")).withColumn("start", start.cast("long") % ONE)
 
-    # the places before each group: sizes below within the source, groups below within the size
-    earlier = Window.partitionBy("source", "size").orderBy(F.asc_nulls_last("__group")).rowsBetween(Window.unboundedPreceding, -1)
-    smaller = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
-    by_size = groups.groupBy("source", "size").agg(F.sum("n").alias("n"))
-    by_size = by_size.select(F.col("source").alias("s"), F.col("size").alias("z"), F.coalesce(F.sum("n").over(smaller), F.lit(0)).alias("below"))
-    places = groups.select(*key, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    places = places.join(by_size, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))).drop("s", "z")
-    places = places.select(F.col("source").alias("s"), F.col("size").alias("z"), F.col("__group").alias("g"), (F.col("before") + F.col("below")).alias("before"))
-    sources = sources.withColumnRenamed("source", "s")
-    places = places.join(sources.withColumnRenamed("s", "s2"), F.col("s").eqNullSafe(F.col("s2"))).drop("s2")
+    # the places before each group: running sums inside ranges of all groups, plus the ranges and less the sources before
+    order = [F.asc_nulls_last("source"), F.asc("size"), F.asc_nulls_last("__group")]
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    ranges = groups.repartitionByRange(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order)
+    ranges = materialize(ranges.withColumn("range", F.spark_partition_id()), "ranges")
+    offsets = ranges.groupBy(F.col("range").alias("r")).agg(F.sum("n").alias("n"))
+    offsets = offsets.select("r", F.coalesce(F.sum("n").over(before.orderBy("r")), F.lit(0)).alias("offset"))
+    inside = F.coalesce(F.sum("n").over(before.partitionBy("range").orderBy(*order)), F.lit(0))
+    places = ranges.withColumn("inside", inside).join(offsets, F.col("range") == F.col("r"))
+    earlier = F.coalesce(F.sum("documents").over(before.orderBy(F.asc_nulls_last("source"))), F.lit(0))
+    sources = sources.withColumn("earlier", earlier).withColumnRenamed("source", "s2")
+    places = places.select(F.col("source").alias("s"), F.col("size").alias("z"), F.col("__group").alias("g"), (F.col("offset") + F.col("inside")).alias("before"))
+    places = places.join(sources, F.col("s").eqNullSafe(F.col("s2"))).withColumn("before", F.col("before") - F.col("earlier")).drop("s2")
 
     within = F.row_number().over(Window.partitionBy(*key).orderBy(F.asc_nulls_last("doc_id")))
     placed = rows.withColumn("__within", within).join(

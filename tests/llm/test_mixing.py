@@ -1,6 +1,7 @@
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from recuento.llm.mixing import mix, mix_plan, source_targets, word_count
 
@@ -43,3 +44,16 @@ def test_words_and_empty_table(spark, docs):
     df = spark.createDataFrame([("a b c\td\x0be ",), ("",), (" \n",)], "t string")
     assert [r[0] for r in df.select(word_count(df.t)).collect()] == [4, 0, 0]
     assert mix_plan(docs.limit(0)).count() == 0 and mix(docs.limit(0)).count() == 0
+
+
+def test_documents_of_one_size_with_scattered_ids(spark):
+    rows = [(i * 1_000_003, "w w w", "a" if i % 3 else None) for i in range(3000)] + [(None, "w", "b"), (-5, None, "b"), (7, "", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r.copies for r in mix_plan(docs).collect()}
+    near = mix_plan(docs.withColumn("doc_id", F.floor(F.col("doc_id") / 1_000_003))).collect()
+    assert len(got) == 3003
+    # the order of the ids decides, not the gaps between them
+    assert all(got[r.doc_id * 1_000_003] == r.copies for r in near if r.size == 3)
+    for source_size, ids in ((6000, [i for i in range(3000) if i % 3]), (3000, range(0, 3000, 3))):
+        target = next(r.target for r in near if r.source_size == source_size)
+        assert abs(sum(got[i * 1_000_003] * 3 for i in ids) - target) <= 3
