@@ -41,18 +41,18 @@ def components_within(
     buckets: DataFrame,
     test: Callable[[DataFrame], DataFrame],
     test_crowd: Callable[[DataFrame], DataFrame] | None = None,
-    hints: tuple[DataFrame, Callable[[Column, Column], Column]] | None = None,
+    hints: tuple[DataFrame, Callable[[str, str], Column]] | None = None,
 ) -> DataFrame | None:
     """Components of the links between nodes that share a bucket; None where there is no link.
 
     ``buckets`` is a stored table of distinct ``bucket, node, anchor``; a pair may
     be linked if it shares a bucket in which one of the two is an anchor.
     ``test`` turns distinct pairs ``a < b`` into ``a, b, linked``. ``test_crowd``
-    gets the members ``bucket, node, component`` of buckets with very many pairs
+    gets the members ``bucket, node, anchor, component`` of buckets with very many pairs
     left and returns links ``a, b, linked`` that join all it can join, without
     making the pairs; without it they are compared pair by pair like the others.
     ``hints`` are a table of node and a small description, and a condition on two
-    descriptions that holds for all linked nodes: pair by pair, the join makes
+    columns of descriptions that holds for all linked nodes: pair by pair, the join makes
     only those that meet it.
 
     Members of a bucket are first compared with one anchor, round after round
@@ -61,8 +61,8 @@ def components_within(
     pairs, or little is left, the rest between components is compared pair by
     pair. So no link between components is lost, and a bucket of copies, which
     are one component by then, never makes all its pairs. A bucket of many nodes
-    that are not linked is compared pair by pair; ``test_crowd`` or ``hints``
-    keep its pairs from becoming rows.
+    that are not linked is compared pair by pair; ``test_crowd`` keeps its pairs
+    from becoming rows.
     """
     tested, found, before, turn = None, None, float("inf"), 0
     while True:
@@ -82,13 +82,16 @@ def components_within(
         left = sizes.agg(F.sum("pairs").alias("pairs"), F.sum("n").alias("n")).first()
         if not left["n"]:
             return found
-        crowd = F.col("pairs") > _CROWD * F.col("n")
-        members = members.join(sizes.select("open", crowd.alias("crowd")), F.col("bucket") == F.col("open")).drop("open")
         last = left["pairs"] <= 4 * left["n"] or left["pairs"] > before / 2
         before = left["pairs"]
+        if last or found is not None:
+            # stored, as several joins read them; before any link all buckets are open but those that make no pairs
+            crowd = F.col("pairs") > _CROWD * F.col("n")
+            members = members.join(sizes.select("open", crowd.alias("crowd")), F.col("bucket") == F.col("open"))
+            members = materialize(members.drop("open"), "members")
         if last:
             if test_crowd:
-                crowded = materialize(test_crowd(members.where("crowd").select("bucket", "node", "component")), "crowded")
+                crowded = materialize(test_crowd(members.where("crowd").select("bucket", "node", "anchor", "component")), "crowded")
                 members = members.where("not crowd")
             columns = ["bucket", "node", "anchor", "component"]
             if hints:
@@ -98,7 +101,7 @@ def components_within(
             other = members.select(*[F.col(c).alias(f"{c}2") for c in columns])
             apart = (F.col("bucket") == F.col("bucket2")) & (F.col("node") < F.col("node2")) & (F.col("component") != F.col("component2"))
             if hints:
-                apart = apart & hints[1](F.col("hint"), F.col("hint2"))
+                apart = apart & hints[1]("hint", "hint2")
             pairs = members.join(other, apart & (F.col("anchor") | F.col("anchor2"))).select(F.col("node").alias("a"), F.col("node2").alias("b"))
         else:
             draw = F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), "node", "component")

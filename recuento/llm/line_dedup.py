@@ -7,9 +7,10 @@ segments of a line as long or up to ``edits`` shorter; lookups under keys where
 nothing is filed are dropped before they are moved. Longer lines may differ by
 more edits (``LONGER``); the shorter of two lines decides. Lines that meet under a
 key are compared by banded bit-parallel edit distance, unless their characters
-already tell them apart: where very many lines share a key, counts of characters
-are compared in the join, so it makes few pairs of lines that are not near. Lines
-linked directly or through others make a class; its first line stays.
+already tell them apart. Where very many lines share a key, they are dealt in
+blocks and compared where the blocks meet, so pairs of lines that are not near
+never become rows. Lines linked directly or through others make a class; its
+first line stays.
 
 Everything is built-in expressions. Keys and lines travel as hashes; texts are
 moved only for lines that met another one.
@@ -37,20 +38,22 @@ FILED_WORDS = 1 << 19
 LEAST_CHARS = 20
 """Shorter lines are compared for equality only: a few edits can turn any of them into any other."""
 
-CLASSES = (*"etaoinshrdlucmfgwypb", "kvjxqz")
-"""Characters that are counted together before an edit distance is worked out; any choice gives the same result."""
+COUNTED = "etaoinshrdlucmfgwypbkv"
+"""ASCII characters that are counted before an edit distance is worked out; any choice gives the same result."""
+
+CROWD_BLOCK = 512
+"""Lines under one key that are compared with as many others in one place, where there are very many."""
 
 
 def traits(line: str) -> Column:
-    """The length of a string column, and how many characters of each class it has."""
-    counts = [f"char_length(translate({line}, '{chars}', ''))" for chars in CLASSES]
-    fields = ", ".join(f"'c{i}', char_length({line}) - {count}" for i, count in enumerate(counts))
+    """The length of a string column, and how often it has each of the counted characters."""
+    fields = ", ".join(f"'c{i}', octet_length({line}) - octet_length(replace({line}, '{c}', ''))" for i, c in enumerate(COUNTED))
     return F.expr(f"named_struct('n', char_length({line}), {fields})")
 
 
 def near_traits(a: Column, b: Column, allowed: Column) -> Column:
-    """Holds for the traits of all lines within ``allowed`` edits: an edit adds one character to a class and takes one from another at most."""
-    apart = sum((F.abs(a[f"c{i}"] - b[f"c{i}"]) for i in range(len(CLASSES))), F.lit(0))
+    """Holds for the traits of all lines within ``allowed`` edits: an edit adds one character and takes another at most."""
+    apart = sum((F.abs(a[f"c{i}"] - b[f"c{i}"]) for i in range(len(COUNTED))), F.lit(0))
     return (F.abs(a["n"] - b["n"]) <= allowed) & (apart <= allowed * 2)
 
 
@@ -88,11 +91,11 @@ def segment_keys(line: Column, edits: int) -> Column:
     return F.array(*[F.struct(key.alias("key"), F.lit(anchor).alias("anchor")) for key, anchor in keys])
 
 
-def _allowed(length: Column, steps: list[tuple[int, int]]) -> Column:
-    """The edits that a line of ``length`` may differ by; ``steps`` are the lengths from which on, and the edits."""
-    edits = F.lit(steps[0][1])
+def _allowed(length: str, steps: list[tuple[int, int]]) -> str:
+    """The edits that a line of ``length`` may differ by, in SQL; ``steps`` are the lengths from which on, and the edits."""
+    edits = str(steps[0][1])
     for least, more in steps[1:]:
-        edits = F.when(length >= least, F.lit(more)).otherwise(edits)
+        edits = f"if({length} >= {least}, {more}, {edits})"
     return edits
 
 
@@ -141,7 +144,12 @@ def keys_of(lines: DataFrame, steps: list[tuple[int, int]], anchors: bool) -> Da
 
 
 def edit_distance(a: str, b: str, most: int) -> Column:
-    """The edit distance of two string columns, or a number above ``most`` if it is above.
+    """The edit distance of two string columns, or a number above ``most`` if it is above."""
+    return F.expr(_edit_distance(a, b, most))
+
+
+def _edit_distance(a: str, b: str, most: int) -> str:
+    """``edit_distance`` in SQL.
 
     Of the table of distances only the band of ``2 * most + 1`` diagonals is
     kept, one bit per diagonal: where a row of ``a`` has the character of ``b``
@@ -169,11 +177,11 @@ def edit_distance(a: str, b: str, most: int) -> Column:
     far = f"abs(char_length({a}) - char_length({b})) > {most}"
     # the characters are bound once per pair, not split anew at every step
     pair = f"named_struct('a', {characters(a)}, 'b', {characters(b)})"
-    return F.expr(f"if({far}, {most + 1}L, element_at(transform(array({pair}), c -> {walk}), 1))")
+    return f"if({far}, {most + 1}L, element_at(transform(array({pair}), c -> {walk}), 1))"
 
 
-def _without_common_ends(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """Cut equal beginnings and ends off both strings, by halves; the edit distance stays."""
+def _cut_ends(a: str, b: str) -> str:
+    """A struct ``a, b`` of both strings without equal beginnings and ends, cut off by halves; the edit distance stays."""
     size = "cast(floor(least(char_length(s.a), char_length(s.b)) / part) as int)"
     begin = f"""if(left(s.a, {size}) = left(s.b, {size}),
         named_struct('a', substring(s.a, {size} + 1), 'b', substring(s.b, {size} + 1)), s)"""
@@ -182,12 +190,22 @@ def _without_common_ends(pairs: DataFrame, a: str, b: str) -> DataFrame:
     cut = f"named_struct('a', {a}, 'b', {b})"
     for step in (begin, end):
         cut = f"aggregate(array(2, 4, 8, 16), {cut}, (s, part) -> {step})"
+    return cut
+
+
+def _without_common_ends(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """``pairs`` with both strings cut by ``_cut_ends``."""
     others = [c for c in pairs.columns if c not in (a, b)]
-    return pairs.select(*others, F.expr(cut).alias("cut")).select(*others, F.col("cut.a").alias(a), F.col("cut.b").alias(b))
+    return pairs.select(*others, F.expr(_cut_ends(a, b)).alias("cut")).select(*others, F.col("cut.a").alias(a), F.col("cut.b").alias(b))
 
 
 def _maybe_near(a: str, b: str, allowed: str, most: int) -> Column:
-    """A quick test that holds for all strings within ``allowed`` edits, at most ``most``, and for few others.
+    """``_maybe_near_sql`` as a column."""
+    return F.expr(_maybe_near_sql(a, b, allowed, most))
+
+
+def _maybe_near_sql(a: str, b: str, allowed: str, most: int) -> str:
+    """A quick test in SQL that holds for all strings within ``allowed`` edits, at most ``most``, and for few others.
 
     Of ``2 * most + 1`` parts of ``a`` an edit changes one at most, and the
     others are in ``b``, moved by no more than the edits.
@@ -198,7 +216,37 @@ def _maybe_near(a: str, b: str, allowed: str, most: int) -> Column:
         size = f"cast(char_length({a}) * {i + 1} div {parts} as int) - {begin}"
         near = f"substring({b}, greatest({begin} + 1 - {most}, 1), {size} + {2 * most})"
         found.append(f"if(instr({near}, substring({a}, {begin} + 1, {size})) > 0, 1, 0)")
-    return F.expr(f"{' + '.join(found)} >= {parts} - {allowed}")
+    return f"{' + '.join(found)} >= {parts} - {allowed}"
+
+
+def _near_in_crowds(members: DataFrame, texts: DataFrame, steps: list[tuple[int, int]]) -> DataFrame:
+    """``a, b, linked`` for the near lines of different components in each bucket of ``bucket, node, anchor, component``.
+
+    The lines of a bucket are dealt in blocks of about ``CROWD_BLOCK``, and each
+    two blocks meet in a group of their own. Two lines are compared as they meet
+    in the least bucket they share, so only links become rows.
+    """
+    parts = members.groupBy(F.col("bucket").alias("crowd")).agg(F.ceil(F.count("*") / CROWD_BLOCK).cast("int").alias("parts"))
+    rows = members.join(parts, F.col("bucket") == F.col("crowd"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64(F.lit("block"), "node"), F.col("parts")).cast("int"))
+    own = members.groupBy(F.col("node").alias("h")).agg(
+        F.collect_list("bucket").alias("all"), F.collect_list(F.when(F.col("anchor"), F.col("bucket"))).alias("filed")
+    )
+    rows = rows.join(texts.join(own, "h"), F.col("node") == F.col("h"))
+    rows = rows.select("bucket", "node", "anchor", "component", "line", "traits", "all", "filed", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    rows = rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+    one, two = (rows.where(F.col("own") == F.col(side)).drop("own", "other") for side in ("i", "j"))
+    two = two.select(*[F.col(c).alias(f"{c}2") for c in two.columns])
+    met = (F.col("bucket") == F.col("bucket2")) & (F.col("i") == F.col("i2")) & (F.col("j") == F.col("j2"))
+    apart = (F.col("component") != F.col("component2")) & (F.col("anchor") | F.col("anchor2"))
+    once = (F.col("i") < F.col("j")) | (F.col("node") < F.col("node2"))
+    least = F.array_min(F.array_union(F.array_intersect("filed", "all2"), F.array_intersect("all", "filed2"))) == F.col("bucket")
+    allowed, most = _allowed("least(traits.n, traits2.n)", steps), steps[-1][1]
+    within = f"if({_maybe_near_sql('x.a', 'x.b', allowed, most)}, {_edit_distance('x.a', 'x.b', most)} <= {allowed}, false)"
+    near = F.expr(f"element_at(transform(array({_cut_ends('line', 'line2')}), x -> {within}), 1)")
+    near = F.when(near_traits(F.col("traits"), F.col("traits2"), F.expr(allowed)), F.when(least, near)).otherwise(False)
+    links = one.join(two, met & apart & once & near)
+    return links.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"), F.lit(True).alias("linked"))
 
 
 def dropped_lines(
@@ -233,22 +281,22 @@ def dropped_lines(
     texts = long.where(here(F.col("h"))).groupBy("h").agg(F.min("line").alias("line"))
     texts = materialize(texts.withColumn("traits", traits("line")), "texts")
 
-    def allowed_between(a: Column, b: Column) -> Column:
-        return _allowed(F.least(a["n"], b["n"]), steps)
+    def allowed_between(a: str, b: str) -> Column:
+        return F.expr(_allowed(f"least({a}.n, {b}.n)", steps))
 
-    def maybe(a: Column, b: Column) -> Column:
-        return near_traits(a, b, allowed_between(a, b))
+    def maybe(a: str, b: str) -> Column:
+        return near_traits(F.col(a), F.col(b), allowed_between(a, b))
 
     def test(pairs: DataFrame) -> DataFrame:
         for side in ("a", "b"):
             own = texts.select(F.col("h").alias(f"h{side}"), F.col("line").alias(f"t{side}"), F.col("traits").alias(f"r{side}"))
             pairs = pairs.join(own, F.col(side) == F.col(f"h{side}"))
-        allowed = F.when(maybe(F.col("ra"), F.col("rb")), allowed_between(F.col("ra"), F.col("rb"))).otherwise(-1)
+        allowed = F.when(maybe("ra", "rb"), allowed_between("ra", "rb")).otherwise(-1)
         short = _without_common_ends(pairs.select("a", "b", "ta", "tb", allowed.alias("allowed")), "ta", "tb")
         near = F.when((F.col("allowed") >= 0) & _maybe_near("ta", "tb", "allowed", steps[-1][1]), edit_distance("ta", "tb", steps[-1][1]) <= F.col("allowed"))
         return short.select("a", "b", near.otherwise(False).alias("linked"))
 
-    found = components_within(buckets, test, hints=(texts.select("h", "traits"), maybe))
+    found = components_within(buckets, test, lambda members: _near_in_crowds(members, texts, steps), (texts.select("h", "traits"), maybe))
     place = F.struct("id", "mark", "pos")
     exact = places.groupBy("h", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     if found is None:

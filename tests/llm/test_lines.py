@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 import plain
 from recuento.llm import line_dedup
+from recuento.llm.graph import components_within
 from recuento.llm.line_dedup import _maybe_near, _without_common_ends, drop_repeated_lines, dropped_lines, edit_distance, keys_of, near_traits, segment_keys, traits
 
 
@@ -135,3 +136,32 @@ def test_as_many_keys_by_length_as_by_segments(spark):
             plain_way = keys.where("k.anchor" if anchors else "not k.anchor").groupBy("h").agg(F.count("*").alias("n"))
             counts = {r.h: r.n for r in plain_way.collect()}
             assert {r.h: len(r.k) for r in found.collect()} == counts
+
+
+def test_pairs_of_unlike_lines_under_one_key_never_become_rows(spark, monkeypatch):
+    # the same characters in another order: counts of characters do not tell these lines apart
+    rng = random.Random(6)
+    base = "a passage of more than one hundred characters that very many lines share, with a word of its own in each of them: "
+    lines = [base + "".join(rng.sample("abcdefghijklmnop", 16)) for _ in range(120)]
+    lines += [varied(rng, line, 3) for line in lines[:9]]
+    rows = list(enumerate(lines))
+    counted = []
+
+    def within(buckets, test, *others, **named):
+        def counting(pairs):
+            counted.append(pairs.count())
+            return test(pairs)
+
+        return components_within(buckets, counting, *others, **named)
+
+    monkeypatch.setattr(line_dedup, "components_within", within)
+    monkeypatch.setattr(line_dedup, "CROWD_BLOCK", 20, raising=False)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = {r.id: set(r.dropped) for r in dropped_lines(df).collect()}
+    groups = plain.Groups(range(len(lines)))
+    for x, a in enumerate(lines):
+        for y in range(x):
+            if plain.edit_distance(a, lines[y]) <= 4:
+                groups.link(x, y)
+    assert found == {x: {0} for x in range(len(lines)) if groups.name(x) != x}
+    assert sum(counted) < 10 * len(lines) < len(lines) ** 2 / 4
