@@ -32,7 +32,7 @@ EDITS = 1
 LONGER = ((50, 2), (100, 4))
 """Lines of so many characters and more may differ by so many edits."""
 
-FILED_WORDS = 1 << 19
+FILED_WORDS = 1 << 20
 """64-bit words of the table that tells lookups from keys under which nothing is filed."""
 
 LEAST_CHARS = 20
@@ -61,7 +61,7 @@ def lines_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """``id, mark, pos, line, h, h2`` for each line that is not blank; ``mark`` tells texts of one id apart."""
     rows = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text_of(text)).alias("mark"), text_of(text).alias("text"))
     lines = rows.select("id", "mark", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    lines = lines.where(F.col("line").rlike("[^\\x20\\x09-\\x0D]"))
+    lines = lines.where(F.ltrim("line", F.lit(" \t\n\x0b\f\r")) != "")
     return lines.withColumns({"h": F.xxhash64("line"), "h2": F.hash("line")})
 
 
@@ -189,7 +189,7 @@ def _cut_ends(a: str, b: str) -> str:
         named_struct('a', left(s.a, char_length(s.a) - {size}), 'b', left(s.b, char_length(s.b) - {size})), s)"""
     cut = f"named_struct('a', {a}, 'b', {b})"
     for step in (begin, end):
-        cut = f"aggregate(array(2, 4, 8, 16), {cut}, (s, part) -> {step})"
+        cut = f"aggregate(array(2, 4, 8, 16, 32, 64), {cut}, (s, part) -> {step})"
     return cut
 
 
@@ -270,7 +270,7 @@ def dropped_lines(
     steps = [(0, edits), *[(least, more) for least, more in sorted(longer) if more > edits]]
     filed = materialize(keys_of(long, steps, True).withColumn("anchor", F.lit(True)), "filed")
     asked = keys_of(long, steps, False)
-    asked = asked.where(maybe_in(filed, "key", FILED_WORDS)(F.col("key"))).withColumn("anchor", F.lit(False))
+    asked = asked.where(maybe_in(filed, "key", FILED_WORDS, 2)(F.col("key"))).withColumn("anchor", F.lit(False))
     keyed = filed.unionByName(materialize(asked, "asked"))
     met = keyed.groupBy("key").agg(F.min("h").alias("x"), F.max("h").alias("y"), F.max("anchor").alias("z"))
     met = materialize(met.where("x <> y and z").select("key"), "keys")
@@ -303,6 +303,7 @@ def dropped_lines(
         classes = exact.withColumns({"c": F.col("h"), "c2": F.col("h2")})
     else:
         classes = exact.join(found.withColumnRenamed("id", "linked"), F.col("h") == F.col("linked"), "left")
+        classes = classes.where("n > 1 or linked is not null")  # a line by itself is a class of one
         alone = F.col("component").isNull()
         classes = classes.withColumns({"c": F.coalesce("component", "h"), "c2": F.when(alone, F.col("h2")).otherwise(F.lit(0))})
     first = classes.groupBy(F.col("c").alias("k"), F.col("c2").alias("k2")).agg(F.min("first").alias("stays"), F.sum("n").alias("lines"))
@@ -330,19 +331,16 @@ def drop_repeated_lines(
     """
     drops = dropped_lines(docs, doc_id, text, edits, least_chars, longer)
     drops = drops.select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), "dropped")
-    rows = docs.select(
-        whole_row(docs).alias("row"),
-        F.col(doc_id).alias("id"),
-        F.col(text).cast("string").alias("text"),
-        F.xxhash64(text_of(text)).alias("mark"),
-    )
+    rows = docs.select(whole_row(docs).alias("row"), F.col(doc_id).alias("id"), F.xxhash64(text_of(text)).alias("mark"))
     joined = rows.join(drops, F.col("id").eqNullSafe(F.col("__id")) & (F.col("mark") == F.col("__mark")), "left")
-    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("dropped"))
-    clean = F.array_join(F.transform(F.array_sort(kept), lambda i: F.get(lines, i)), "\n")
+    own = F.col("row").getField(text).cast("string")
+    # a column of its own: taken inside the function below, the text would be split once for each line
+    joined = joined.select("row", "dropped", own.alias("text"), F.split(F.coalesce(own, F.lit("")), "\n", -1).alias("lines"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("dropped"))
+    clean = F.array_join(F.transform(F.array_sort(kept), lambda i: F.get("lines", i)), "\n")
     return joined.select(
         "row",
-        F.size(lines).alias("n_lines"),
+        F.size("lines").alias("n_lines"),
         F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"),
         F.when(F.col("dropped").isNull(), F.col("text")).otherwise(clean).alias("clean"),
     )

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 import plain
 from recuento.llm import line_dedup
+from recuento.llm.bit_table import maybe_in
 from recuento.llm.graph import components_within
 from recuento.llm.line_dedup import _maybe_near, _without_common_ends, drop_repeated_lines, dropped_lines, edit_distance, keys_of, near_traits, segment_keys, traits
 
@@ -165,3 +166,20 @@ def test_pairs_of_unlike_lines_under_one_key_never_become_rows(spark, monkeypatc
                 groups.link(x, y)
     assert found == {x: {0} for x in range(len(lines)) if groups.name(x) != x}
     assert sum(counted) < 10 * len(lines) < len(lines) ** 2 / 4
+
+
+def test_texts_are_moved_once_and_split_once(spark, texts):
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    plan = drop_repeated_lines(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "get(split(" not in plan
+    join = next(line for line in plan.split("\n") if "Join LeftOuter" in line)
+    sides = plan[plan.index(join) :].split("\n")[1]
+    assert "Project" in sides and " AS text#" not in sides
+
+
+@pytest.mark.parametrize("bits", [1, 2])
+def test_the_bit_table_has_all_its_numbers_and_few_others(spark, bits):
+    held, others = spark.range(60).select(F.xxhash64("id").alias("k")), spark.range(1000, 4000).select(F.xxhash64("id").alias("k"))
+    maybe = maybe_in(held, "k", 16, bits)
+    assert held.where(maybe(F.col("k"))).count() == 60
+    assert others.where(maybe(F.col("k"))).count() < {1: 300, 2: 120}[bits]
