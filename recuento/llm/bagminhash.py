@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recuento.llm.bit_table import maybe_in
 from recuento.llm.common import text_of, whole_row
 from recuento.llm.graph import components_within
 from recuento.operators.ranking import number_rows
@@ -214,18 +215,25 @@ def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return common / (int(a[1].sum()) + int(b[1].sum()) - common)
 
 
-def _texts(bags: DataFrame, nodes: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``bag, text``: one text of each of the distinct ``bags``."""
-    wanted = nodes.join(bags, "bag").select("bag", F.col("id").alias("__id"), F.col("mark").alias("__mark"))
+def _met(buckets: DataFrame, nodes: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``bag, n, signature, text`` of the bags in ``buckets``, each with one of its texts, stored.
+
+    All rounds of comparison read this table. Documents are moved once for it,
+    and most of those that met no other one are dropped before.
+    """
+    wanted = nodes.join(buckets.select(F.col("node").alias("bag")).distinct(), "bag")
+    wanted = wanted.select("bag", "n", "signature", F.col("one.id").alias("__id"), F.col("one.mark").alias("__mark"))
+    wanted = materialize(wanted, "wanted")
     texts = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text_of(text)).alias("mark"), text_of(text).alias("text"))
+    texts = texts.where(maybe_in(wanted, "__mark")(F.col("mark")))
     texts = texts.join(wanted, F.col("id").eqNullSafe(F.col("__id")) & (F.col("mark") == F.col("__mark")))
-    return texts.groupBy("bag").agg(F.min("text").alias("text"))
+    return materialize(texts.groupBy("bag", "n", "signature").agg(F.min("text").alias("text")), "met")
 
 
-def _tested(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, doc_id: str, text: str, k: int, similarity: float) -> DataFrame:
+def _tested(pairs: DataFrame, met: DataFrame, k: int, similarity: float) -> DataFrame:
     """``a, b, linked`` for pairs ``a, b`` of bags: signatures first, then the multisets of one text of each bag."""
     sides = [
-        nodes.select(F.col("bag").alias(s), F.col("signature").alias(f"s{s}"), F.col("n").alias(f"n{s}")) for s in ("a", "b")
+        met.select(F.col("bag").alias(s), F.col("signature").alias(f"s{s}"), F.col("n").alias(f"n{s}")) for s in ("a", "b")
     ]
     signed = pairs.join(sides[0], "a").join(sides[1], "b")
     least = similarity - SLACK
@@ -241,10 +249,8 @@ def _tested(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, doc_id: str, te
 
     columns = signed.select("a", "b", "sa", "sb", "na", "nb")
     near = materialize(columns.mapInArrow(estimated, "a binary, b binary, near boolean"), "pairs")
-    ends = near.where("near").select(F.explode(F.array("a", "b")).alias("bag")).distinct()
-    texts = _texts(ends, nodes, docs, doc_id, text)
-    joined = near.where("near").join(texts.select(F.col("bag").alias("a"), F.col("text").alias("ta")), "a")
-    joined = joined.join(texts.select(F.col("bag").alias("b"), F.col("text").alias("tb")), "b")
+    joined = near.where("near").join(met.select(F.col("bag").alias("a"), F.col("text").alias("ta")), "a")
+    joined = joined.join(met.select(F.col("bag").alias("b"), F.col("text").alias("tb")), "b")
     joined = joined.select("a", "b", word_hashes(F.col("ta")).alias("wa"), word_hashes(F.col("tb")).alias("wb"))
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,7 +313,7 @@ def _linking(rows: pd.DataFrame, k: int, similarity: float) -> list[tuple[bytes,
     return links
 
 
-def _crowd_links(members: DataFrame, nodes: DataFrame, docs: DataFrame, doc_id: str, text: str, k: int, similarity: float) -> DataFrame:
+def _crowd_links(members: DataFrame, met: DataFrame, k: int, similarity: float) -> DataFrame:
     """``a, b, linked`` that join what can be joined within each bucket of ``bucket, node, component``.
 
     Members are numbered over all buckets, those of a bucket and in it of a
@@ -321,15 +327,14 @@ def _crowd_links(members: DataFrame, nodes: DataFrame, docs: DataFrame, doc_id:
     blocks = materialize(blocks, "blocks")
     last = blocks.groupBy(F.col("bucket").alias("b")).agg(F.max("own").alias("last"))
     others = blocks.toDF("b", "j", "low2", "high2")
-    met = blocks.join(last, F.col("bucket") == F.col("b")).drop("b").withColumnRenamed("own", "i")
-    met = met.withColumn("to", F.explode(F.sequence("i", "last")))
-    met = met.join(others, (F.col("bucket") == F.col("b")) & (F.col("to") == F.col("j")))
-    met = met.where(F.least("low", "low2") < F.greatest("high", "high2"))
+    pairs = blocks.join(last, F.col("bucket") == F.col("b")).drop("b").withColumnRenamed("own", "i")
+    pairs = pairs.withColumn("to", F.explode(F.sequence("i", "last")))
+    pairs = pairs.join(others, (F.col("bucket") == F.col("b")) & (F.col("to") == F.col("j")))
+    pairs = pairs.where(F.least("low", "low2") < F.greatest("high", "high2"))
     sides = F.when(F.col("i") == F.col("j"), F.array("i")).otherwise(F.array("i", "j"))
-    met = met.select("b", "i", "j", F.explode(sides).alias("side"))
-    rows = rows.join(met, (F.col("bucket") == F.col("b")) & (F.col("own") == F.col("side")))
-    texts = _texts(members.select(F.col("node").alias("bag")).distinct(), nodes, docs, doc_id, text)
-    rows = rows.join(texts.select("bag", word_hashes(F.col("text")).alias("words")), F.col("node") == F.col("bag"))
+    pairs = pairs.select("b", "i", "j", F.explode(sides).alias("side"))
+    rows = rows.join(pairs, (F.col("bucket") == F.col("b")) & (F.col("own") == F.col("side")))
+    rows = rows.join(met.select("bag", word_hashes(F.col("text")).alias("words")), F.col("node") == F.col("bag"))
 
     def linked(rows: pd.DataFrame) -> pd.DataFrame:
         links = _linking(rows, k, similarity)
@@ -354,20 +359,18 @@ def near_duplicates(
     """
     stored = materialize(signature_table(docs, doc_id, text, words), "signatures")
     full = stored.where("n > 0")
-    first = full.groupBy("bag").agg(F.min(_name()).alias("one"), F.count("*").alias("copies"))
-    first = first.select("bag", "one.id", "one.mark", "one", "copies")
-    marked = full.select("bag", "id", "mark", "n", "bands", "signature").withColumnRenamed("bag", "__bag")
-    nodes = first.join(marked, (F.col("bag") == F.col("__bag")) & first["id"].eqNullSafe(marked["id"]) & (first["mark"] == marked["mark"]))
-    nodes = nodes.select("bag", first["id"], first["mark"], "one", "copies", "n", "bands", "signature").dropDuplicates(["bag"])
+    # equal multisets have equal signatures: any of them will do
+    nodes = full.groupBy("bag").agg(F.min(_name()).alias("one"), F.count("*").alias("copies"), *[F.any_value(c).alias(c) for c in ("n", "bands", "signature")])
     nodes = materialize(nodes, "nodes")
     banded = nodes.select("bag", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
     buckets = banded.join(shared.select("band"), "band").select(F.col("band").alias("bucket"), F.col("bag").alias("node"), F.lit(True).alias("anchor"))
     buckets = materialize(buckets, "buckets")
+    met = _met(buckets, nodes, docs, doc_id, text)
     linked = components_within(
         buckets,
-        lambda pairs: _tested(pairs, nodes, docs, doc_id, text, words, similarity),
-        lambda members: _crowd_links(members, nodes, docs, doc_id, text, words, similarity),
+        lambda pairs: _tested(pairs, met, words, similarity),
+        lambda members: _crowd_links(members, met, words, similarity),
     )
     known = nodes.select("bag", "one", "copies")
     if linked is None:

@@ -100,3 +100,27 @@ def test_components_of_long_chains(spark):
 
 def test_parameters():
     assert bagminhash.WORDS == 5 and bagminhash.SIMILARITY == 0.8
+
+
+def test_documents_are_read_for_signatures_and_once_for_texts(spark, tmp_path, monkeypatch):
+    rng = random.Random(12)
+    words = [[rng.choice("abcdefghij") + str(rng.randrange(50)) for _ in range(60)] for _ in range(30)]
+    texts = [" ".join(w) for w in words] + [" ".join([*w[: 57 - n % 2], "x", str(n)]) for n, w in enumerate(words * 3)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    docs, read = spark.read.parquet(str(tmp_path / "docs")), []
+
+    def storing(module):
+        store = module.materialize
+
+        def call(df, name="table"):
+            if any(str(tmp_path) in file for file in df.inputFiles()):
+                read.append(name)
+            return store(df, name)
+
+        return call
+
+    for module in (bagminhash, graph):
+        monkeypatch.setattr(module, "materialize", storing(module))
+    found = near_duplicates(docs).collect()
+    assert sum(r.kept for r in found) < len(texts)
+    assert read == ["signatures", "met"]
